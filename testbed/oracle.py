@@ -264,7 +264,7 @@ KPI = f"""
            CASE WHEN sum(occupied_beds) > 0
                 THEN least(sum(covid_beds) / sum(occupied_beds) * 100, 100) ELSE 0 END
                AS covid_percentage
-    FROM ({STATE_METRICS})"""
+    FROM ({STATE_METRICS}) HAVING count(*) > 0"""
 
 BED_ROWS = f"""
     SELECT hospital_pk, state,

@@ -25,8 +25,10 @@ from testbed import derive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Selected date (a Monday), the week range its questions look at, and the selections.
+# Selected date (a Monday), how far its questions look back, and the selections.
 DAY = "2001-06-04"
+ONE_WEEK_BACK = "2001-05-28"
+FOUR_WEEKS_BACK = "2001-05-07"
 FIVE_WEEKS_BACK = "2001-04-30"
 LAST_DAYS = "2001-11-12"  # shortly after the data ends, so some hospitals have gone quiet
 NORTHEAST = ["ME", "NY", "PA", "MA", "NJ"]
@@ -197,12 +199,12 @@ state_metrics = on_the_day(lambda t, d: questions.get_metrics(t, d, NORTHEAST))
 state_map = on_the_day(questions.get_state_metrics_for_map)
 week_over_week = on_the_day(questions.get_week_over_week_comparison, FIVE_WEEKS_BACK)
 week_over_week_prev = on_the_day(questions.compare_with_week_before, FIVE_WEEKS_BACK)
-bed_availability = on_the_day(questions.get_bed_availability_comparison, FIVE_WEEKS_BACK)
+bed_availability = on_the_day(questions.get_bed_availability_comparison, FOUR_WEEKS_BACK)
 quality_rating = on_the_day(questions.get_quality_rating_analysis)
 quality_rating_latest = on_the_day(questions.occupancy_by_latest_rating)
 covid_rank = on_the_day(questions.get_state_covid_map_data)
 significant_changes = on_the_day(
-    questions.get_hospitals_with_significant_changes, FIVE_WEEKS_BACK
+    questions.get_hospitals_with_significant_changes, ONE_WEEK_BACK
 )
 top_states = on_the_day(questions.get_top_states_by_covid)
 

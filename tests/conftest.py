@@ -1,0 +1,27 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from bedledger.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, "bedledger-tests")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def values(spark):
+    """Evaluate one expression over literal rows: values(expression, type, [v, ...]) -> list."""
+
+    def run(expression, kind, rows):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], f"i int, x {kind}")
+        return [r[0] for r in df.orderBy("i").select(expression("x")).collect()]
+
+    return run
