@@ -20,9 +20,10 @@ FILES_PER_BATCH = 100
 def _load_files(
     spark: SparkSession, folder: str, checkpoint: str, load: Callable[[str], object]
 ) -> StreamingQuery:
-    # only names and times are selected, so the stream itself reads no file content
+    # only names and times are asked for, so the stream itself reads no file content
     arrivals = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .option("pathGlobFilter", "*.csv")
         .load(folder)

@@ -1,0 +1,75 @@
+from datetime import datetime
+
+from bedledger.operators import cleaning
+from bedledger.schema import HHS_COLUMNS, QUALITY_RENAMES, WEEKLY_METRICS
+
+
+def hhs(spark, *rows):
+    """Text feed rows from keyword dicts; unset metrics are blank."""
+    base = dict(hospital_pk="010001", hospital_name="H", address="A", city="C", state="AL",
+                zip="01234", fips_code="01069", collection_week="2021/12/31", extra="x")
+    columns = [*HHS_COLUMNS, "extra"]
+    full = [tuple({**base, **r}.get(c) for c in columns) for r in rows]
+    return spark.createDataFrame(full, ", ".join(f"{c} string" for c in columns))
+
+
+def test_key_must_have_six_characters(spark):
+    feed = hhs(spark, *({"hospital_pk": k} for k in ["010001", "10001", "05014F", None, "0100011"]))
+    got = cleaning.transform_hhs_data(feed)
+    assert [r.hospital_pk for r in got.collect()] == ["010001", "05014F"]
+    assert got.columns == HHS_COLUMNS
+
+
+def test_suppressed_is_null_and_blank_is_zero(spark):
+    a, b, c, d = WEEKLY_METRICS[:4]
+    (row,) = cleaning.transform_hhs_data(
+        hhs(spark, {a: "-999999", b: None, c: "12.5", d: "-999999.0"})
+    ).collect()
+    assert [row[x] for x in (a, b, c, d)] == [None, 0.0, 12.5, None]
+
+
+def test_weeks(values):
+    midnight = datetime(2021, 12, 31)
+    raw = ["2021/12/31", "2021-12-31", "2021-12-31 00:00:00", "2021-12-31T00:00:00", "12/31/2021",
+           "2021-12-31 08:30:00", "junk", "2021-13-01", "", None]
+    got = values(cleaning.week_from_text, "string", raw)
+    assert got == [midnight] * 5 + [datetime(2021, 12, 31, 8, 30)] + [None] * 4
+
+
+def test_yes_no(values):
+    raw = ["Yes", " yes\t", "YES", "No", "yes!", "", None]
+    assert values(cleaning.yes_to_true, "string", raw) == [True, True, True, False, False, False, False]
+
+
+def test_quality_transform(spark):
+    rows = [("010001", "N", "T", "O", "Yes", "4", "x"), ("10001", "N", "T", "O", "Yes", "4", "x"),
+            ("010002", "N", "T", "O", None, "Not Available", "x")]
+    names = [*QUALITY_RENAMES, "Other"]
+    feed = spark.createDataFrame(rows, names)
+    got = cleaning.transform_quality_data(feed, 2021)
+    assert [tuple(r) for r in got.collect()] == [
+        ("010001", "N", "T", "O", True, "4", 2021),
+        ("010002", "N", "T", "O", False, "Not Available", 2021),
+    ]
+    assert got.columns == [*QUALITY_RENAMES.values(), "rating_year"]
+
+
+def test_rejects_say_why(spark):
+    metric = WEEKLY_METRICS[0]
+    feed = hhs(
+        spark,
+        {},
+        {"hospital_pk": "1", "collection_week": "junk"},
+        {"collection_week": "junk", "state": "ALA"},
+        {metric: "many"},
+        {"state": "AL  ", metric: "-999999"},
+        {"fips_code": "012345"},
+    )
+    got = [(r.hospital_pk, r.reject_reason) for r in
+           cleaning.reject_report(cleaning.explain_hhs_rows(feed)).collect()]
+    assert got == [
+        ("1", "hospital_pk does not have 6 characters"),
+        ("010001", "collection_week is not a date; state is longer than 2"),
+        ("010001", f"{metric} is not a number"),
+        ("010001", "fips_code is longer than 5"),
+    ]
