@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app_name: str = "bedledger") -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # no call-site look-up for every column expression that is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bedledger.plans.slices import on_day
 from bedledger.schema import QUALITY_COLUMNS, SUPPRESSED, WEEKLY_COLUMNS, WEEKLY_METRICS
@@ -23,62 +24,87 @@ STATE_CODES = "MENYPAMAOHILMIMNTXFLGANCVACAWAORCOAZPRNJWITNNVUT.."
 RATING_YEARS = (2000, 2001)
 
 
-def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_schemas: dict[str, StructType] = {}
 
 
-def padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Its schema is looked up in the file once, which takes a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def key36(number: Column, width: int = 6) -> Column:
+def key36(number: str, width: int = 6) -> str:
     """Fixed-width key in base 36: six places are enough for two billion hospitals."""
-    return F.lpad(F.conv(number.cast("string"), 10, 36), width, "0")
-
-
-def supplier_key(suppkey: Column) -> Column:
-    return key36(suppkey + 1)
+    return f"lpad(conv(CAST({number} AS STRING), 10, 36), {width}, '0')"
+
+
+SUPPLIER_FACILITY = [
+    f"{key36('s_suppkey + 1')} AS hospital_pk",
+    "s_suppkey AS number",
+    "s_nationkey AS nation",
+    "s_name AS name",
+]
+NATION_OFFICE = [
+    "concat('N', lpad(n_nationkey, 5, '0')) AS hospital_pk",
+    "CAST(n_nationkey AS BIGINT) AS number",
+    "n_nationkey AS nation",
+    "concat('Office ', n_name) AS name",
+]
+HOSPITAL_OF_FACILITY = [
+    "hospital_pk",
+    "name AS hospital_name",
+    "concat('Street ', number) AS address",
+    "concat('CITY_', nation) AS city",
+    f"nullif(substr('{STATE_CODES}', 2 * nation + 1, 2), '..') AS state",
+    "lpad(number % 100000, 5, '0') AS zip",
+    "concat(lpad(nation + 1, 2, '0'), lpad(number % 1000, 3, '0')) AS fips_code",
+]
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, sf_dir, "supplier").select(
-        supplier_key(F.col("s_suppkey")).alias("hospital_pk"),
-        F.col("s_suppkey").alias("number"),
-        F.col("s_nationkey").alias("nation"),
-        F.col("s_name").alias("name"),
-    )
+    return scan(spark, sf_dir, "supplier").selectExpr(*SUPPLIER_FACILITY)
 
 
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers, and one office per nation that never reports."""
-    offices = scan(spark, sf_dir, "nation").select(
-        F.concat(F.lit("N"), padded(F.col("n_nationkey"), 5)).alias("hospital_pk"),
-        F.col("n_nationkey").cast("long").alias("number"),
-        F.col("n_nationkey").alias("nation"),
-        F.concat(F.lit("Office "), F.col("n_name")).alias("name"),
-    )
+    offices = scan(spark, sf_dir, "nation").selectExpr(*NATION_OFFICE)
     return suppliers(spark, sf_dir).unionByName(offices)
 
 
 def as_hospitals(rows: DataFrame) -> DataFrame:
-    code = F.substring(F.lit(STATE_CODES), F.col("nation") * 2 + 1, F.lit(2))
-    return rows.select(
-        "hospital_pk",
-        F.col("name").alias("hospital_name"),
-        F.concat(F.lit("Street "), F.col("number").cast("string")).alias("address"),
-        F.concat(F.lit("CITY_"), F.col("nation").cast("string")).alias("city"),
-        F.nullif(code, F.lit("..")).alias("state"),
-        padded(F.col("number") % 100000, 5).alias("zip"),
-        F.concat(padded(F.col("nation") + 1, 2), padded(F.col("number") % 1000, 3)).alias(
-            "fips_code"
-        ),
-    )
+    return rows.selectExpr(*HOSPITAL_OF_FACILITY)
 
 
 def hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hospitals(facilities(spark, sf_dir))
 
 
+ITEMS_OF_WEEK = [
+    "count(*) AS items",
+    "sum(l_quantity) AS adult",
+    "sum(l_linenumber) AS pediatric",
+    "sum(floor(l_quantity * (l_linenumber % 5) / 3)) AS adult_occupied",
+    "sum(l_partkey % 6) AS pediatric_occupied",
+    "sum(l_linenumber % 3) AS icu",
+    "sum(l_linenumber % 2) AS icu_used",
+    "sum(floor(l_quantity * (l_orderkey % 4) / 6)) AS covid",
+    "sum(l_partkey % 2) AS icu_covid",
+]
+_MIX = "(l_suppkey * 7 + items + CAST(adult AS BIGINT))"
+METRICS_OF_WEEK = [
+    f"IF({_MIX} % 31 = 0, double('NaN'), adult)",
+    "pediatric",
+    "adult_occupied",
+    f"IF({_MIX} % 29 = 0, NULL, pediatric_occupied)",
+    "icu",
+    "icu_used",
+    f"IF({_MIX} % 23 = 0, {SUPPRESSED}, covid)",
+    "icu_covid",
+]
+
+
 def weekly(
     spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None
 ) -> DataFrame:
@@ -89,40 +115,17 @@ def weekly(
     groups by; the reports of the weeks are the same as without it.
     """
     items = scan(spark, sf_dir, "lineitem")
-    shipped = F.col("l_shipdate")
     if first is not None:
-        items = items.filter(shipped >= F.lit(_monday(first)))
+        items = items.filter(f"l_shipdate >= DATE '{_monday(first)}'")
     if last is not None:
-        items = items.filter(shipped < F.lit(_monday(last) + timedelta(days=7)))
-    quantity = F.col("l_quantity")
+        items = items.filter(f"l_shipdate < DATE '{_monday(last) + timedelta(days=7)}'")
     reports = items.groupBy(
-        "l_suppkey", F.trunc(F.to_date(shipped), "week").alias("week")
-    ).agg(
-        F.count("*").alias("items"),
-        F.sum(quantity).alias("adult"),
-        F.sum("l_linenumber").alias("pediatric"),
-        F.sum(F.floor(quantity * (F.col("l_linenumber") % 5) / 3)).alias("adult_occupied"),
-        F.sum(F.col("l_partkey") % 6).alias("pediatric_occupied"),
-        F.sum(F.col("l_linenumber") % 3).alias("icu"),
-        F.sum(F.col("l_linenumber") % 2).alias("icu_used"),
-        F.sum(F.floor(quantity * (F.col("l_orderkey") % 4) / 6)).alias("covid"),
-        F.sum(F.col("l_partkey") % 2).alias("icu_covid"),
-    )
-    mix = F.col("l_suppkey") * 7 + F.col("items") + F.col("adult").cast("long")
-    metrics = [
-        F.when(mix % 31 != 0, F.col("adult")).otherwise(F.lit(float("nan"))),
-        F.col("pediatric"),
-        F.col("adult_occupied"),
-        F.when(mix % 29 != 0, F.col("pediatric_occupied")),
-        F.col("icu"),
-        F.col("icu_used"),
-        F.when(mix % 23 != 0, F.col("covid")).otherwise(F.lit(SUPPRESSED)),
-        F.col("icu_covid"),
-    ]
-    return reports.select(
-        supplier_key(F.col("l_suppkey")).alias("hospital_pk"),
-        F.col("week").cast("timestamp_ntz").alias("collection_week"),
-        *(c.cast("double").alias(name) for c, name in zip(metrics, WEEKLY_METRICS)),
+        "l_suppkey", F.expr("trunc(CAST(l_shipdate AS DATE), 'week') AS week")
+    ).agg(*map(F.expr, ITEMS_OF_WEEK))
+    return reports.selectExpr(
+        f"{key36('l_suppkey + 1')} AS hospital_pk",
+        "CAST(week AS TIMESTAMP_NTZ) AS collection_week",
+        *(f"CAST({c} AS DOUBLE) AS {name}" for c, name in zip(METRICS_OF_WEEK, WEEKLY_METRICS)),
         "week",
     )
 
@@ -132,34 +135,48 @@ def _monday(day: str) -> date:
     return d - timedelta(days=d.weekday())
 
 
+def _rating(number: str) -> str:
+    return f"IF(({number}) % 6 = 0, 'Not Available', CAST(({number}) % 6 AS STRING))"
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rating per facility and year."""
-    years = F.explode(F.array(*map(F.lit, RATING_YEARS)))
-    rated = facilities(spark, sf_dir).withColumn("rating_year", years)
-    return rated.select(
+    years = ", ".join(map(str, RATING_YEARS))
+    rated = facilities(spark, sf_dir).selectExpr("*", f"explode(array({years})) AS rating_year")
+    return rated.selectExpr(
         "hospital_pk",
-        F.col("name").alias("facility_name"),
-        F.concat(F.lit("Type "), (F.col("number") % 3).cast("string")).alias("type_of_hospital"),
-        F.concat(F.lit("Owner "), (F.col("number") % 4).cast("string")).alias("type_of_ownership"),
-        (F.col("number") % 2 == 0).alias("emergency_services"),
-        _rating(F.col("number") + F.col("rating_year")).alias("overall_quality_rating"),
+        "name AS facility_name",
+        "concat('Type ', number % 3) AS type_of_hospital",
+        "concat('Owner ', number % 4) AS type_of_ownership",
+        "number % 2 = 0 AS emergency_services",
+        f"{_rating('number + rating_year')} AS overall_quality_rating",
         "rating_year",
     )
 
 
-def _rating(number: Column) -> Column:
-    stars = number % 6
-    return F.when(stars == 0, F.lit("Not Available")).otherwise(stars.cast("string"))
+class DerivedTables(Tables):
+    """The three tables, each put together when a question first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, first: str | None, last: str | None):
+        make = {
+            "hospital": lambda: hospital(spark, sf_dir),
+            "weekly_hospital_stats": lambda: weekly(spark, sf_dir, first, last),
+            "hospital_quality": lambda: quality(spark, sf_dir),
+        }
+        object.__setattr__(self, "_make", make)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        # called only for a table that is not there yet
+        if name not in self._make:
+            raise AttributeError(name)
+        object.__setattr__(self, name, self._make[name]())
+        return self.__dict__[name]
 
 
 def tables(
     spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None
 ) -> Tables:
-    return Tables(
-        hospital(spark, sf_dir),
-        weekly(spark, sf_dir, first, last),
-        quality(spark, sf_dir),
-    )
+    return DerivedTables(spark, sf_dir, first, last)
 
 
 # ---- Bed frame ------------------------------------------------------------
@@ -168,21 +185,16 @@ def tables(
 def bed_rows(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
     """Bed frame of one day: adult totals as text, and some impossible values."""
     t = tables(spark, sf_dir, day, day)
-    last_place = F.substring("hospital_pk", 6, 1)
     adult, pediatric, adult_occupied, pediatric_occupied, _, _, covid, _ = WEEKLY_METRICS
-    reports = on_day(t, day)
-    return reports.join(t.hospital.select("hospital_pk", "state"), "hospital_pk").select(
+    states = t.hospital.select("hospital_pk", "state")
+    return on_day(t, day).join(states, "hospital_pk").selectExpr(
         "hospital_pk",
         "state",
-        F.when(last_place == "5", F.lit("n/a"))
-        .otherwise(F.col(adult).cast("string"))
-        .alias("total_adult_beds"),
-        F.col(adult_occupied).alias("occupied_adult_beds"),
-        F.when(last_place == "6", F.lit(-1.0))
-        .otherwise(F.col(pediatric))
-        .alias("total_pediatric_beds"),
-        F.col(pediatric_occupied).alias("occupied_pediatric_beds"),
-        F.col(covid).alias("covid_beds"),
+        f"IF(hospital_pk LIKE '%5', 'n/a', CAST({adult} AS STRING)) AS total_adult_beds",
+        f"{adult_occupied} AS occupied_adult_beds",
+        f"IF(hospital_pk LIKE '%6', -1, {pediatric}) AS total_pediatric_beds",
+        f"{pediatric_occupied} AS occupied_pediatric_beds",
+        f"{covid} AS covid_beds",
     )
 
 
@@ -192,61 +204,46 @@ def bed_rows(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
 def hhs_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly tables as a text feed with the defects real feeds have."""
     t = tables(spark, sf_dir)
-    joined = t.weekly_hospital_stats.join(t.hospital, "hospital_pk")
     pediatric = WEEKLY_METRICS[1]
-    mix = F.unix_date("week") + F.col(pediatric).cast("long")
-    iso = F.col("week").cast("string")
-    week = (
-        F.when(mix % 41 == 0, F.lit("junk"))
-        .when(mix % 4 == 1, F.replace(iso, F.lit("-"), F.lit("/")))
-        .when(mix % 4 == 2, F.concat(iso, F.lit(" 00:00:00")))
-        .otherwise(iso)
-    )
+    mix = f"(unix_date(week) + CAST({pediatric} AS BIGINT))"
     # a NaN metric is a blank field
     metrics = {
-        c: F.nullif(F.col(c), F.lit(float("nan"))).cast("long").cast("string")
-        for c in WEEKLY_METRICS
+        c: f"CAST(CAST(nullif({c}, double('NaN')) AS BIGINT) AS STRING)" for c in WEEKLY_METRICS
     }
-    metrics[pediatric] = F.when(mix % 47 == 0, F.lit("many")).otherwise(metrics[pediatric])
-    return joined.select(
-        F.when(mix % 37 == 0, F.substring("hospital_pk", 2, 5))
-        .otherwise(F.col("hospital_pk"))
-        .alias("hospital_pk"),
+    metrics[pediatric] = f"IF({mix} % 47 = 0, 'many', {metrics[pediatric]})"
+    return t.weekly_hospital_stats.join(t.hospital, "hospital_pk").selectExpr(
+        f"IF({mix} % 37 = 0, substr(hospital_pk, 2), hospital_pk) AS hospital_pk",
         "hospital_name",
         "address",
         "city",
-        F.when(mix % 43 == 0, F.concat("state", F.lit("X"))).otherwise(F.col("state")).alias("state"),
+        f"IF({mix} % 43 = 0, concat(state, 'X'), state) AS state",
         "zip",
-        F.lit("Short Term").alias("hospital_subtype"),
+        "'Short Term' AS hospital_subtype",
         "fips_code",
-        week.alias("collection_week"),
-        *(c.alias(name) for name, c in metrics.items()),
+        f"""CASE WHEN {mix} % 41 = 0 THEN 'junk'
+                 WHEN {mix} % 4 = 1 THEN replace(CAST(week AS STRING), '-', '/')
+                 WHEN {mix} % 4 = 2 THEN concat(week, ' 00:00:00')
+                 ELSE CAST(week AS STRING) END AS collection_week""",
+        *(f"{c} AS {name}" for name, c in metrics.items()),
     )
 
 
 def quality_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratings of 2001 as a text feed; customers are facilities outside the table."""
-    customers = scan(spark, sf_dir, "customer").select(
-        F.concat(F.lit("C"), F.substring(key36(F.col("c_custkey"), 12), 8, 5)).alias("hospital_pk"),
-        F.col("c_custkey").alias("number"),
-        F.col("c_name").alias("name"),
+    customers = scan(spark, sf_dir, "customer").selectExpr(
+        f"concat('C', substr({key36('c_custkey', 12)}, 8)) AS hospital_pk",
+        "c_custkey AS number",
+        "c_name AS name",
     )
     rated = facilities(spark, sf_dir).drop("nation").unionByName(customers)
-    number = F.col("number")
-    services = (
-        F.when(number % 4 == 0, F.lit("Yes"))
-        .when(number % 4 == 1, F.lit(" yes\t"))
-        .when(number % 4 == 2, F.lit("No"))
-    )
-    return rated.select(
-        F.when(number % 11 == 0, F.substring("hospital_pk", 2, 5))
-        .otherwise(F.col("hospital_pk"))
-        .alias("Facility ID"),
-        F.col("name").alias("Facility Name"),
-        F.concat(F.lit("Type "), (number % 3).cast("string")).alias("Hospital Type"),
-        F.concat(F.lit("Owner "), (number % 4).cast("string")).alias("Hospital Ownership"),
-        services.alias("Emergency Services"),
-        _rating(number + 2001).alias("Hospital overall rating"),
+    return rated.selectExpr(
+        "IF(number % 11 = 0, substr(hospital_pk, 2), hospital_pk) AS `Facility ID`",
+        "name AS `Facility Name`",
+        "concat('Type ', number % 3) AS `Hospital Type`",
+        "concat('Owner ', number % 4) AS `Hospital Ownership`",
+        "CASE number % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' yes\t' WHEN 2 THEN 'No' END"
+        " AS `Emergency Services`",
+        f"{_rating('number + 2001')} AS `Hospital overall rating`",
     )
 
 
@@ -268,13 +265,13 @@ def written_as_csv(feed: DataFrame, name: str) -> str:
 
 def hospital_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rows per supplier in the name patterns A,B,A / A,A,B / A,B,C."""
-    rows = as_hospitals(suppliers(spark, sf_dir))
-    pattern = F.element_at(
-        F.array(F.lit("ABA"), F.lit("AAB"), F.lit("ABC")), F.col("zip").cast("int") % 3 + 1
+    versions = as_hospitals(suppliers(spark, sf_dir)).selectExpr(
+        "*",
+        "element_at(array('ABA', 'AAB', 'ABC'), CAST(zip AS INT) % 3 + 1) AS pattern",
+        "explode(array(0, 1, 2)) AS seq",
     )
-    versions = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    letter = F.substring(pattern, F.col("seq") + 1, F.lit(1))
-    return versions.withColumn("hospital_name", F.concat_ws(" ", "hospital_name", letter))
+    name = F.expr("concat(hospital_name, ' ', substr(pattern, seq + 1, 1))")
+    return versions.withColumn("hospital_name", name).drop("pattern")
 
 
 def weekly_split(spark: SparkSession, sf_dir: str, day: str) -> tuple[DataFrame, DataFrame]:
@@ -282,19 +279,20 @@ def weekly_split(spark: SparkSession, sf_dir: str, day: str) -> tuple[DataFrame,
 
     Reports with more than 20 COVID beds arrive a second time with one bed more.
     """
-    reports = weekly(spark, sf_dir)
-    covid = "inpatient_beds_used_covid_7_day_avg"
-    existing = reports.filter(F.col("week") < F.lit(date.fromisoformat(day)))
-    batch = reports.filter(F.col("week") >= F.lit(date.fromisoformat(day) - timedelta(days=28)))
-    first = batch.withColumn("seq", F.lit(0))
-    again = batch.filter(F.col(covid) > 20).withColumns({covid: F.col(covid) + 1, "seq": F.lit(1)})
-    return existing.select(*WEEKLY_COLUMNS), first.unionByName(again).select(*WEEKLY_COLUMNS, "seq")
+    existing = weekly(spark, sf_dir, last=_day_before(day, 7)).select(*WEEKLY_COLUMNS)
+    reports = weekly(spark, sf_dir, first=_day_before(day, 28)).select(*WEEKLY_COLUMNS)
+    covid = WEEKLY_METRICS[6]
+    copies = f"explode(IF({covid} > 20, array(0, 1), array(0))) AS seq"
+    batch = reports.selectExpr("*", copies).withColumn(covid, F.expr(f"{covid} + seq"))
+    return existing, batch
+
+
+def _day_before(day: str, days: int) -> str:
+    return str(date.fromisoformat(day) - timedelta(days=days))
 
 
 def quality_versions(ratings: DataFrame) -> DataFrame:
     """Each rating of a table three times, as A,B,A: `facility_name` differs in the middle."""
-    name = F.when(F.col("seq") == 1, F.concat("facility_name", F.lit(" B"))).otherwise(
-        F.col("facility_name")
-    )
-    versions = ratings.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    versions = ratings.selectExpr("*", "explode(array(0, 1, 2)) AS seq")
+    name = F.expr("IF(seq = 1, concat(facility_name, ' B'), facility_name)")
     return versions.withColumn("facility_name", name).select(*QUALITY_COLUMNS, "seq")

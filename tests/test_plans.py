@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from bedledger.plans import questions
-from bedledger.sources.tables import read_tables, write_table
+from bedledger.sources.tables import SCHEMAS, read_tables, write_table
 from testbed import derive
 from testbed.registry import DAY, NORTHEAST, QUERIES
 
@@ -25,8 +25,9 @@ def plan(df, mode="formatted"):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("db"))
-    for name, frame in vars(derive.tables(spark, SF)).items():
-        write_table(frame, root, name)
+    derived = derive.tables(spark, SF)
+    for name in SCHEMAS:
+        write_table(getattr(derived, name), root, name)
     return read_tables(spark, root)
 
 
