@@ -31,7 +31,7 @@ from bedledger.operators.upsert import (
 from bedledger.schema import ARRIVAL, HOSPITAL_COLUMNS, QUALITY_COLUMNS, WEEK
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
-from bedledger.sources.tables import read_table, with_week, write_table
+from bedledger.sources.tables import SCHEMAS, read_table, with_week, write_table
 
 # Longest list of days that is broadcast; longer ones are joined by shuffle.
 BROADCAST_DAYS = 50_000
@@ -87,6 +87,11 @@ def _staged_feed(spark: SparkSession, explained: DataFrame, stage: str) -> DataF
     return spark.read.parquet(f"{stage}/feed")
 
 
+def _write_staged(df: DataFrame, stage: str, name: str) -> None:
+    # as it comes: the files are sized and partitioned when they are published
+    df.select(*SCHEMAS[name].names).write.parquet(f"{stage}/new/{name}")
+
+
 def _accept(feed: DataFrame, failing: Column, on_reject: str, stage: str) -> DataFrame:
     """Feed rows that go on; raises when a row fails and rejects are not to be set aside."""
     if on_reject not in ("abort", "set_aside"):
@@ -134,12 +139,10 @@ def load_hhs_data(
     batch = transform_hhs_data(_accept(feed, failing, on_reject, stage))
 
     hospitals = read_table(spark, root, "hospital")
-    write_table(upsert_hospital(hospitals, batch), f"{stage}/new", "hospital")
+    _write_staged(upsert_hospital(hospitals, batch), stage, "hospital")
 
     touched = weeks_of_batch(read_table(spark, root, "weekly_hospital_stats"), batch)
-    write_table(
-        with_week(upsert_weekly(touched, batch)), f"{stage}/new", "weekly_hospital_stats"
-    )
+    _write_staged(with_week(upsert_weekly(touched, batch)), stage, "weekly_hospital_stats")
     publish(spark, stage, root)
     return LoadResult(_one_row(hhs_load_summary(feed)), stage)
 
@@ -164,14 +167,14 @@ def load_quality_data(
     batch = conform_quality(accepted, year)
 
     stored = read_table(spark, root, "hospital_quality").filter(F.col("rating_year") == year)
-    write_table(upsert_quality(stored, batch), f"{stage}/new", "hospital_quality")
+    _write_staged(upsert_quality(stored, batch), stage, "hospital_quality")
     publish(spark, stage, root)
     return LoadResult(_one_row(quality_load_summary(feed)), stage)
 
 
 def publish(spark: SparkSession, stage: str, root: str) -> None:
     """Copy the staged tables over the stored ones, hospitals first."""
-    for name in ("hospital", "weekly_hospital_stats", "hospital_quality"):
+    for name in SCHEMAS:
         staged = read_table(spark, f"{stage}/new", name)
         if not staged.isEmpty():
             write_table(staged, root, name)

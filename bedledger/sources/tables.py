@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from bedledger.schema import HOSPITAL_SCHEMA, QUALITY_SCHEMA, WEEK, WEEKLY_SCHEMA
 
+# In the order in which they are published: rows refer to hospitals only.
 SCHEMAS = {
     "hospital": HOSPITAL_SCHEMA,
     "weekly_hospital_stats": WEEKLY_SCHEMA,
