@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from bedledger.schema import SUPPRESSED
 
 # Decimal or exponent notation, or an infinity. A plain cast is laxer (it takes "1.5d").
-_NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+_NUMBER = r"[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)"
+_NUMBER_TEXT = rf"(?i)^\s*{_NUMBER}\s*$"
+_NUMBER_OR_MISSING_TEXT = rf"(?i)^\s*({_NUMBER}|nan)?\s*$"
 
 _ZERO = 0.0
 
@@ -38,6 +40,11 @@ def number_from_text(c: str | Column) -> Column:
     return F.when(c.rlike(_NUMBER_TEXT), c.try_cast("double"))
 
 
+def is_not_a_number(c: str | Column) -> Column:
+    """Whether a text is there that stands neither for a number nor for a missing one."""
+    return ~F.coalesce(_col(c).rlike(_NUMBER_OR_MISSING_TEXT), F.lit(True))
+
+
 def suppressed_to_null(c: str | Column) -> Column:
     return F.nullif(_col(c), F.lit(SUPPRESSED).cast("double"))
 

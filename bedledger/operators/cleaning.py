@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bedledger.functions.guards import (
     _col,
+    is_not_a_number,
     missing_to_zero,
     number_from_text,
     suppressed_to_null,
@@ -153,13 +154,7 @@ def explain_hhs_rows(df: DataFrame) -> DataFrame:
     """The raw weekly feed with the reasons why a row would not load."""
     problems = {"collection_week is not a date": week_from_text("collection_week").isNull()}
     problems |= _too_wide(HOSPITAL_WIDTHS)
-    problems |= {
-        f"{c} is not a number": F.col(c).isNotNull()
-        & (F.trim(F.lower(c)) != "nan")
-        & (F.trim(F.col(c)) != "")
-        & number_from_text(c).isNull()
-        for c in WEEKLY_METRICS
-    }
+    problems |= {f"{c} is not a number": is_not_a_number(c) for c in WEEKLY_METRICS}
     return _with_reasons(df, problems)
 
 

@@ -49,9 +49,16 @@ def test_one_supplier_and_one_state_hold_a_third(spark, tmp_path):
     assert_all_equal(spark, str(tmp_path))
 
 
-def test_without_broadcast_and_with_other_partitioning(spark):
-    """The shuffled joins give the same results as the broadcast ones."""
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "3"}
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "3"},
+        {"spark.sql.session.timeZone": "America/Los_Angeles"},
+        {"spark.sql.adaptive.enabled": "false", "spark.sql.ansi.enabled": "false"},
+    ],
+    ids=["shuffled joins", "other time zone", "no adaptive execution"],
+)
+def test_settings_do_not_change_results(spark, settings):
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)

@@ -33,6 +33,11 @@ def test_number_from_text(values):
     assert values(guards.number_from_text, "string", raw) == expected
 
 
+def test_what_is_not_a_number(values):
+    raw = ["1", " 2.5 ", "NaN", "", "  ", None, "-inf", "many", "1.5d", "1,000"]
+    assert values(guards.is_not_a_number, "string", raw) == [False] * 7 + [True] * 3
+
+
 def test_finite_or_null(values):
     assert values(guards.finite_or_null, "double", [1.0, NAN, INF, -INF, None]) == [
         1.0, None, None, None, None]
