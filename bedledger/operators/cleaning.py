@@ -165,9 +165,11 @@ def explain_quality_rows(df: DataFrame) -> DataFrame:
 
 def reject_report(explained: DataFrame) -> DataFrame:
     """Rows that do not reach the table, with the reason."""
-    reason = F.when(F.col("bad_key"), F.lit(f"hospital_pk does not have {KEY_LENGTH} characters"))
-    return (
-        explained.filter("bad_key OR reject_reason IS NOT NULL")
-        .withColumn("reject_reason", F.coalesce(reason, "reject_reason"))
-        .drop("bad_key")
-    )
+    bad_key = F.when(F.col("bad_key"), F.lit(f"hospital_pk does not have {KEY_LENGTH} characters"))
+    reason = F.coalesce(bad_key, "reject_reason")
+    columns = [c for c in explained.columns if c not in ("bad_key", "reject_reason")]
+    # A filter on a computed column is pushed below it and computes it a second time for
+    # every row; a filter on the output of explode is not.
+    return explained.select(
+        *columns, F.explode(F.array(reason)).alias("reject_reason")
+    ).filter("reject_reason IS NOT NULL")

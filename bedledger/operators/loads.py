@@ -3,7 +3,8 @@
 A load validates before it writes. New table contents go to a staging folder first; only
 when all of them are complete are they published. Publishing copies staged data over the
 target and can be repeated (`publish`), so a load that lost its driver half-way is
-finished from the staging folder. Two tables are not one transaction: a reader may see
+finished from the staging folder; until then further loads are refused. One load at a
+time may write to a root folder. Two tables are not one transaction: a reader may see
 the new hospitals a moment before the new weekly rows, never the other way round.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +25,26 @@ from bedledger.operators.cleaning import (
     transform_hhs_data,
 )
 from bedledger.operators.upsert import (
-    known_hospitals_only,
-    upsert_hospital,
-    upsert_quality,
-    upsert_weekly,
+    hospital_winners,
+    quality_winners,
+    rows_to_keep,
+    weekly_winners,
+)
+from bedledger.schema import (
+    ARRIVAL,
+    HOSPITAL_COLUMNS,
+    HOSPITAL_KEY,
+    QUALITY_COLUMNS,
+    QUALITY_KEY,
+    WEEK,
+    WEEKLY_KEY,
 )
-from bedledger.schema import ARRIVAL, HOSPITAL_COLUMNS, QUALITY_COLUMNS, WEEK
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
 from bedledger.sources.tables import SCHEMAS, read_table, with_week, write_table
 
+PUBLISH_LOG = "publish_log"
+
 # Longest list of days that is broadcast; longer ones are joined by shuffle.
 BROADCAST_DAYS = 50_000
 
@@ -41,6 +53,10 @@ class LoadRejected(Exception):
     """Some rows cannot be stored, so nothing was."""
 
 
+class UnfinishedPublish(Exception):
+    """An earlier load stopped while it was publishing."""
+
+
 @dataclass(frozen=True)
 class LoadResult:
     summary: dict[str, int]
@@ -87,9 +103,19 @@ def _staged_feed(spark: SparkSession, explained: DataFrame, stage: str) -> DataF
     return spark.read.parquet(f"{stage}/feed")
 
 
-def _write_staged(df: DataFrame, stage: str, name: str) -> None:
-    # as it comes: the files are sized and partitioned when they are published
-    df.select(*SCHEMAS[name].names).write.parquet(f"{stage}/new/{name}")
+def _stage_upsert(
+    existing: DataFrame, winners: DataFrame, key: list[str], stage: str, name: str
+) -> None:
+    """Write the winners, then beside them the existing rows they leave in place.
+
+    The second step reads the winners back, so they are worked out once. Files are sized
+    and partitioned only when they are published.
+    """
+    path, schema = f"{stage}/new/{name}", SCHEMAS[name]
+    winners.select(*schema.names).write.parquet(path)
+    written = winners.sparkSession.read.schema(schema).parquet(path)
+    kept = rows_to_keep(existing, written, key).select(*schema.names)
+    kept.write.mode("append").parquet(path)
 
 
 def _accept(feed: DataFrame, failing: Column, on_reject: str, stage: str) -> DataFrame:
@@ -133,16 +159,18 @@ def load_hhs_data(
     on_reject='abort' loads nothing if one row does not fit; 'set_aside' loads the other
     rows and keeps the misfits under `<staging>/rejects`.
     """
+    require_finished(spark, root)
     stage = _stage(spark, staging)
     feed = _staged_feed(spark, explain_hhs_rows(read_hhs_csv(spark, file_path)), stage)
     failing = ~F.col("bad_key") & F.col("reject_reason").isNotNull()
     batch = transform_hhs_data(_accept(feed, failing, on_reject, stage))
 
     hospitals = read_table(spark, root, "hospital")
-    _write_staged(upsert_hospital(hospitals, batch), stage, "hospital")
+    _stage_upsert(hospitals, hospital_winners(batch), HOSPITAL_KEY, stage, "hospital")
 
     touched = weeks_of_batch(read_table(spark, root, "weekly_hospital_stats"), batch)
-    _write_staged(with_week(upsert_weekly(touched, batch)), stage, "weekly_hospital_stats")
+    winners = with_week(weekly_winners(batch))
+    _stage_upsert(touched, winners, WEEKLY_KEY, stage, "weekly_hospital_stats")
     publish(spark, stage, root)
     return LoadResult(_one_row(hhs_load_summary(feed)), stage)
 
@@ -157,6 +185,7 @@ def load_quality_data(
 ) -> LoadResult:
     """Load the quality feed of one rating year; ratings of unknown hospitals are left out."""
     year = int(year)
+    require_finished(spark, root)
     stage = _stage(spark, staging)
     hospitals = read_table(spark, root, "hospital").select("hospital_pk", F.lit(True).alias("known"))
     raw = explain_quality_rows(read_quality_csv(spark, file_path))
@@ -167,14 +196,35 @@ def load_quality_data(
     batch = conform_quality(accepted, year)
 
     stored = read_table(spark, root, "hospital_quality").filter(F.col("rating_year") == year)
-    _write_staged(upsert_quality(stored, batch), stage, "hospital_quality")
+    _stage_upsert(stored, quality_winners(batch), QUALITY_KEY, stage, "hospital_quality")
     publish(spark, stage, root)
     return LoadResult(_one_row(quality_load_summary(feed)), stage)
 
 
 def publish(spark: SparkSession, stage: str, root: str) -> None:
-    """Copy the staged tables over the stored ones, hospitals first."""
+    """Copy the staged tables over the stored ones, hospitals first. May be repeated."""
+    _note(spark, root, stage, "started")
     for name in SCHEMAS:
         staged = read_table(spark, f"{stage}/new", name)
         if not staged.isEmpty():
             write_table(staged, root, name)
+    _note(spark, root, stage, "finished")
+
+
+def _note(spark: SparkSession, root: str, stage: str, state: str) -> None:
+    line = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(state).alias("state"))
+    line.write.mode("append").parquet(f"{root}/{PUBLISH_LOG}")
+
+
+def require_finished(spark: SparkSession, root: str) -> None:
+    """Raise if a publish was cut short: the tables may be incomplete until it is repeated."""
+    try:
+        log = spark.read.schema("stage string, state string").parquet(f"{root}/{PUBLISH_LOG}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    open_stages = log.groupBy("stage").agg(F.count_if(F.col("state") == "finished").alias("n"))
+    first = open_stages.filter("n = 0").first()
+    if first is not None:
+        raise UnfinishedPublish(f"publish {first.stage} to {root} first")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from bedledger.schema import (
     ARRIVAL,
     HOSPITAL_COLUMNS,
+    HOSPITAL_KEY,
     QUALITY_COLUMNS,
     QUALITY_KEY,
     WEEKLY_COLUMNS,
@@ -35,32 +36,46 @@ def last_per_key(df: DataFrame, key: list[str], seq: str = ARRIVAL) -> DataFrame
     return df.groupBy(*key).agg(last).select(*key, *(f"last.{c}" for c in values))
 
 
-def replace_rows(existing: DataFrame, winners: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows whose key is not among the winners, and the winners.
+def rows_to_keep(existing: DataFrame, winners: DataFrame, key: list[str]) -> DataFrame:
+    """Existing rows that no winner replaces.
 
-    A batch small enough is broadcast by Catalyst as the anti side, and then the existing
-    table is not shuffled at all.
+    Winners that are few enough are broadcast by Catalyst, and then the existing table is
+    not shuffled at all.
     """
-    kept = existing.join(winners.select(*key), key, "left_anti")
-    return kept.unionByName(winners)
+    return existing.join(winners.select(*key), key, "left_anti")
 
 
-def upsert_hospital(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+def replace_rows(existing: DataFrame, winners: DataFrame, key: list[str]) -> DataFrame:
+    return rows_to_keep(existing, winners, key).unionByName(winners)
+
+
+def hospital_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
     """Equal rows collapse to their first copy, then the last distinct row per key wins."""
     rows = first_of_each_row(batch.select(*HOSPITAL_COLUMNS, seq), seq)
-    return replace_rows(existing, last_per_key(rows, ["hospital_pk"], seq), ["hospital_pk"])
+    return last_per_key(rows, HOSPITAL_KEY, seq)
 
 
-def upsert_quality(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+def quality_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
     """As for hospitals, with one row per hospital and rating year."""
     rows = first_of_each_row(batch.select(*QUALITY_COLUMNS, seq), seq)
-    return replace_rows(existing, last_per_key(rows, QUALITY_KEY, seq), QUALITY_KEY)
+    return last_per_key(rows, QUALITY_KEY, seq)
 
 
-def upsert_weekly(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+def weekly_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
     """The last row per hospital and timestamp wins; equal rows are not collapsed first."""
-    winners = last_per_key(batch.select(*WEEKLY_COLUMNS, seq), WEEKLY_KEY, seq)
-    return replace_rows(existing.select(*WEEKLY_COLUMNS), winners, WEEKLY_KEY)
+    return last_per_key(batch.select(*WEEKLY_COLUMNS, seq), WEEKLY_KEY, seq)
+
+
+def upsert_hospital(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+    return replace_rows(existing, hospital_winners(batch, seq), HOSPITAL_KEY)
+
+
+def upsert_quality(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+    return replace_rows(existing, quality_winners(batch, seq), QUALITY_KEY)
+
+
+def upsert_weekly(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+    return replace_rows(existing.select(*WEEKLY_COLUMNS), weekly_winners(batch, seq), WEEKLY_KEY)
 
 
 def known_hospitals_only(ratings: DataFrame, hospital: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ MISSING_TEXTS = [
 
 # ---- Derived lists --------------------------------------------------------
 
+HOSPITAL_KEY = ["hospital_pk"]
 WEEKLY_KEY = ["hospital_pk", "collection_week"]
 WEEKLY_COLUMNS = WEEKLY_KEY + WEEKLY_METRICS
 HHS_COLUMNS = HOSPITAL_COLUMNS + ["collection_week"] + WEEKLY_METRICS

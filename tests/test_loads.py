@@ -3,7 +3,14 @@ from pathlib import Path
 
 import pytest
 
-from bedledger.operators.loads import LoadRejected, load_hhs_data, load_quality_data, publish
+from bedledger.operators import loads
+from bedledger.operators.loads import (
+    LoadRejected,
+    UnfinishedPublish,
+    load_hhs_data,
+    load_quality_data,
+    publish,
+)
 from bedledger.schema import HHS_COLUMNS, QUALITY_RENAMES, WEEKLY_METRICS
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
@@ -135,6 +142,29 @@ def test_publish_can_be_repeated(spark, tmp_path):
     assert len(stored(spark, root, "hospital", "hospital_pk")) == 2
 
 
+def test_a_cut_publish_has_to_be_repeated(spark, tmp_path, monkeypatch):
+    root, stage = str(tmp_path / "db"), str(tmp_path / "s")
+    load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001")), root, staging=stage)
+    real = loads.write_table
+
+    def cut(df, to, name):
+        if name == "weekly_hospital_stats":
+            raise OSError("lost")
+        real(df, to, name)
+
+    monkeypatch.setattr(loads, "write_table", cut)
+    second = write_hhs(tmp_path / "2.csv", hhs_row("010002"))
+    with pytest.raises(OSError):
+        load_hhs_data(spark, second, root, staging=stage)
+    monkeypatch.undo()
+    with pytest.raises(UnfinishedPublish) as refused:
+        load_hhs_data(spark, second, root, staging=stage)
+    publish(spark, str(refused.value).split()[1], root)
+    assert len(stored(spark, root, "weekly_hospital_stats", "hospital_pk")) == 2
+    load_hhs_data(spark, second, root, staging=stage)
+    assert len(stored(spark, root, "hospital", "hospital_pk")) == 2
+
+
 def test_quality_load(spark, tmp_path):
     root, stage = str(tmp_path / "db"), str(tmp_path / "s")
     load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001"), hhs_row("010002")), root, staging=stage)
