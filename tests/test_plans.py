@@ -8,6 +8,7 @@ import pytest
 
 from bedledger.plans import questions
 from bedledger.sources.tables import SCHEMAS, read_tables, write_table
+from bedledger.schema import WEEKLY_METRICS
 from testbed import derive
 from testbed.registry import DAY, NORTHEAST, QUERIES
 
@@ -88,6 +89,28 @@ def test_dates_come_from_partitions(stored):
     assert "ReadSchema: struct<>" in text
 
 
+def test_a_hot_week_is_written_by_several_tasks(spark, tmp_path):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+                "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    hot = "DATE '2021-03-12' + CAST(IF(id % 2 = 0, 0, 7 * (id % 5)) AS INT) AS week"
+    rows = spark.range(60_000).selectExpr(
+        "CAST(id AS STRING) AS hospital_pk", hot, *(f"CAST(id AS DOUBLE) AS {c}" for c in WEEKLY_METRICS)
+    ).selectExpr("*", "CAST(week AS TIMESTAMP_NTZ) AS collection_week")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        write_table(rows, str(tmp_path), "weekly_hospital_stats")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "weekly_hospital_stats").glob("week=*")}
+    assert len(files) == 5
+    # a small week may share the shuffle partition of the hot one, and so its splits
+    assert files["week=2021-03-12"] == max(files.values()) > 3
+    assert min(files.values()) == 1
+
+
 def test_ship_dates_reach_the_scan(spark):
     text = plan(QUERIES["state_metrics"](spark, SF))
     assert "GreaterThanOrEqual(l_shipdate,2001-06-04" in text
