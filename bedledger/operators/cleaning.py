@@ -17,6 +17,7 @@ from bedledger.functions.guards import (
 )
 from bedledger.schema import (
     ARRIVAL,
+    BROKEN_LINE,
     HHS_COLUMNS,
     HOSPITAL_WIDTHS,
     KEY_LENGTH,
@@ -29,8 +30,8 @@ _YEAR_FIRST = r"^\s*\d{4}[-/]"
 _MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
 
 
-def _arrival_columns(df: DataFrame) -> list[str]:
-    return [ARRIVAL] if ARRIVAL in df.columns else []
+def _feed_marks(df: DataFrame) -> list[str]:
+    return [c for c in (BROKEN_LINE, ARRIVAL) if c in df.columns]
 
 
 # ---- Expressions ----------------------------------------------------------
@@ -73,7 +74,7 @@ def valid_key(df: DataFrame) -> DataFrame:
 
 
 def project_hhs(df: DataFrame) -> DataFrame:
-    return df.select(*HHS_COLUMNS, *_arrival_columns(df))
+    return df.select(*HHS_COLUMNS, *_feed_marks(df))
 
 
 def sentinel_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,7 +106,7 @@ def transform_hhs_data(df: DataFrame) -> DataFrame:
 def project_rename_quality(df: DataFrame) -> DataFrame:
     return df.select(
         *(F.col(f"`{source}`").alias(name) for source, name in QUALITY_RENAMES.items()),
-        *_arrival_columns(df),
+        *_feed_marks(df),
     )
 
 
@@ -139,12 +140,17 @@ def _too_wide(widths: dict[str, int]) -> dict[str, Column]:
 
 
 def _with_reasons(df: DataFrame, problems: dict[str, Column]) -> DataFrame:
-    """Add `bad_key` (row is dropped) and `reject_reason` (row fails the load), else NULL."""
+    """Add `bad_key` (row is dropped) and `reject_reason` (row fails the load), else NULL.
+
+    A broken line always fails: what it holds in the key column is not its key.
+    """
+    broken = F.col(BROKEN_LINE) if BROKEN_LINE in df.columns else F.lit(False)
+    problems = {"the line does not have the fields of the header": broken, **problems}
     # concat_ws leaves out the NULL of each problem that did not occur
     reasons = F.concat_ws("; ", *(F.when(test, F.lit(text)) for text, test in problems.items()))
     return df.withColumns(
         {
-            "bad_key": ~F.coalesce(has_valid_key(), F.lit(False)),
+            "bad_key": ~broken & ~F.coalesce(has_valid_key(), F.lit(False)),
             "reject_reason": F.nullif(reasons, F.lit("")),
         }
     )

@@ -32,6 +32,7 @@ from bedledger.operators.upsert import (
 )
 from bedledger.schema import (
     ARRIVAL,
+    BROKEN_LINE,
     HOSPITAL_COLUMNS,
     HOSPITAL_KEY,
     QUALITY_COLUMNS,
@@ -82,7 +83,7 @@ def hhs_load_summary(explained: DataFrame) -> DataFrame:
 
 def quality_load_summary(explained: DataFrame) -> DataFrame:
     """As above for the quality feed; `known` says whether the hospital exists."""
-    stored = ~F.col("bad_key") & F.col("known")
+    stored = ~F.col("bad_key") & (F.col("known") | F.col(BROKEN_LINE))
     fits = stored & F.col("reject_reason").isNull()
     columns = [c for c in QUALITY_COLUMNS if c != "rating_year"]
     return explained.agg(
@@ -153,15 +154,18 @@ def load_hhs_data(
     root: str,
     on_reject: str = "abort",
     staging: str | None = None,
+    multi_line: bool = False,
 ) -> LoadResult:
     """Load a weekly feed into `hospital` and `weekly_hospital_stats`.
 
     on_reject='abort' loads nothing if one row does not fit; 'set_aside' loads the other
-    rows and keeps the misfits under `<staging>/rejects`.
+    rows and keeps the misfits under `<staging>/rejects`. multi_line=True allows line
+    breaks in quoted fields, at the price of one task per file.
     """
     require_finished(spark, root)
     stage = _stage(spark, staging)
-    feed = _staged_feed(spark, explain_hhs_rows(read_hhs_csv(spark, file_path)), stage)
+    raw = read_hhs_csv(spark, file_path, multi_line, broken_lines="mark")
+    feed = _staged_feed(spark, explain_hhs_rows(raw), stage)
     failing = ~F.col("bad_key") & F.col("reject_reason").isNotNull()
     batch = transform_hhs_data(_accept(feed, failing, on_reject, stage))
 
@@ -182,16 +186,20 @@ def load_quality_data(
     root: str,
     on_reject: str = "abort",
     staging: str | None = None,
+    multi_line: bool = False,
 ) -> LoadResult:
     """Load the quality feed of one rating year; ratings of unknown hospitals are left out."""
     year = int(year)
     require_finished(spark, root)
     stage = _stage(spark, staging)
     hospitals = read_table(spark, root, "hospital").select("hospital_pk", F.lit(True).alias("known"))
-    raw = explain_quality_rows(read_quality_csv(spark, file_path))
-    marked = raw.join(hospitals, "hospital_pk", "left").fillna(False, ["known"])
+    raw = read_quality_csv(spark, file_path, multi_line, broken_lines="mark")
+    explained = explain_quality_rows(raw)
+    marked = explained.join(hospitals, "hospital_pk", "left").fillna(False, ["known"])
     feed = _staged_feed(spark, marked, stage)
-    failing = ~F.col("bad_key") & F.col("known") & F.col("reject_reason").isNotNull()
+    # a rating of an unknown hospital is left out whatever else it holds
+    counts = F.col("known") | F.col(BROKEN_LINE)
+    failing = ~F.col("bad_key") & counts & F.col("reject_reason").isNotNull()
     accepted = _accept(feed, failing, on_reject, stage).filter("known")
     batch = conform_quality(accepted, year)
 

@@ -80,7 +80,8 @@ def upsert_weekly(existing: DataFrame, batch: DataFrame, seq: str = ARRIVAL) ->
 
 def known_hospitals_only(ratings: DataFrame, hospital: DataFrame) -> DataFrame:
     """Ratings whose hospital is in the table."""
-    return ratings.join(get_existing_hospitals(hospital), "hospital_pk", "left_semi")
+    # a semi-join takes repeated keys as they are, so they need not be made distinct
+    return ratings.join(hospital.select("hospital_pk"), "hospital_pk", "left_semi")
 
 
 def get_existing_hospitals(hospital: DataFrame) -> DataFrame:

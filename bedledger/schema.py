@@ -87,6 +87,8 @@ QUALITY_COLUMNS = list(QUALITY_RENAMES.values()) + ["rating_year"]
 
 # Arrival order of a feed row; present only between the reader and the upsert.
 ARRIVAL = "arrival"
+# Set on feed rows whose line does not have the fields of the header.
+BROKEN_LINE = "broken_line"
 # Partition column of the stored weekly table: the calendar day of collection_week.
 WEEK = "week"
 

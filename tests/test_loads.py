@@ -62,6 +62,33 @@ def test_reader_goes_by_header_and_keeps_text(spark, tmp_path):
     assert row.hospital_name == 'St. Mary, "North"'
 
 
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    path = write_hhs(tmp_path / "a.csv", hhs_row("010001", address="1 Main\nSuite 2"), hhs_row("010002"))
+    root = str(tmp_path / "db")
+    load_hhs_data(spark, path, root, staging=str(tmp_path / "s"), multi_line=True)
+    assert stored(spark, root, "hospital", "hospital_pk", "address") == [
+        ("010001", "1 Main\nSuite 2"), ("010002", "1 Main")]
+    with pytest.raises(LoadRejected, match="fields of the header"):
+        load_hhs_data(spark, path, root, staging=str(tmp_path / "s"))
+
+
+def test_broken_lines_fail_or_are_set_aside(spark, tmp_path):
+    path = Path(write_hhs(tmp_path / "a.csv", hhs_row("010001"), hhs_row("010002"), hhs_row("010003")))
+    lines = path.read_text().splitlines()
+    path.write_text("\n".join([*lines[:2], lines[2] + ",more", lines[3].rsplit(",", 1)[0]]) + "\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        read_hhs_csv(spark, str(path)).collect()
+    result = load_hhs_data(spark, str(path), str(tmp_path / "db"), "set_aside", str(tmp_path / "s"))
+    assert (result.summary["rows_rejected"], result.summary["rows_dropped"]) == (2, 0)
+    assert stored(spark, str(tmp_path / "db"), "hospital", "hospital_pk") == [("010001",)]
+    with pytest.raises(ValueError):
+        read_hhs_csv(spark, str(path), broken_lines="skip")
+    quality = Path(write_quality(tmp_path / "q.csv", ("010001", "A", "Acute", "Gov", "Yes", "4")))
+    quality.write_text(quality.read_text() + "010001,B\n")
+    with pytest.raises(LoadRejected, match="fields of the header"):
+        load_quality_data(spark, str(quality), 2021, str(tmp_path / "db"), staging=str(tmp_path / "s"))
+
+
 def test_reader_numbers_rows_in_file_order(spark, tmp_path):
     rows = [hhs_row(f"{n:06}") for n in range(3000)]
     path = write_hhs(tmp_path / "a.csv", *rows)

@@ -5,7 +5,7 @@ import pytest
 from bedledger.plans import questions, views
 from bedledger.plans.dashboard import dashboard
 from bedledger.sources.tables import read_sql_query
-from frames import ADULT, ADULT_OCC, COVID, NAN, PED, PED_OCC, hospital, rating, report, tables
+from frames import NAN, PED, PED_OCC, hospital, rating, report, tables
 
 D = "2021-03-12"
 
