@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from bedledger.operators.loads import weeks_of_batch
 from bedledger.plans import questions
 from bedledger.sources.tables import SCHEMAS, read_tables, write_table
 from bedledger.schema import WEEKLY_METRICS
@@ -111,6 +112,17 @@ def test_a_hot_week_is_written_by_several_tasks(spark, tmp_path):
     assert min(files.values()) == 1
 
 
+def test_a_load_reads_only_the_weeks_of_its_batch(spark, stored):
+    batch = derive.weekly(spark, SF, "2001-05-28", "2001-06-04").filter("week <> DATE '2001-05-28'")
+    touched = weeks_of_batch(stored.weekly_hospital_stats, batch)
+    scan = next(b for b in plan(touched).split("\n\n") if "Scan parquet" in b and "7_day_avg" in b)
+    assert "(week#" in scan and ">= 2001-06-04)" in scan and "<= 2001-06-04)" in scan
+    assert "BroadcastHashJoin LeftSemi" in plan(touched)
+    assert [r.week.isoformat() for r in touched.select("week").distinct().collect()] == ["2001-06-04"]
+    nothing = weeks_of_batch(stored.weekly_hospital_stats, batch.filter("false"))
+    assert nothing.count() == 0
+
+
 def test_ship_dates_reach_the_scan(spark):
     text = plan(QUERIES["state_metrics"](spark, SF))
     assert "GreaterThanOrEqual(l_shipdate,2001-06-04" in text
