@@ -223,7 +223,8 @@ def get_state_covid_map_data(tables: Tables, selected_date: Day) -> DataFrame:
 def get_hospitals_with_significant_changes(tables: Tables, selected_date: Day) -> DataFrame:
     """The ten largest changes of at least 5 COVID cases against exactly one week before.
 
-    Hospitals are looked up last, for the few changes that pass the threshold.
+    Hospitals are looked up last, for the few changes that pass the threshold. A report of
+    the day meets each report of the day a week before; weekly reports make that one pair.
     """
 
     def cases(days_back: int, name: str) -> DataFrame:
