@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ from bedledger.schema import (
 )
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
-from bedledger.sources.tables import SCHEMAS, read_table, with_week, write_table
+from bedledger.sources.tables import SCHEMAS, read_or_empty, read_table, with_week, write_table
 
 PUBLISH_LOG = "publish_log"
 
@@ -101,7 +100,7 @@ def _stage(spark: SparkSession, staging: str | None) -> str:
 def _staged_feed(spark: SparkSession, explained: DataFrame, stage: str) -> DataFrame:
     """Parse the text once; all later steps read this columnar copy."""
     explained.write.parquet(f"{stage}/feed")
-    return spark.read.parquet(f"{stage}/feed")
+    return spark.read.schema(explained.schema).parquet(f"{stage}/feed")
 
 
 def _stage_upsert(
@@ -210,7 +209,14 @@ def load_quality_data(
 
 
 def publish(spark: SparkSession, stage: str, root: str) -> None:
-    """Copy the staged tables over the stored ones, hospitals first. May be repeated."""
+    """Copy the staged tables over the stored ones, hospitals first.
+
+    Repeating a publish that was cut short completes it; a finished one is left alone, so
+    an old stage cannot undo later loads.
+    """
+    done = (F.col("stage") == stage) & (F.col("state") == "finished")
+    if not _publishes(spark, root).filter(done).isEmpty():
+        return
     _note(spark, root, stage, "started")
     for name in SCHEMAS:
         staged = read_table(spark, f"{stage}/new", name)
@@ -224,15 +230,13 @@ def _note(spark: SparkSession, root: str, stage: str, state: str) -> None:
     line.write.mode("append").parquet(f"{root}/{PUBLISH_LOG}")
 
 
+def _publishes(spark: SparkSession, root: str) -> DataFrame:
+    return read_or_empty(spark, f"{root}/{PUBLISH_LOG}", "stage string, state string")
+
+
 def require_finished(spark: SparkSession, root: str) -> None:
     """Raise if a publish was cut short: the tables may be incomplete until it is repeated."""
-    try:
-        log = spark.read.schema("stage string, state string").parquet(f"{root}/{PUBLISH_LOG}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return
-    open_stages = log.groupBy("stage").agg(F.count_if(F.col("state") == "finished").alias("n"))
-    first = open_stages.filter("n = 0").first()
-    if first is not None:
-        raise UnfinishedPublish(f"publish {first.stage} to {root} first")
+    finished = F.count_if(F.col("state") == "finished").alias("finished")
+    cut = _publishes(spark, root).groupBy("stage").agg(finished).filter("finished = 0").first()
+    if cut is not None:
+        raise UnfinishedPublish(f"publish {cut.stage} to {root} first")

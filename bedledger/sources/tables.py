@@ -47,17 +47,21 @@ class Tables:
         self.hospital_quality.createOrReplaceTempView("hospital_quality")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One stored table; an empty frame of the right shape before the first load."""
-    schema: T.StructType = SCHEMAS[name]
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Parquet files of a known schema; an empty frame where nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    schema = SCHEMAS[name]
+    return read_or_empty(spark, f"{root}/{name}", schema).select(*schema.names)
+
+
 def read_tables(spark: SparkSession, root: str) -> Tables:
     return Tables(*(read_table(spark, root, name) for name in SCHEMAS))
 

@@ -159,14 +159,19 @@ def test_a_bad_row_stops_the_load(spark, tmp_path):
         load_hhs_data(spark, bad, root, on_reject="ignore")
 
 
-def test_publish_can_be_repeated(spark, tmp_path):
+def test_an_old_stage_cannot_undo_a_later_load(spark, tmp_path):
+    root, stage = str(tmp_path / "db"), str(tmp_path / "s")
+    old = load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001", covid="1")), root, staging=stage)
+    load_hhs_data(spark, write_hhs(tmp_path / "2.csv", hhs_row("010001", covid="2")), root, staging=stage)
+    publish(spark, old.staging, root)
+    assert stored(spark, root, "weekly_hospital_stats", COVID) == [(2.0,)]
+
+
+def test_a_feed_without_rows(spark, tmp_path):
     root = str(tmp_path / "db")
-    path = write_hhs(tmp_path / "1.csv", hhs_row("010001"), hhs_row("010002"))
-    result = load_hhs_data(spark, path, root, staging=str(tmp_path / "s"))
-    before = stored(spark, root, "weekly_hospital_stats", "hospital_pk", "week")
-    publish(spark, result.staging, root)
-    assert stored(spark, root, "weekly_hospital_stats", "hospital_pk", "week") == before
-    assert len(stored(spark, root, "hospital", "hospital_pk")) == 2
+    result = load_hhs_data(spark, write_hhs(tmp_path / "1.csv"), root, staging=str(tmp_path / "s"))
+    assert set(result.summary.values()) == {0}
+    assert [f.count() for f in vars(read_tables(spark, root)).values()] == [0, 0, 0]
 
 
 def test_a_cut_publish_has_to_be_repeated(spark, tmp_path, monkeypatch):
