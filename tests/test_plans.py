@@ -80,6 +80,12 @@ def test_stored_weeks_and_columns_are_pruned(stored, question, columns):
         assert schema.count("7_day_avg") == columns
 
 
+def test_a_small_hospital_table_is_broadcast(stored):
+    for frame in (questions.get_state_metrics_for_map(stored, DAY), questions.get_trend_data(stored, NORTHEAST)):
+        text = plan(frame, "simple")
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_last_report_reads_keys_only(stored):
     text = plan(questions.get_non_reporting_hospitals(stored, DAY))
     assert "7_day_avg" not in text.split("(1) ")[-1]
