@@ -71,7 +71,7 @@ def _per_region(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
         regions_frame(df.sparkSession)
         .join(totals, "region", "left")
         .orderBy("position")
-        .select("region", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sums))
+        .select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sums), "region")
     )
 
 

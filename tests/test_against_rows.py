@@ -54,8 +54,8 @@ def test_beds_and_regions(spark):
             numbers = [*row[:5], *row[6:]]
             sums[region_of[row[5]]] = [a + b for a, b in zip(sums[region_of[row[5]]], numbers)]
     for row in beds.region_rollup(frame).collect():
-        got = tuple(row)
-        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got[1:], sums[got[0]])), row
+        *got, region = row
+        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, sums[region], strict=True)), row
 
 
 def make_tables(spark, rng):

@@ -102,7 +102,7 @@ def test_region_skips_missing_infinite_and_foreign(spark):
             (9.0, 9, True, "PR"), (9.0, 9, True, None)]
     df = spark.createDataFrame(rows, "x double, n int, flag boolean, state string")
     result = beds.get_region_stats(df)
-    assert result.columns == ["region", "x", "n"]
+    assert result.columns == ["x", "n", "region"]
     assert by(result, "region")["Northeast"] == {"region": "Northeast", "x": 1.0, "n": 14.0}
     assert by(result, "region")["West"]["n"] == 0
 
