@@ -56,8 +56,8 @@ def get_available_states_and_regions(tables: Tables) -> DataFrame:
 def get_metrics(tables: Tables, selected_date: Day, states: list[str] | DataFrame) -> DataFrame:
     """Beds, COVID beds, reporting hospitals and rates per state on one day.
 
-    Reports are added up per hospital first. Each hospital is then one row, so hospitals
-    are counted rather than counted distinct, and the join sees no key twice.
+    Reports are added up per hospital first, so the join sees no key twice, and the rows
+    stay partitioned by hospital: counting distinct hospitals needs no shuffle of its own.
     """
     per_hospital = (
         on_day(tables, selected_date)
@@ -71,7 +71,7 @@ def get_metrics(tables: Tables, selected_date: Day, states: list[str] | DataFram
         .groupBy("state")
         .agg(
             *sums("total_beds", "occupied_beds", "covid_beds"),
-            F.count("hospital_pk").alias("reporting_hospitals"),
+            F.count_distinct("hospital_pk").alias("reporting_hospitals"),
         )
         .transform(with_rates)
     )
@@ -171,7 +171,7 @@ def _by_rating(tables: Tables, selected_date: Day, ratings: DataFrame) -> DataFr
         on_day(tables, selected_date)
         .select("hospital_pk", *amounts())
         # a report without a hospital does not count
-        .join(tables.hospital.select("hospital_pk"), "hospital_pk", "left_semi")
+        .join(tables.hospital.select("hospital_pk"), "hospital_pk")
         .join(rated, "hospital_pk")
         .groupBy("overall_quality_rating")
         .agg(*sums("total_beds", "occupied_beds"))

@@ -8,7 +8,7 @@ import pytest
 
 from bedledger.operators.loads import weeks_of_batch
 from bedledger.plans import questions
-from bedledger.sources.tables import SCHEMAS, read_tables, write_table
+from bedledger.sources.tables import SCHEMAS, Tables, read_tables, write_table
 from bedledger.schema import WEEKLY_METRICS
 from testbed import derive
 from testbed.registry import DAY, NORTHEAST, QUERIES
@@ -80,6 +80,11 @@ def test_stored_weeks_and_columns_are_pruned(stored, question, columns):
         assert schema.count("7_day_avg") == columns
 
 
+def test_counting_hospitals_needs_no_shuffle_of_its_own(stored):
+    text = plan(questions.get_metrics(stored, DAY, NORTHEAST), "simple")
+    assert text.count("Exchange hashpartitioning") == 2  # by hospital, by state
+
+
 def test_a_small_hospital_table_is_broadcast(stored):
     for frame in (questions.get_state_metrics_for_map(stored, DAY), questions.get_trend_data(stored, NORTHEAST)):
         text = plan(frame, "simple")
@@ -118,6 +123,35 @@ def test_a_hot_week_is_written_by_several_tasks(spark, tmp_path):
     assert min(files.values()) == 1
 
 
+def test_a_hot_hospital_is_split_in_a_shuffled_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    # one hospital holds half of the reports, at as many timestamps
+    reports = spark.range(200_000).selectExpr(
+        "lpad(IF(id % 2 = 0, 0, id % 5000), 6, '0') AS hospital_pk",
+        "TIMESTAMP_NTZ'2021-01-01' + make_dt_interval(0, 0, 0, id) AS collection_week",
+        *(f"CAST(id % 7 AS DOUBLE) AS {c}" for c in WEEKLY_METRICS),
+    )
+    hospitals = spark.range(5000).selectExpr("lpad(id, 6, '0') AS hospital_pk", "'NY' AS state")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        trend = questions.get_trend_data(Tables(hospitals, reports, None), ["NY"])
+        rows = trend.collect()
+        text = plan(trend, "simple")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in text.split("Initial Plan")[0]
+    assert sum(r.total_beds for r in rows) == 2 * sum(i % 7 for i in range(200_000))
+
+
 def test_a_load_reads_only_the_weeks_of_its_batch(spark, stored):
     batch = derive.weekly(spark, SF, "2001-05-28", "2001-06-04").filter("week <> DATE '2001-05-28'")
     touched = weeks_of_batch(stored.weekly_hospital_stats, batch)
