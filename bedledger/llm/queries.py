@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedledger.llm import chat, quality, simhash
+from bedledger.llm import chat, decontaminate, language, lm, quality, simhash
 from bedledger.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,22 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op2_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(read(spark, sf_dir, "documents"))
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that repeats the template's control strings."""
     said = r"\### Assistant: </turn> ok"
@@ -33,7 +45,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_line_quality, op7_simhash, op10_chat_format)
+    f.__name__: f for f in (op1_line_quality, op2_byte_language, op5_winnowing, op7_simhash, op8_recurrent_lm, op10_chat_format)
 }
 
 ORACLE_SQL: dict[str, str] = {}
