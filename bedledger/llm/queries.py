@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedledger.llm import chat, decontaminate, language, lm, quality, simhash
+from bedledger.llm import chat, decontaminate, language, lm, packing, quality, simhash, toxicity, urls
 from bedledger.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(read(spark, sf_dir, "documents"))
 
 
+def op4_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -32,6 +40,11 @@ def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.train(documents, read(spark, sf_dir, "labels")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that repeats the template's control strings."""
     said = r"\### Assistant: </turn> ok"
@@ -45,7 +58,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_line_quality, op2_byte_language, op5_winnowing, op7_simhash, op8_recurrent_lm, op10_chat_format)
+    f.__name__: f
+    for f in (
+        op1_line_quality,
+        op2_byte_language,
+        op4_grouping_packing,
+        op5_winnowing,
+        op6_url_trees,
+        op7_simhash,
+        op8_recurrent_lm,
+        op9_ordinal_toxicity,
+        op10_chat_format,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
