@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedledger.llm import chat, decontaminate, language, lm, packing, quality, simhash, toxicity, urls
+from bedledger.llm import chat, decontaminate, language, lm, packing, pii, quality, simhash, toxicity, urls
 from bedledger.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op2_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(read(spark, sf_dir, "documents"))
 
 
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return pii.span_digest(pii.find_spans(documents, pii.train(documents)))
+
+
 def op4_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_line_quality,
         op2_byte_language,
+        op3_boosted_pii,
         op4_grouping_packing,
         op5_winnowing,
         op6_url_trees,
