@@ -54,7 +54,7 @@ def calculate_occupancy_stats(df: DataFrame) -> DataFrame:
 
 
 def _numeric_columns(df: DataFrame) -> list[str]:
-    kinds = (T.IntegralType, T.FloatType, T.DoubleType)
+    kinds = (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
@@ -71,17 +71,20 @@ def _per_region(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
         regions_frame(df.sparkSession)
         .join(totals, "region", "left")
         .orderBy("position")
-        .select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sums), "region")
+        .select(*(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums), "region")
     )
 
 
 def get_region_stats(df: DataFrame) -> DataFrame:
     """Every numeric column added up per region, rates included; missing values are skipped.
 
-    Text and boolean columns are left out, and so are states outside the map. Adding up
+    A decimal column stays decimal. Text and boolean columns are left out, and so are states outside the map. Adding up
     rates says little about a region: `region_rates` works them out anew.
     """
-    return _per_region(df, {c: finite_or_null(c) for c in _numeric_columns(df)})
+    decimals = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    return _per_region(
+        df, {c: F.col(c) if c in decimals else finite_or_null(c) for c in _numeric_columns(df)}
+    )
 
 
 def region_rates(df: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ from bedledger.schema import (
 )
 
 _YEAR_FIRST = r"^\s*\d{4}[-/]"
-_MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
+_MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(\s+\d{1,2}:\d{2})?(:\d{2})?\s*$"
+_COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})\s*$"
+_MONTH_NAME = r"^\s*[A-Za-z]{3} \d{1,2}, \d{4}\s*$"
 
 
 def _feed_marks(df: DataFrame) -> list[str]:
@@ -44,14 +46,23 @@ def has_valid_key(c: str | Column = "hospital_pk") -> Column:
 def week_from_text(c: str | Column) -> Column:
     """Text to timestamp without zone; unreadable text becomes NULL.
 
-    Takes year-first dates and date-times with - or /, and month-first dates.
+    Takes year-first dates and date-times with - or /, month-first ones, dates of eight digits, and dates
+    such as `Dec 31, 2021`.
     """
     c = _col(c)
-    month_first = F.regexp_replace(c, _MONTH_FIRST, "$3-$1-$2")
-    return (
+    seconds = F.when(F.regexp_extract(c, _MONTH_FIRST, 4) == "", "").when(
+        F.regexp_extract(c, _MONTH_FIRST, 5) == "", ":00"
+    )
+    month_first = F.concat(
+        F.regexp_replace(c, _MONTH_FIRST, "$3-$1-$2$4$5"), F.coalesce(seconds, F.lit(""))
+    )
+    named = F.when(c.rlike(_MONTH_NAME), F.try_to_date(F.trim(c), "MMM d, yyyy"))
+    return F.coalesce(
         F.when(c.rlike(_YEAR_FIRST), F.replace(c, F.lit("/"), F.lit("-")))
         .when(c.rlike(_MONTH_FIRST), month_first)
-        .try_cast("timestamp_ntz")
+        .when(c.rlike(_COMPACT), F.regexp_replace(c, _COMPACT, "$1-$2-$3"))
+        .try_cast("timestamp_ntz"),
+        named.cast("timestamp_ntz"),
     )
 
 
@@ -61,9 +72,9 @@ def yes_to_true(c: str | Column) -> Column:
     return F.coalesce(word == "yes", F.lit(False))
 
 
-def conform_metric(c: str | Column) -> Column:
-    """Metric text to double: blank or NaN is 0, the suppression code is NULL."""
-    return suppressed_to_null(missing_to_zero(number_from_text(c)))
+def metric_from_text(c: str | Column) -> Column:
+    """Metric text to double: blank or NaN is 0, a text that is no number stays NULL."""
+    return F.when(~is_not_a_number(c), missing_to_zero(number_from_text(c)))
 
 
 # ---- Feed transforms ------------------------------------------------------
@@ -91,13 +102,12 @@ def parse_week(df: DataFrame) -> DataFrame:
 
 def transform_hhs_data(df: DataFrame) -> DataFrame:
     """The weekly feed as table rows. A NULL collection_week marks a row that cannot load."""
-    metrics = {c: number_from_text(c) for c in WEEKLY_METRICS}
+    metrics = {c: metric_from_text(c) for c in WEEKLY_METRICS}
     return (
         df.transform(project_hhs)
         .transform(valid_key)
         .withColumns(metrics)
-        # zero first: a suppressed value then stays NULL
-        .transform(fill_numeric_zero, WEEKLY_METRICS)
+        # zero came first: a suppressed value stays NULL
         .transform(sentinel_to_null, WEEKLY_METRICS)
         .transform(parse_week)
     )

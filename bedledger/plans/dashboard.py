@@ -11,9 +11,6 @@ from bedledger.plans import questions, views
 from bedledger.plans.slices import between_days
 from bedledger.sources.tables import Tables
 
-# The farthest look-back of a question about one date.
-RECENT_DAYS = 35
-
 
 def dashboard(tables: Tables, selected_date: date | str, areas: list[str]) -> dict[str, DataFrame]:
     """Lazy frames by section. Ten of them need only the last weeks before the date.
@@ -22,7 +19,7 @@ def dashboard(tables: Tables, selected_date: date | str, areas: list[str]) -> di
     the whole page may persist it first; persisted or not, the results are the same.
     """
     recent = replace(
-        tables, weekly_hospital_stats=between_days(tables, selected_date, RECENT_DAYS)
+        tables, weekly_hospital_stats=between_days(tables, selected_date, questions.LONGEST_LOOK_BACK)
     )
     metrics = views.selection_metrics(recent, selected_date, areas)
     totals = views.kpi_totals(metrics)

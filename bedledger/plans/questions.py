@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bedledger.functions.exact import exact_minus, exact_sum
 from bedledger.functions.guards import nonneg, nonneg_keep_nan
 from bedledger.functions.rates import percent, rate
 from bedledger.functions.text import count_text
@@ -35,6 +36,14 @@ from bedledger.sources.tables import Tables, with_week
 
 Day = date | str
 
+# How many days before the selected date a question looks back.
+REPORTING_DAYS = 35
+BED_DAYS = 28
+CHANGE_DAYS = 7
+LONGEST_LOOK_BACK = max(REPORTING_DAYS, BED_DAYS, CHANGE_DAYS)
+# A hospital is silent when its last report is older.
+SILENT_DAYS = 14
+
 
 def get_available_dates(tables: Tables) -> DataFrame:
     """Days with reports, newest first."""
@@ -42,15 +51,15 @@ def get_available_dates(tables: Tables) -> DataFrame:
 
 
 def get_available_states_and_regions(tables: Tables) -> DataFrame:
-    """Names to choose from: the states that occur, and the four regions."""
+    """Names to choose from: the four regions in display order (`position`), and the states that occur."""
     states = (
         tables.hospital.filter(F.col("state").isNotNull())
         .select(F.lit("State").alias("kind"), F.col("state").alias("name"))
         .distinct()
     )
-    names = ", ".join(f"('Region', '{region}')" for region in REGION_STATES)
-    regions = tables.hospital.sparkSession.sql(f"SELECT * FROM VALUES {names} AS r(kind, name)")
-    return regions.union(states).orderBy("kind", "name")
+    names = ", ".join(f"('Region', '{region}', {i})" for i, region in enumerate(REGION_STATES))
+    regions = tables.hospital.sparkSession.sql(f"SELECT * FROM VALUES {names} AS r(kind, name, position)")
+    return regions.union(states.withColumn("position", F.lit(0))).orderBy("kind", "position", "name")
 
 
 def get_metrics(tables: Tables, selected_date: Day, states: list[str] | DataFrame) -> DataFrame:
@@ -98,7 +107,7 @@ def get_state_metrics_for_map(tables: Tables, selected_date: Day) -> DataFrame:
 def _weekly_counts(tables: Tables, selected_date: Day) -> DataFrame:
     # The upper bound compares the timestamp itself with midnight of the date.
     return (
-        between_days(tables, selected_date, 35)
+        between_days(tables, selected_date, REPORTING_DAYS)
         .filter(F.col("collection_week") <= day(selected_date).cast("timestamp_ntz"))
         .groupBy(WEEK)
         .agg(F.count_distinct("hospital_pk").alias("hospital_count"))
@@ -133,20 +142,20 @@ def compare_with_week_before(tables: Tables, selected_date: Day) -> DataFrame:
 def get_bed_availability_comparison(tables: Tables, selected_date: Day) -> DataFrame:
     """Total, occupied and free beds per week, for the date and four weeks back."""
     weekly = (
-        between_days(tables, selected_date, 28)
+        between_days(tables, selected_date, BED_DAYS)
         .groupBy(WEEK)
         .agg(
-            F.sum(nonneg(ADULT)).alias("total_adult_beds"),
-            F.sum(nonneg(ADULT_OCCUPIED)).alias("occupied_adult_beds"),
-            F.sum(nonneg(PEDIATRIC)).alias("total_pediatric_beds"),
-            F.sum(nonneg(PEDIATRIC_OCCUPIED)).alias("occupied_pediatric_beds"),
-            F.sum(nonneg(COVID)).alias("covid_beds"),
+            exact_sum(nonneg(ADULT)).alias("total_adult_beds"),
+            exact_sum(nonneg(ADULT_OCCUPIED)).alias("occupied_adult_beds"),
+            exact_sum(nonneg(PEDIATRIC)).alias("total_pediatric_beds"),
+            exact_sum(nonneg(PEDIATRIC_OCCUPIED)).alias("occupied_pediatric_beds"),
+            exact_sum(nonneg(COVID)).alias("covid_beds"),
         )
         .orderBy(F.desc(WEEK))
         .limit(5)
     )
     free = {
-        kind: (F.col(f"total_{kind}_beds") - F.col(f"occupied_{kind}_beds"))
+        kind: exact_minus(f"total_{kind}_beds", f"occupied_{kind}_beds")
         for kind in ("adult", "pediatric")
     }
     return weekly.select(
@@ -234,8 +243,8 @@ def get_hospitals_with_significant_changes(tables: Tables, selected_date: Day) -
     # A hospital without an earlier report has no change and cannot pass the threshold.
     changes = (
         cases(0, "current_cases")
-        .join(cases(7, "previous_cases"), "hospital_pk")
-        .withColumn("absolute_change", F.col("current_cases") - F.col("previous_cases"))
+        .join(cases(CHANGE_DAYS, "previous_cases"), "hospital_pk")
+        .withColumn("absolute_change", exact_minus("current_cases", "previous_cases"))
         .filter(F.abs("absolute_change") >= 5)
     )
     hospitals = tables.hospital.select("hospital_pk", "hospital_name", "city", "state")
@@ -271,7 +280,7 @@ def get_non_reporting_hospitals(tables: Tables, selected_date: Day) -> DataFrame
     return (
         tables.hospital.select("hospital_pk", "hospital_name", "city", "state")
         .join(last_reports, "hospital_pk", "left")
-        .filter((last < F.date_sub(day(selected_date), 14)) | last.isNull())
+        .filter((last < F.date_sub(day(selected_date), SILENT_DAYS)) | last.isNull())
         .orderBy(F.desc_nulls_last("last_report_date"), "hospital_pk")
         .limit(10)
         .select(

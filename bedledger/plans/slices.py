@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bedledger.functions.exact import exact_plus, exact_sum
 from bedledger.functions.guards import nonneg
 from bedledger.functions.rates import rate
 from bedledger.schema import WEEK
@@ -43,14 +44,14 @@ def between_days(tables: Tables, selected_date: date | str, days_back: int) -> D
 def amounts() -> list[Column]:
     """Guarded bed counts of one report; the guard comes before any sum."""
     return [
-        (nonneg(ADULT) + nonneg(PEDIATRIC)).alias("total_beds"),
-        (nonneg(ADULT_OCCUPIED) + nonneg(PEDIATRIC_OCCUPIED)).alias("occupied_beds"),
+        exact_plus(nonneg(ADULT), nonneg(PEDIATRIC)).alias("total_beds"),
+        exact_plus(nonneg(ADULT_OCCUPIED), nonneg(PEDIATRIC_OCCUPIED)).alias("occupied_beds"),
         nonneg(COVID).alias("covid_beds"),
     ]
 
 
 def sums(*names: str) -> list[Column]:
-    return [F.sum(name).alias(name) for name in names]
+    return [exact_sum(name).alias(name) for name in names]
 
 
 def with_rates(totals: DataFrame) -> DataFrame:

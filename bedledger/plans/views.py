@@ -10,6 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bedledger.functions.exact import exact_plus
 from bedledger.functions.rates import percent_or_zero
 from bedledger.functions.regions import get_states_for_selection
 from bedledger.functions.text import (
@@ -28,7 +29,8 @@ from bedledger.sources.tables import Tables
 def kpi_totals(metrics: DataFrame) -> DataFrame:
     """Totals over the states of `get_metrics`, with rates; no row if there are no states."""
     totals = metrics.agg(
-        *sums("reporting_hospitals", "total_beds", "occupied_beds", "covid_beds")
+        F.sum("reporting_hospitals").alias("reporting_hospitals"),
+        *sums("total_beds", "occupied_beds", "covid_beds"),
     ).filter(F.col("reporting_hospitals").isNotNull())
     return totals.withColumn(
         "occupancy_rate", F.least(percent_or_zero("occupied_beds", "total_beds"), F.lit(100.0))
@@ -55,7 +57,7 @@ def comparison_chart(metrics: DataFrame) -> DataFrame:
 
 def bed_trend_chart(availability: DataFrame) -> DataFrame:
     """Occupied and COVID beds per week, one row per point."""
-    occupied = F.col("occupied_adult_beds") + F.col("occupied_pediatric_beds")
+    occupied = exact_plus("occupied_adult_beds", "occupied_pediatric_beds")
     return availability.select(
         WEEK, occupied.alias("Total Occupied Beds"), F.col("covid_beds").alias("COVID Beds")
     ).unpivot([WEEK], ["Total Occupied Beds", "COVID Beds"], "series", "beds")
@@ -96,7 +98,7 @@ def display_beds(availability: DataFrame) -> DataFrame:
 
 
 def display_quality(by_rating: DataFrame) -> DataFrame:
-    """Quality analysis with display headings."""
+    """Quality analysis with display headings (fixed values)."""
     return by_rating.withColumn("occupancy_rate", percent_text("occupancy_rate")).withColumnsRenamed(
         {
             "overall_quality_rating": "Quality Rating",

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bedledger.plans.slices import on_day
 from bedledger.schema import QUALITY_COLUMNS, SUPPRESSED, WEEKLY_COLUMNS, WEEKLY_METRICS
 from bedledger.session import scratch_folder
 from bedledger.sources.tables import Tables
@@ -94,14 +93,14 @@ ITEMS_OF_WEEK = [
 ]
 _MIX = "(l_suppkey * 7 + items + CAST(adult AS BIGINT))"
 METRICS_OF_WEEK = [
-    f"IF({_MIX} % 31 = 0, double('NaN'), adult)",
-    "pediatric",
-    "adult_occupied",
-    f"IF({_MIX} % 29 = 0, NULL, pediatric_occupied)",
-    "icu",
-    "icu_used",
-    f"IF({_MIX} % 23 = 0, {SUPPRESSED}, covid)",
-    "icu_covid",
+    f"IF({_MIX} % 31 = 0, double('NaN'), adult / 10)",
+    "pediatric / 10",
+    "adult_occupied / 10",
+    f"IF({_MIX} % 29 = 0, NULL, pediatric_occupied / 10)",
+    "icu / 10",
+    "icu_used / 10",
+    f"CASE WHEN {_MIX} % 23 = 0 THEN {SUPPRESSED} WHEN {_MIX} % 4001 = 0 THEN double('NaN') ELSE covid / 10 END",
+    "icu_covid / 10",
 ]
 
 
@@ -182,19 +181,20 @@ def tables(
 # ---- Bed frame ------------------------------------------------------------
 
 
-def bed_rows(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
-    """Bed frame of one day: adult totals as text, and some impossible values."""
-    t = tables(spark, sf_dir, day, day)
+def bed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bed frame of all reports: adult totals as text, and some impossible values."""
+    t = tables(spark, sf_dir)
     adult, pediatric, adult_occupied, pediatric_occupied, _, _, covid, _ = WEEKLY_METRICS
     states = t.hospital.select("hospital_pk", "state")
-    return on_day(t, day).join(states, "hospital_pk").selectExpr(
+    return t.weekly_hospital_stats.join(states, "hospital_pk").selectExpr(
         "hospital_pk",
+        "week",
         "state",
         f"IF(hospital_pk LIKE '%5', 'n/a', CAST({adult} AS STRING)) AS total_adult_beds",
         f"{adult_occupied} AS occupied_adult_beds",
         f"IF(hospital_pk LIKE '%6', -1, {pediatric}) AS total_pediatric_beds",
         f"{pediatric_occupied} AS occupied_pediatric_beds",
-        f"{covid} AS covid_beds",
+        f"IF(hospital_pk LIKE '%8', double('Infinity'), {covid}) AS covid_beds",
     )
 
 
@@ -205,10 +205,10 @@ def hhs_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly tables as a text feed with the defects real feeds have."""
     t = tables(spark, sf_dir)
     pediatric = WEEKLY_METRICS[1]
-    mix = f"(unix_date(week) + CAST({pediatric} AS BIGINT))"
+    mix = f"(unix_date(week) + CAST(floor({pediatric}) AS BIGINT))"
     # a NaN metric is a blank field
     metrics = {
-        c: f"CAST(CAST(nullif({c}, double('NaN')) AS BIGINT) AS STRING)" for c in WEEKLY_METRICS
+        c: f"CAST(nullif({c}, double('NaN')) AS STRING)" for c in WEEKLY_METRICS
     }
     metrics[pediatric] = f"IF({mix} % 47 = 0, 'many', {metrics[pediatric]})"
     return t.weekly_hospital_stats.join(t.hospital, "hospital_pk").selectExpr(
@@ -223,6 +223,7 @@ def hhs_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""CASE WHEN {mix} % 41 = 0 THEN 'junk'
                  WHEN {mix} % 4 = 1 THEN replace(CAST(week AS STRING), '-', '/')
                  WHEN {mix} % 4 = 2 THEN concat(week, ' 00:00:00')
+                 WHEN {mix} % 8 = 3 THEN date_format(week, 'MM/dd/yyyy 00:00')
                  ELSE CAST(week AS STRING) END AS collection_week""",
         *(f"{c} AS {name}" for name, c in metrics.items()),
     )
@@ -277,12 +278,12 @@ def hospital_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_split(spark: SparkSession, sf_dir: str, day: str) -> tuple[DataFrame, DataFrame]:
     """(existing, batch): reports before the day, and reports from four weeks before it on.
 
-    Reports with more than 20 COVID beds arrive a second time with one bed more.
+    Reports with more than 2 COVID beds arrive a second time with one bed more.
     """
     existing = weekly(spark, sf_dir, last=_day_before(day, 7)).select(*WEEKLY_COLUMNS)
     reports = weekly(spark, sf_dir, first=_day_before(day, 28)).select(*WEEKLY_COLUMNS)
     covid = WEEKLY_METRICS[6]
-    copies = f"explode(IF({covid} > 20, array(0, 1), array(0))) AS seq"
+    copies = f"explode(IF({covid} > 2, array(0, 1), array(0))) AS seq"
     batch = reports.selectExpr("*", copies).withColumn(covid, F.expr(f"{covid} + seq"))
     return existing, batch
 

@@ -7,6 +7,8 @@ from bedledger.schema import (
     HOSPITAL_COLUMNS,
     HOSPITAL_WIDTHS,
     QUALITY_COLUMNS,
+    QUALITY_RENAMES,
+    QUALITY_WIDTHS,
     REGION_STATES,
     WEEKLY_METRICS,
 )
@@ -70,14 +72,15 @@ VIEWS = {
     "weekly_hospital_stats": f"""
         SELECT to_base(l_suppkey + 1, 36, 6) AS hospital_pk,
                CAST(week AS TIMESTAMP) AS collection_week,
-               CASE WHEN mix % 31 = 0 THEN {NAN} ELSE adult END AS {ADULT},
-               CAST(pediatric AS DOUBLE) AS {PED},
-               CAST(adult_occupied AS DOUBLE) AS {ADULT_OCC},
-               CASE WHEN mix % 29 <> 0 THEN CAST(pediatric_occupied AS DOUBLE) END AS {PED_OCC},
-               CAST(icu AS DOUBLE) AS {ICU},
-               CAST(icu_used AS DOUBLE) AS {ICU_USED},
-               CASE WHEN mix % 23 = 0 THEN -999999.0 ELSE CAST(covid AS DOUBLE) END AS {COVID},
-               CAST(icu_covid AS DOUBLE) AS {ICU_COVID},
+               CASE WHEN mix % 31 = 0 THEN {NAN} ELSE CAST(adult AS DOUBLE) / 10 END AS {ADULT},
+               CAST(pediatric AS DOUBLE) / 10 AS {PED},
+               CAST(adult_occupied AS DOUBLE) / 10 AS {ADULT_OCC},
+               CASE WHEN mix % 29 <> 0 THEN CAST(pediatric_occupied AS DOUBLE) / 10 END AS {PED_OCC},
+               CAST(icu AS DOUBLE) / 10 AS {ICU},
+               CAST(icu_used AS DOUBLE) / 10 AS {ICU_USED},
+               CASE WHEN mix % 23 = 0 THEN -999999.0 WHEN mix % 4001 = 0 THEN {NAN}
+                    ELSE CAST(covid AS DOUBLE) / 10 END AS {COVID},
+               CAST(icu_covid AS DOUBLE) / 10 AS {ICU_COVID},
                week
         FROM reports""",
     "hospital_quality": f"""
@@ -98,13 +101,14 @@ VIEWS = {
                CASE WHEN m % 41 = 0 THEN 'junk'
                     WHEN m % 4 = 1 THEN strftime(week, '%Y/%m/%d')
                     WHEN m % 4 = 2 THEN strftime(week, '%Y-%m-%d') || ' 00:00:00'
+                    WHEN m % 8 = 3 THEN strftime(week, '%m/%d/%Y') || ' 00:00'
                     ELSE strftime(week, '%Y-%m-%d') END AS collection_week,
                {", ".join(
-                   f"CASE WHEN m % 47 = 0 THEN 'many' ELSE CAST(CAST({c} AS BIGINT) AS VARCHAR) END AS {c}"
+                   f"CASE WHEN m % 47 = 0 THEN 'many' ELSE CAST({c} AS VARCHAR) END AS {c}"
                    if c == PED
-                   else f"CAST(CAST(nullif({c}, {NAN}) AS BIGINT) AS VARCHAR) AS {c}"
+                   else f"CAST(nullif({c}, {NAN}) AS VARCHAR) AS {c}"
                    for c in WEEKLY_METRICS)}
-        FROM (SELECT *, date_diff('day', DATE '1970-01-01', week) + CAST({PED} AS BIGINT) AS m
+        FROM (SELECT *, date_diff('day', DATE '1970-01-01', week) + CAST(floor({PED}) AS BIGINT) AS m
               FROM weekly_hospital_stats JOIN hospital USING (hospital_pk))""",
     "quality_feed": f"""
         SELECT CASE WHEN number % 11 = 0 THEN substr(hospital_pk, 2) ELSE hospital_pk END
@@ -148,9 +152,30 @@ def lax_guard(c: str) -> str:
     return f"greatest(coalesce({c}, 0), 0)"
 
 
-TOTAL = f"sum({guard(ADULT)} + {guard(PED)})"
-OCCUPIED = f"sum({guard(ADULT_OCC)} + {guard(PED_OCC)})"
-COVID_SUM = f"sum({guard(COVID)})"
+def decimal(c: str) -> str:
+    return f"TRY_CAST({c} AS DECIMAL(28, 12))"
+
+
+def exact_sum(*terms: str) -> str:
+    """Decimal sum as a double; NaN or infinity where one occurs."""
+    value = " + ".join(f"({t})" for t in terms)
+    exact = " + ".join(decimal(t) for t in terms)
+    return (
+        f"coalesce(max({value}) FILTER (WHERE NOT isfinite({value})), "
+        f"CAST(sum({exact}) FILTER (WHERE isfinite({value})) AS DOUBLE))"
+    )
+
+
+def exact_minus(a: str, b: str) -> str:
+    return (
+        f"(CASE WHEN isfinite({a}) AND isfinite({b}) THEN CAST({decimal(a)} - {decimal(b)} AS DOUBLE) "
+        f"ELSE {a} - {b} END)"
+    )
+
+
+TOTAL = exact_sum(guard(ADULT), guard(PED))
+OCCUPIED = exact_sum(guard(ADULT_OCC), guard(PED_OCC))
+COVID_SUM = exact_sum(guard(COVID))
 JOINED = "weekly_hospital_stats w JOIN hospital h ON w.hospital_pk = h.hospital_pk"
 
 
@@ -190,7 +215,7 @@ def by_rating(ratings: str) -> str:
 
 def covid_by(keys: str) -> str:
     return f"""
-        SELECT {keys}, sum({lax_guard(COVID)}) AS covid_cases
+        SELECT {keys}, {exact_sum(lax_guard(COVID))} AS covid_cases
         FROM (SELECT *, substr(fips_code, 1, 2) AS state_fips FROM {JOINED})
         WHERE {STAMP} = {D} AND state IS NOT NULL GROUP BY {keys}"""
 
@@ -213,30 +238,32 @@ def week_over_week(order: str) -> str:
 
 BED_AVAILABILITY = f"""
     SELECT week, total_adult_beds, occupied_adult_beds,
-           total_adult_beds - occupied_adult_beds AS available_adult_beds,
+           {exact_minus("total_adult_beds", "occupied_adult_beds")} AS available_adult_beds,
            total_pediatric_beds, occupied_pediatric_beds,
-           total_pediatric_beds - occupied_pediatric_beds AS available_pediatric_beds, covid_beds
-    FROM (SELECT week, sum({guard(ADULT)}) AS total_adult_beds,
-                 sum({guard(ADULT_OCC)}) AS occupied_adult_beds,
-                 sum({guard(PED)}) AS total_pediatric_beds,
-                 sum({guard(PED_OCC)}) AS occupied_pediatric_beds,
+           {exact_minus("total_pediatric_beds", "occupied_pediatric_beds")}
+               AS available_pediatric_beds, covid_beds
+    FROM (SELECT week, {exact_sum(guard(ADULT))} AS total_adult_beds,
+                 {exact_sum(guard(ADULT_OCC))} AS occupied_adult_beds,
+                 {exact_sum(guard(PED))} AS total_pediatric_beds,
+                 {exact_sum(guard(PED_OCC))} AS occupied_pediatric_beds,
                  {COVID_SUM} AS covid_beds
           FROM weekly_hospital_stats
           WHERE week <= {D} AND week >= {D} - INTERVAL 4 WEEK
           GROUP BY week ORDER BY week DESC LIMIT 5)"""
 
+CHANGE = exact_minus("current_cases", "previous_cases")
 CHANGES = f"""
     SELECT hospital_name, city, state, current_cases, previous_cases,
-           current_cases - previous_cases AS absolute_change,
+           {CHANGE} AS absolute_change,
            CASE WHEN previous_cases > 0
-                THEN (current_cases - previous_cases) / previous_cases * 100 END AS percent_change
+                THEN {CHANGE} / previous_cases * 100 END AS percent_change
     FROM (SELECT hospital_pk, {lax_guard(COVID)} AS current_cases
           FROM weekly_hospital_stats WHERE week = {D})
     JOIN hospital USING (hospital_pk)
     LEFT JOIN (SELECT hospital_pk, {lax_guard(COVID)} AS previous_cases
                FROM weekly_hospital_stats WHERE week = {D} - INTERVAL 1 WEEK) USING (hospital_pk)
-    WHERE abs(current_cases - previous_cases) >= 5
-    ORDER BY abs(current_cases - previous_cases) DESC, hospital_pk LIMIT 10"""
+    WHERE abs({CHANGE}) >= 5
+    ORDER BY abs({CHANGE}) DESC, hospital_pk LIMIT 10"""
 
 NON_REPORTING = f"""
     SELECT hospital_name, city, state, last_report_date,
@@ -267,15 +294,16 @@ KPI = f"""
     FROM ({STATE_METRICS}) HAVING count(*) > 0"""
 
 BED_ROWS = f"""
-    SELECT hospital_pk, state,
+    SELECT hospital_pk, week, state,
            CASE WHEN hospital_pk LIKE '%5' THEN 'n/a' ELSE CAST({ADULT} AS VARCHAR) END
                AS total_adult_beds,
            {ADULT_OCC} AS occupied_adult_beds,
            CASE WHEN hospital_pk LIKE '%6' THEN -1.0 ELSE {PED} END AS total_pediatric_beds,
-           {PED_OCC} AS occupied_pediatric_beds, {COVID} AS covid_beds
-    FROM weekly_hospital_stats JOIN hospital USING (hospital_pk) WHERE week = {D}"""
+           {PED_OCC} AS occupied_pediatric_beds,
+           CASE WHEN hospital_pk LIKE '%8' THEN 'Infinity'::DOUBLE ELSE {COVID} END AS covid_beds
+    FROM weekly_hospital_stats JOIN hospital USING (hospital_pk)"""
 BED_CLEAN = f"""
-    SELECT hospital_pk, state, total_adult_beds, occupied_adult_beds, total_pediatric_beds,
+    SELECT hospital_pk, week, state, total_adult_beds, occupied_adult_beds, total_pediatric_beds,
            occupied_pediatric_beds,
            least(covid_beds, occupied_adult_beds + occupied_pediatric_beds) AS covid_beds,
            occupied_adult_beds + occupied_pediatric_beds AS total_occupied
@@ -318,11 +346,12 @@ ROLLUP_SUMS = ["total_adult_beds", *BED_SUMS, "total_occupied", "total_beds", "o
 
 # ---- Loader fragments -----------------------------------------------------
 
-WEEK_VALUE = "TRY_CAST(replace(collection_week, '/', '-') AS TIMESTAMP)"
+WEEK_VALUE = """coalesce(try_strptime(collection_week, '%m/%d/%Y %H:%M'),
+    TRY_CAST(replace(collection_week, '/', '-') AS TIMESTAMP))"""
 CLEAN_HHS = f"""
     SELECT {", ".join(HOSPITAL_COLUMNS)}, {WEEK_VALUE} AS collection_week,
            {", ".join(
-               f"nullif(coalesce(TRY_CAST({c} AS DOUBLE), 0), -999999) AS {c}" for c in WEEKLY_METRICS)}
+               f"nullif(CASE WHEN {c} IS NULL THEN 0 ELSE TRY_CAST({c} AS DOUBLE) END, -999999) AS {c}" for c in WEEKLY_METRICS)}
     FROM hhs_feed WHERE length(hospital_pk) = 6"""
 REASONS = f"""
     SELECT *, length(hospital_pk) <> 6 AS bad_key,
@@ -346,7 +375,7 @@ WEEKLY_BATCH = f"""
     UNION ALL
     SELECT * REPLACE ({COVID} + 1 AS {COVID}) FROM (
         SELECT {WEEKLY_FIELDS}, 1 AS seq FROM weekly_hospital_stats
-        WHERE week >= {D} - INTERVAL 28 DAY AND {COVID} > 20)"""
+        WHERE week >= {D} - INTERVAL 28 DAY AND {COVID} > 2)"""
 QUALITY_FIELDS = ", ".join(QUALITY_COLUMNS)
 
 
@@ -418,6 +447,12 @@ ORACLE = {
                    WHERE NOT bad_key AND reason IS NULL)) AS hospital_records,
                count(*) FILTER (WHERE NOT bad_key AND reason IS NULL) AS weekly_records
         FROM ({REASONS})""",
+    "quality_load_summary": f"""
+        SELECT count(*) AS rows_read, count(*) FILTER (WHERE NOT stored) AS rows_dropped,
+               0::BIGINT AS rows_rejected,
+               (SELECT count(*) FROM (SELECT DISTINCT * FROM ({QUALITY_KNOWN}))) AS quality_records
+        FROM (SELECT length("Facility ID") = 6
+                     AND "Facility ID" IN (SELECT hospital_pk FROM hospital) AS stored FROM quality_feed)""",
     "distinct_rows": FIRST_ROWS,
     "upsert_hospital": upserted(
         "SELECT * FROM hospital", FIRST_ROWS, ", ".join(HOSPITAL_COLUMNS), "hospital_pk"
@@ -429,21 +464,41 @@ ORACLE = {
         "hospital_pk, week",
     ),
     "upsert_quality": upserted(
-        "SELECT * FROM hospital_quality WHERE rating_year = 2000",
+        "SELECT * FROM hospital_quality",
         QUALITY_BATCH,
         QUALITY_FIELDS,
         "hospital_pk, rating_year",
     ),
     "dq_pk": f"""
-        SELECT hospital_pk, week, count(*) AS copies FROM ({WEEKLY_BATCH})
-        GROUP BY 1, 2 HAVING count(*) > 1""",
+        SELECT 'hospital' AS table_name, hospital_pk AS key, count(*) AS copies
+        FROM (SELECT hospital_pk FROM hospital UNION ALL SELECT hospital_pk FROM ({HOSPITAL_BATCH}))
+        GROUP BY hospital_pk HAVING count(*) > 1
+        UNION ALL
+        SELECT 'weekly_hospital_stats', hospital_pk || ' ' || strftime(week, '%Y-%m-%d 00:00:00'), count(*)
+        FROM (SELECT hospital_pk, week FROM weekly_hospital_stats WHERE week < {D} - INTERVAL 6 DAY
+              UNION ALL SELECT hospital_pk, week FROM ({WEEKLY_BATCH}))
+        GROUP BY hospital_pk, week HAVING count(*) > 1
+        UNION ALL
+        SELECT 'hospital_quality', hospital_pk || ' ' || CAST(rating_year AS VARCHAR), count(*)
+        FROM (SELECT hospital_pk, rating_year FROM hospital_quality
+              UNION ALL SELECT hospital_pk, rating_year FROM clean_quality)
+        GROUP BY hospital_pk, rating_year HAVING count(*) > 1""",
     "dq_fk": """
-        SELECT * FROM clean_quality c
-        WHERE NOT EXISTS (SELECT 1 FROM hospital h WHERE h.hospital_pk = c.hospital_pk)""",
+        SELECT table_name, hospital_pk, count(*) AS rows
+        FROM (SELECT 'weekly_hospital_stats' AS table_name, hospital_pk FROM weekly_hospital_stats
+              UNION ALL SELECT 'hospital_quality', hospital_pk FROM clean_quality) c
+        WHERE NOT EXISTS (SELECT 1 FROM hospital h
+                          WHERE h.hospital_pk = c.hospital_pk AND h.hospital_pk NOT LIKE '%7')
+        GROUP BY ALL""",
     "dq_width": " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE length(rtrim({c})) > {n}) "
-        "AS overflow_rows FROM hhs_feed"
-        for c, n in HOSPITAL_WIDTHS.items()
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, "
+        f'count(*) FILTER (WHERE length(rtrim("{source}")) > {n}) AS overflow_rows FROM {feed}'
+        for table, feed, widths, sources in (
+            ("hospital", "hhs_feed", HOSPITAL_WIDTHS, {}),
+            ("hospital_quality", "quality_feed", QUALITY_WIDTHS, {v: k for k, v in QUALITY_RENAMES.items()}),
+        )
+        for c, n in widths.items()
+        for source in [sources.get(c, c)]
     ),
     "nonneg_guard": f"""
         SELECT hospital_pk, week, {guard(ADULT)} AS adult, {guard(COVID)} AS covid,
@@ -462,8 +517,10 @@ ORACLE = {
         FROM picked p LEFT JOIN region_states r ON r.region = p.selection""",
     "available_dates": f"SELECT DISTINCT {STAMP} AS week FROM weekly_hospital_stats",
     "available_areas": """
-        SELECT DISTINCT 'State' AS kind, state AS name FROM hospital WHERE state IS NOT NULL
-        UNION ALL SELECT 'Region', region FROM regions""",
+        SELECT DISTINCT 'State' AS kind, state AS name, 0 AS position FROM hospital WHERE state IS NOT NULL
+        UNION ALL SELECT 'Region', region,
+                         CASE region WHEN 'Northeast' THEN 0 WHEN 'Midwest' THEN 1 WHEN 'South' THEN 2 ELSE 3 END
+        FROM regions""",
     "state_metrics": STATE_METRICS,
     "state_map": f"""
         SELECT state, covid_cases, {rate("least(occupied, total)", "total")} AS occupancy_rate
@@ -494,6 +551,7 @@ ORACLE = {
     "occupancy_stats": OCCUPANCY,
     "region_stats": per_region(BED_ROWS, BED_SUMS),
     "region_rollup": per_region(OCCUPANCY, ROLLUP_SUMS),
+    "region_pipeline": per_region(OCCUPANCY, ROLLUP_SUMS),
     "region_stats_weighted": per_region(
         OCCUPANCY, ["total_beds", "occupied_beds", "covid_beds"], REGIONAL_RATES
     ),
@@ -508,7 +566,7 @@ ORACLE = {
         UNPIVOT (value FOR variable IN (occupancy_rate, covid_percentage))""",
     "chart_bed_trend": f"""
         SELECT week, 'Total Occupied Beds' AS series,
-               occupied_adult_beds + occupied_pediatric_beds AS beds FROM ({BED_AVAILABILITY})
+               CAST({decimal("occupied_adult_beds")} + {decimal("occupied_pediatric_beds")} AS DOUBLE) AS beds FROM ({BED_AVAILABILITY})
         UNION ALL SELECT week, 'COVID Beds', covid_beds FROM ({BED_AVAILABILITY})""",
     "chart_weekly_reporting": f"""
         SELECT week, count(DISTINCT hospital_pk) AS hospital_count FROM weekly_hospital_stats

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,12 @@ from bedledger.plans import questions, views
 from bedledger.plans.slices import COVID
 from bedledger.schema import (
     ARRIVAL,
+    BROKEN_LINE,
     HOSPITAL_COLUMNS,
+    HOSPITAL_KEY,
     HOSPITAL_WIDTHS,
+    QUALITY_KEY,
+    QUALITY_WIDTHS,
     WEEKLY_KEY,
     WEEKLY_METRICS,
 )
@@ -25,11 +30,8 @@ from testbed import derive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Selected date (a Monday), how far its questions look back, and the selections.
+# Selected date (a Monday), and the selections.
 DAY = "2001-06-04"
-ONE_WEEK_BACK = "2001-05-28"
-FOUR_WEEKS_BACK = "2001-05-07"
-FIVE_WEEKS_BACK = "2001-04-30"
 LAST_DAYS = "2001-11-12"  # shortly after the data ends, so some hospitals have gone quiet
 NORTHEAST = ["ME", "NY", "PA", "MA", "NJ"]
 TREND_STATES = ["CA", "OR", "TX", "NY"]
@@ -43,8 +45,9 @@ GROUP BY h.state
 """
 
 
-def on_the_day(question: Callable, back_to: str = DAY) -> Query:
-    """A question about DAY, over tables read from `back_to` to DAY."""
+def on_the_day(question: Callable, days_back: int = 0) -> Query:
+    """A question about DAY that looks so many days back."""
+    back_to = str(date.fromisoformat(DAY) - timedelta(days=days_back))
     return lambda spark, sf: question(derive.tables(spark, sf, back_to, DAY), DAY)
 
 
@@ -117,6 +120,13 @@ def load_summary(spark, sf):
     return loads.hhs_load_summary(cleaning.explain_hhs_rows(derive.hhs_feed(spark, sf)))
 
 
+def quality_load_summary(spark, sf):
+    explained = cleaning.explain_quality_rows(derive.quality_feed(spark, sf))
+    known = derive.hospital(spark, sf).select("hospital_pk", F.lit(True).alias("known"))
+    marked = explained.join(known, "hospital_pk", "left").fillna(False, ["known"])
+    return loads.quality_load_summary(marked.withColumn(BROKEN_LINE, F.lit(False)))
+
+
 # ---- Upserts and checks ---------------------------------------------------
 
 
@@ -141,23 +151,41 @@ def _dated(rows):
 
 def upsert_quality(spark, sf):
     hospital = derive.hospital(spark, sf)
-    existing = derive.quality(spark, sf).filter("rating_year = 2000")
+    existing = derive.quality(spark, sf)
     ratings = clean_quality(spark, sf)
     batch = derive.quality_versions(upsert.known_hospitals_only(ratings, hospital))
     return upsert.upsert_quality(existing, batch, "seq")
 
 
 def dq_pk(spark, sf):
-    _, batch = derive.weekly_split(spark, sf, DAY)
-    return _dated(checks.duplicate_keys(batch, WEEKLY_KEY))
+    """Keys of all three tables: stored hospitals and batch, all reports and batch, ratings of both years twice."""
+    hospitals = derive.hospital(spark, sf).unionByName(derive.hospital_batch(spark, sf).drop("seq"))
+    stored, batch = derive.weekly_split(spark, sf, DAY)
+    reports = stored.unionByName(batch.drop("seq"))
+    ratings = derive.quality(spark, sf).unionByName(clean_quality(spark, sf))
+    return checks.duplicate_keys_of(
+        {
+            "hospital": (hospitals, HOSPITAL_KEY),
+            "weekly_hospital_stats": (reports, WEEKLY_KEY),
+            "hospital_quality": (ratings, QUALITY_KEY),
+        }
+    )
 
 
 def dq_fk(spark, sf):
-    return checks.orphan_rows(clean_quality(spark, sf), derive.hospital(spark, sf))
+    """Rows of both referring tables without a hospital."""
+    hospital = derive.hospital(spark, sf).filter("hospital_pk NOT LIKE '%7'")
+    return checks.orphan_rows_of(
+        {"weekly_hospital_stats": derive.weekly(spark, sf), "hospital_quality": clean_quality(spark, sf)}, hospital
+    )
 
 
 def dq_width(spark, sf):
-    return checks.width_overflow(derive.hhs_feed(spark, sf), HOSPITAL_WIDTHS)
+    """Both feeds against the widths of their tables."""
+    ratings = cleaning.project_rename_quality(derive.quality_feed(spark, sf))
+    return checks.width_overflow_of(
+        {"hospital": (derive.hhs_feed(spark, sf), HOSPITAL_WIDTHS), "hospital_quality": (ratings, QUALITY_WIDTHS)}
+    )
 
 
 # ---- Expressions ----------------------------------------------------------
@@ -197,14 +225,14 @@ def expanded_selection(spark, sf):
 
 state_metrics = on_the_day(lambda t, d: questions.get_metrics(t, d, NORTHEAST))
 state_map = on_the_day(questions.get_state_metrics_for_map)
-week_over_week = on_the_day(questions.get_week_over_week_comparison, FIVE_WEEKS_BACK)
-week_over_week_prev = on_the_day(questions.compare_with_week_before, FIVE_WEEKS_BACK)
-bed_availability = on_the_day(questions.get_bed_availability_comparison, FOUR_WEEKS_BACK)
+week_over_week = on_the_day(questions.get_week_over_week_comparison, questions.REPORTING_DAYS)
+week_over_week_prev = on_the_day(questions.compare_with_week_before, questions.REPORTING_DAYS)
+bed_availability = on_the_day(questions.get_bed_availability_comparison, questions.BED_DAYS)
 quality_rating = on_the_day(questions.get_quality_rating_analysis)
 quality_rating_latest = on_the_day(questions.occupancy_by_latest_rating)
 covid_rank = on_the_day(questions.get_state_covid_map_data)
 significant_changes = on_the_day(
-    questions.get_hospitals_with_significant_changes, ONE_WEEK_BACK
+    questions.get_hospitals_with_significant_changes, questions.CHANGE_DAYS
 )
 top_states = on_the_day(questions.get_top_states_by_covid)
 
@@ -234,7 +262,7 @@ def sql_query(spark, sf):
 
 
 def bed_rows(spark, sf):
-    return derive.bed_rows(spark, sf, DAY)
+    return derive.bed_rows(spark, sf)
 
 
 selection_metrics = on_the_day(lambda t, d: views.selection_metrics(t, d, AREAS))
@@ -257,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "quality_known": quality_known,
     "reject_report": reject_report,
     "load_summary": load_summary,
+    "quality_load_summary": quality_load_summary,
     "distinct_rows": distinct_rows,
     "upsert_hospital": upsert_hospital,
     "upsert_weekly": upsert_weekly,
@@ -286,6 +315,7 @@ QUERIES: dict[str, Query] = {
     "occupancy_stats": shown(beds.calculate_occupancy_stats, bed_rows),
     "region_stats": shown(beds.get_region_stats, bed_rows),
     "region_rollup": shown(beds.region_rollup, bed_rows),
+    "region_pipeline": shown(beds.region_rollup, bed_rows),
     "region_stats_weighted": shown(
         lambda rows: beds.region_rates(beds.calculate_occupancy_stats(rows)), bed_rows
     ),
