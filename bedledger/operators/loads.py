@@ -1,11 +1,9 @@
 """File-to-table loads, all or nothing.
 
-A load validates before it writes. New table contents go to a staging folder first; only
-when all of them are complete are they published. Publishing copies staged data over the
-target and can be repeated (`publish`), so a load that lost its driver half-way is
-finished from the staging folder; until then further loads are refused. One load at a
-time may write to a root folder. Two tables are not one transaction: a reader may see
-the new hospitals a moment before the new weekly rows, never the other way round.
+A load validates before it writes. The rows that win are staged; `publish` merges them with the stored rows they
+leave in place into a new version of the touched parts, and one entry in the publish log makes all of them
+live, so hospitals and reports change together. A load that was cut short has changed nothing: repeat it, or its
+`publish`. A finished publish is not done again. One load at a time may write to a root folder.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from bedledger.operators.cleaning import (
 from bedledger.operators.upsert import (
     hospital_winners,
     quality_winners,
-    rows_to_keep,
+    replace_rows,
     weekly_winners,
 )
 from bedledger.schema import (
@@ -36,27 +35,35 @@ from bedledger.schema import (
     HOSPITAL_KEY,
     QUALITY_COLUMNS,
     QUALITY_KEY,
-    WEEK,
     WEEKLY_KEY,
 )
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
-from bedledger.sources.tables import SCHEMAS, read_or_empty, read_table, with_week, write_table
-
-PUBLISH_LOG = "publish_log"
+from bedledger.sources.tables import (
+    PARTITION_COLUMN,
+    SCHEMAS,
+    MissingTables,
+    State,
+    live_state,
+    remove_folder,
+    switch,
+    table_of,
+    was_published,
+    with_week,
+    write_version,
+)
 
-# Longest list of days that is broadcast; longer ones are joined by shuffle.
-BROADCAST_DAYS = 50_000
+KEYS = {
+    "hospital": HOSPITAL_KEY,
+    "weekly_hospital_stats": WEEKLY_KEY,
+    "hospital_quality": QUALITY_KEY,
+}
 
 
 class LoadRejected(Exception):
     """Some rows cannot be stored, so nothing was."""
 
 
-class UnfinishedPublish(Exception):
-    """An earlier load stopped while it was publishing."""
-
-
 @dataclass(frozen=True)
 class LoadResult:
     summary: dict[str, int]
@@ -103,19 +110,9 @@ def _staged_feed(spark: SparkSession, explained: DataFrame, stage: str) -> DataF
     return spark.read.schema(explained.schema).parquet(f"{stage}/feed")
 
 
-def _stage_upsert(
-    existing: DataFrame, winners: DataFrame, key: list[str], stage: str, name: str
-) -> None:
-    """Write the winners, then beside them the existing rows they leave in place.
-
-    The second step reads the winners back, so they are worked out once. Files are sized
-    and partitioned only when they are published.
-    """
-    path, schema = f"{stage}/new/{name}", SCHEMAS[name]
-    winners.select(*schema.names).write.parquet(path)
-    written = winners.sparkSession.read.schema(schema).parquet(path)
-    kept = rows_to_keep(existing, written, key).select(*schema.names)
-    kept.write.mode("append").parquet(path)
+def _stage_winners(winners: DataFrame, stage: str, name: str) -> None:
+    """Write the winners of a batch, so that they are worked out once."""
+    winners.select(*SCHEMAS[name].names).write.parquet(f"{stage}/new/{name}")
 
 
 def _accept(feed: DataFrame, failing: Column, on_reject: str, stage: str) -> DataFrame:
@@ -135,16 +132,13 @@ def _one_row(df: DataFrame) -> dict[str, int]:
     return df.first().asDict()
 
 
-def weeks_of_batch(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored rows of those weeks that occur in the batch; other partitions stay unread."""
-    weeks = with_week(batch).select(WEEK).distinct()
-    first, last = weeks.agg(F.min(WEEK), F.max(WEEK)).first()
+def parts_of_batch(stored: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """The stored rows of those partitions that occur in the batch; other partitions stay unread."""
+    parts = batch.select(column).distinct()
+    first, last = batch.agg(F.min(column), F.max(column)).first()
     if first is None:
         return stored.limit(0)
-    # a distinct day list is as long as the span at most, so its size is known here
-    if (last - first).days < BROADCAST_DAYS:
-        weeks = F.broadcast(weeks)
-    return stored.filter(F.col(WEEK).between(first, last)).join(weeks, WEEK, "left_semi")
+    return stored.filter(F.col(column).between(first, last)).join(parts, column, "left_semi")
 
 
 def load_hhs_data(
@@ -161,21 +155,15 @@ def load_hhs_data(
     rows and keeps the misfits under `<staging>/rejects`. multi_line=True allows line
     breaks in quoted fields, at the price of one task per file.
     """
-    require_finished(spark, root)
     stage = _stage(spark, staging)
     raw = read_hhs_csv(spark, file_path, multi_line, broken_lines="mark")
     feed = _staged_feed(spark, explain_hhs_rows(raw), stage)
     failing = ~F.col("bad_key") & F.col("reject_reason").isNotNull()
     batch = transform_hhs_data(_accept(feed, failing, on_reject, stage))
 
-    hospitals = read_table(spark, root, "hospital")
-    _stage_upsert(hospitals, hospital_winners(batch), HOSPITAL_KEY, stage, "hospital")
-
-    touched = weeks_of_batch(read_table(spark, root, "weekly_hospital_stats"), batch)
-    winners = with_week(weekly_winners(batch))
-    _stage_upsert(touched, winners, WEEKLY_KEY, stage, "weekly_hospital_stats")
-    publish(spark, stage, root)
-    return LoadResult(_one_row(hhs_load_summary(feed)), stage)
+    _stage_winners(hospital_winners(batch), stage, "hospital")
+    _stage_winners(with_week(weekly_winners(batch)), stage, "weekly_hospital_stats")
+    return _published(spark, stage, root, hhs_load_summary(feed))
 
 
 def load_quality_data(
@@ -189,9 +177,9 @@ def load_quality_data(
 ) -> LoadResult:
     """Load the quality feed of one rating year; ratings of unknown hospitals are left out."""
     year = int(year)
-    require_finished(spark, root)
     stage = _stage(spark, staging)
-    hospitals = read_table(spark, root, "hospital").select("hospital_pk", F.lit(True).alias("known"))
+    stored = table_of(spark, root, "hospital", _state(spark, root))
+    hospitals = stored.select("hospital_pk", F.lit(True).alias("known"))
     raw = read_quality_csv(spark, file_path, multi_line, broken_lines="mark")
     explained = explain_quality_rows(raw)
     marked = explained.join(hospitals, "hospital_pk", "left").fillna(False, ["known"])
@@ -202,41 +190,45 @@ def load_quality_data(
     accepted = _accept(feed, failing, on_reject, stage).filter("known")
     batch = conform_quality(accepted, year)
 
-    stored = read_table(spark, root, "hospital_quality").filter(F.col("rating_year") == year)
-    _stage_upsert(stored, quality_winners(batch), QUALITY_KEY, stage, "hospital_quality")
-    publish(spark, stage, root)
-    return LoadResult(_one_row(quality_load_summary(feed)), stage)
-
-
-def publish(spark: SparkSession, stage: str, root: str) -> None:
-    """Copy the staged tables over the stored ones, hospitals first.
+    _stage_winners(quality_winners(batch), stage, "hospital_quality")
+    return _published(spark, stage, root, quality_load_summary(feed))
 
-    Repeating a publish that was cut short completes it; a finished one is left alone, so
-    an old stage cannot undo later loads.
-    """
-    done = (F.col("stage") == stage) & (F.col("state") == "finished")
-    if not _publishes(spark, root).filter(done).isEmpty():
-        return
-    _note(spark, root, stage, "started")
-    for name in SCHEMAS:
-        staged = read_table(spark, f"{stage}/new", name)
-        if not staged.isEmpty():
-            write_table(staged, root, name)
-    _note(spark, root, stage, "finished")
 
+def _state(spark: SparkSession, root: str) -> State:
+    """The live state; nothing before the first load."""
+    try:
+        return live_state(spark, root)[1]
+    except MissingTables:
+        return {}
 
-def _note(spark: SparkSession, root: str, stage: str, state: str) -> None:
-    line = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(state).alias("state"))
-    line.write.mode("append").parquet(f"{root}/{PUBLISH_LOG}")
 
+def _published(spark: SparkSession, stage: str, root: str, summary: DataFrame) -> LoadResult:
+    counts = _one_row(summary)
+    publish(spark, stage, root)
+    for part in ("feed", "new"):
+        remove_folder(spark, f"{stage}/{part}")
+    return LoadResult(counts, stage)
 
-def _publishes(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/{PUBLISH_LOG}", "stage string, state string")
 
+def publish(spark: SparkSession, stage: str, root: str) -> None:
+    """Merge the staged winners into the stored tables and make the result live in one step.
 
-def require_finished(spark: SparkSession, root: str) -> None:
-    """Raise if a publish was cut short: the tables may be incomplete until it is repeated."""
-    finished = F.count_if(F.col("state") == "finished").alias("finished")
-    cut = _publishes(spark, root).groupBy("stage").agg(finished).filter("finished = 0").first()
-    if cut is not None:
-        raise UnfinishedPublish(f"publish {cut.stage} to {root} first")
+    A finished publish is left alone, so an old stage cannot undo later loads.
+    """
+    if was_published(spark, root, stage):
+        return
+    state, version, parts = _state(spark, root), stage.rpartition("/")[2], {}
+    for name, key in KEYS.items():
+        try:
+            winners = spark.read.schema(SCHEMAS[name]).parquet(f"{stage}/new/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # another kind of load
+        if winners.isEmpty():
+            continue
+        stored = table_of(spark, root, name, state)
+        if name in PARTITION_COLUMN:
+            stored = parts_of_batch(stored, winners, PARTITION_COLUMN[name])
+        parts[name] = write_version(replace_rows(stored, winners, key), root, name, version)
+    switch(spark, root, stage, parts, version)

@@ -1,15 +1,17 @@
 """Keyed last-write-wins upserts as set operations.
 
-`seq` names the column with the arrival order. A batch may hold one key in a large share
-of its rows: both reductions below are plain aggregations, so every map task sends at
-most one row per key (or per distinct row) into the shuffle, and no task has to hold or
-sort all rows of a key.
+`seq` names the column with the arrival order; it differs between the rows of a key. A batch may hold one key in a
+large share of its rows: both reductions below are plain aggregations, so every map task sends at most one
+row per key (or per distinct row) into the shuffle. Where the order is a number and all values are numbers, as
+for weekly reports, the reduction is a hash aggregate; text and structs in the buffer make it a sort within each map
+task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bedledger.schema import (
     ARRIVAL,
@@ -31,6 +33,8 @@ def first_of_each_row(df: DataFrame, seq: str = ARRIVAL) -> DataFrame:
 def last_per_key(df: DataFrame, key: list[str], seq: str = ARRIVAL) -> DataFrame:
     """The last arrived row of every key, without `seq`."""
     values = [c for c in df.columns if c not in (*key, seq)]
+    if all(isinstance(df.schema[c].dataType, T.NumericType) for c in (*values, seq)):
+        return df.groupBy(*key).agg(*(F.max_by(c, seq).alias(c) for c in values))
     # arrival leads the struct, so its maximum is the last row
     last = F.max(F.struct(F.col(seq).alias("_seq"), *values)).alias("last")
     return df.groupBy(*key).agg(last).select(*key, *(f"last.{c}" for c in values))

@@ -269,18 +269,25 @@ def get_hospitals_with_significant_changes(tables: Tables, selected_date: Day) -
 def get_non_reporting_hospitals(tables: Tables, selected_date: Day) -> DataFrame:
     """Ten hospitals whose last report is more than two weeks old, or that never reported.
 
-    The last report is taken over all reports, later ones than the date included.
+    The last report is taken over all reports, later ones than the date included. Hospitals with a report
+    since the limit are left out first, which reads only those partitions; the older reports are
+    looked at for the others alone.
     """
+    reports = with_week(tables.weekly_hospital_stats)
+    limit = F.date_sub(day(selected_date), SILENT_DAYS)
+    active = reports.filter(F.col(WEEK) >= limit).select("hospital_pk").distinct()
+    silent = tables.hospital.select("hospital_pk", "hospital_name", "city", "state").join(
+        active, "hospital_pk", "left_anti"
+    )
     last_reports = (
-        with_week(tables.weekly_hospital_stats)
+        reports.filter(F.col(WEEK) < limit)
+        .join(silent.select("hospital_pk"), "hospital_pk", "left_semi")
         .groupBy("hospital_pk")
         .agg(F.max(WEEK).alias("last_report_date"))
     )
     last = F.col("last_report_date")
     return (
-        tables.hospital.select("hospital_pk", "hospital_name", "city", "state")
-        .join(last_reports, "hospital_pk", "left")
-        .filter((last < F.date_sub(day(selected_date), SILENT_DAYS)) | last.isNull())
+        silent.join(last_reports, "hospital_pk", "left")
         .orderBy(F.desc_nulls_last("last_report_date"), "hospital_pk")
         .limit(10)
         .select(

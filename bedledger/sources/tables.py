@@ -1,12 +1,16 @@
 """The three tables: how they are stored, read and queried.
 
-Layout under a root folder: `hospital` (Parquet), `weekly_hospital_stats` (partitioned by
-`week`, the calendar day of collection_week) and `hospital_quality` (partitioned by
-rating_year). Every date predicate of the questions becomes a partition filter.
+Under a root folder each write of a table has a folder of its own, `<table>/version=<id>`, with one
+folder per partition below it: the calendar day of collection_week (`week`), or rating_year. `publish_log`
+says which version of each partition is live. One small file is added to it by each publish, holds the
+whole state, and appears at once: a reader sees all of a publish or nothing of it, and a write that was cut short
+stays invisible. Every date predicate of the questions becomes a partition filter.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -40,56 +44,161 @@ class Tables:
     weekly_hospital_stats: DataFrame
     hospital_quality: DataFrame
 
-    def register(self) -> None:
-        """Expose the relations to spark.sql under their table names."""
-        self.hospital.createOrReplaceTempView("hospital")
-        self.weekly_hospital_stats.createOrReplaceTempView("weekly_hospital_stats")
-        self.hospital_quality.createOrReplaceTempView("hospital_quality")
 
+class MissingTables(Exception):
+    """Nothing was ever published under this root folder."""
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Parquet files of a known schema; an empty frame where nothing was written yet."""
+
+LOG = "publish_log"
+_LOG_SCHEMA = "seq bigint, publish string, table_name string, part string, version string"
+VERSION = "version"
+# The part of a table without partitions.
+WHOLE = ""
+
+State = dict[str, dict[str, str]]
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(_LOG_SCHEMA).parquet(f"{root}/{LOG}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        raise MissingTables(f"no tables under {root}") from e
+
+
+def live_state(spark: SparkSession, root: str) -> tuple[int, State]:
+    """Number of the last publish, and the live version of each part of each table."""
+    log = _log(spark, root)
+    seq = log.agg(F.max("seq")).first()[0]
+    state: State = {}
+    # one row per stored day and year at most
+    for row in log.filter(F.col("seq") == F.lit(seq)).filter("version IS NOT NULL").collect():
+        state.setdefault(row.table_name, {})[row.part] = row.version
+    return seq, state
+
+
+def was_published(spark: SparkSession, root: str, publish: str) -> bool:
+    try:
+        return not _log(spark, root).filter(F.col("publish") == publish).isEmpty()
+    except MissingTables:
+        return False
+
+
+def table_of(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
+    """The live rows of a table; empty if the state has none."""
+    schema, parts = SCHEMAS[name], state.get(name)
+    if not parts:
         return spark.createDataFrame([], schema)
+    partition = PARTITION_COLUMN.get(name)
+    if partition is None:
+        return spark.read.schema(schema).parquet(f"{root}/{name}/{VERSION}={parts[WHOLE]}")
+    versioned = T.StructType([*schema.fields, T.StructField(VERSION, T.StringType())])
+    live = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair))
+    stored = spark.read.schema(versioned).parquet(f"{root}/{name}")
+    # both sides are partition columns: only live folders are read
+    is_live = live[F.col(partition).cast("string")] == F.col(VERSION)
+    return stored.filter(is_live).select(*schema.names)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    schema = SCHEMAS[name]
-    return read_or_empty(spark, f"{root}/{name}", schema).select(*schema.names)
+    return table_of(spark, root, name, live_state(spark, root)[1])
 
 
 def read_tables(spark: SparkSession, root: str) -> Tables:
-    return Tables(*(read_table(spark, root, name) for name in SCHEMAS))
+    """All three tables as one publish left them."""
+    state = live_state(spark, root)[1]
+    return Tables(*(table_of(spark, root, name, state) for name in SCHEMAS))
 
 
-def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Replace `hospital`, or only those partitions of a partitioned table `df` has rows for.
+def write_version(df: DataFrame, root: str, name: str, version: str) -> list[str]:
+    """Write rows as a version that nobody sees yet; returns the parts it has rows for.
 
     The rebalance hint lets AQE size the output files from the shuffle it measured: a
     partition that holds most of the rows is split over many tasks, small ones share one.
     A partitioned write sorts by the partition anyway; with the key behind it, equal keys
     lie together and row-group statistics on the key become useful.
     """
-    partition = PARTITION_COLUMN.get(name)
+    partition, path = PARTITION_COLUMN.get(name), f"{root}/{name}/{VERSION}={version}"
     df = df.select(*SCHEMAS[name].names)
     if partition is None:
-        df.hint("rebalance").write.mode("overwrite").parquet(f"{root}/{name}")
-        return
-    (
-        df.hint("rebalance", partition)
-        .sortWithinPartitions(partition, "hospital_pk")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(f"{root}/{name}")
-    )
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
+        return [WHOLE]
+    rows = df.hint("rebalance", partition).sortWithinPartitions(partition, "hospital_pk")
+    rows.write.mode("overwrite").partitionBy(partition).parquet(path)
+    written = df.sparkSession.read.schema(SCHEMAS[name]).parquet(path)
+    parts = written.select(F.col(partition).cast("string").alias("part")).distinct().collect()
+    return [row.part for row in parts]
+
+
+def switch(spark: SparkSession, root: str, publish: str, parts: dict[str, list[str]], version: str) -> None:
+    """Make the written parts live, all at once."""
+    try:
+        seq, state = live_state(spark, root)
+    except MissingTables:
+        seq, state = 0, {}
+    for name, changed in parts.items():
+        state.setdefault(name, {}).update(dict.fromkeys(changed, version))
+    rows = [(seq + 1, publish, name, part, v) for name, live in state.items() for part, v in live.items()]
+    rows = rows or [(seq + 1, publish, None, None, None)]
+    spark.createDataFrame(rows, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{LOG}")
+
+
+def write_table(df: DataFrame, root: str, name: str) -> None:
+    """Replace `hospital`, or only those partitions of a partitioned table `df` has rows for."""
+    version = uuid.uuid4().hex
+    parts = write_version(df, root, name, f"v{version}")
+    switch(df.sparkSession, root, version, {name: parts}, f"v{version}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def expire(spark: SparkSession, root: str) -> int:
+    """Remove parts that are no longer live, and all but the last file of the log; returns how many parts.
+
+    Call it while no load runs and no reader still uses an older state.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seq, state = live_state(spark, root)
+    removed = 0
+    for name in SCHEMAS:
+        depth = f"{root}/{name}/{VERSION}=*" + ("/*=*" if name in PARTITION_COLUMN else "")
+        for found in files.globStatus(path(depth)) or []:
+            own = found.getPath()
+            parent = own.getParent() if name in PARTITION_COLUMN else own
+            part = own.getName().partition("=")[2] if name in PARTITION_COLUMN else WHOLE
+            if state.get(name, {}).get(part) != parent.getName().partition("=")[2]:
+                files.delete(own, True)
+                removed += 1
+    last = {r[0] for r in _log(spark, root).filter(F.col("seq") == seq).select("_metadata.file_name").distinct().collect()}
+    for found in files.globStatus(path(f"{root}/{LOG}/*.parquet")) or []:
+        if found.getPath().getName() not in last:
+            files.delete(found.getPath(), False)
+    return removed
 
 
 def read_sql_query(sql: str, tables: Tables, params: dict | None = None) -> DataFrame:
-    """Run SQL text against the tables, with named parameters (`:name`)."""
-    tables.register()
-    return tables.hospital.sparkSession.sql(sql, args=params or {})
+    """Run SQL text against the tables, with named parameters (`:name`).
+
+    The tables are bound to this query alone: the session's own views of these names stay as they are.
+    """
+    spark = tables.hospital.sparkSession
+    mark = uuid.uuid4().hex[:8]
+    views = {name: f"{name}_{mark}" for name in SCHEMAS}
+    for name, view in views.items():
+        getattr(tables, name).createOrReplaceTempView(view)
+    try:
+        # a table's name stands for its view, with the same alias
+        heads = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        text = sql.strip()
+        with_list = re.match(r"(?i)WITH\s+(?!RECURSIVE\b)", text)
+        whole = f"WITH {heads}, {text[with_list.end():]}" if with_list else f"WITH {heads} {text}"
+        return spark.sql(whole, args=params or {})
+    finally:
+        # the analysed query holds the relations themselves
+        for view in views.values():
+            spark.catalog.dropTempView(view)

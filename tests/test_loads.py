@@ -1,20 +1,21 @@
+import threading
 from datetime import date
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from bedledger.operators import loads
 from bedledger.operators.loads import (
     LoadRejected,
-    UnfinishedPublish,
     load_hhs_data,
     load_quality_data,
     publish,
 )
-from bedledger.schema import HHS_COLUMNS, QUALITY_RENAMES, WEEKLY_METRICS
+from bedledger.schema import HHS_COLUMNS, HOSPITAL_COLUMNS, QUALITY_RENAMES, WEEKLY_METRICS
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
-from bedledger.sources.tables import read_table, read_tables
+from bedledger.sources.tables import MissingTables, expire, read_table, read_tables, write_table
 from bedledger.streaming.feed_folder import load_new_hhs_files
 
 COVID = WEEKLY_METRICS[6]
@@ -128,7 +129,7 @@ def test_first_and_second_load(spark, tmp_path):
     assert sorted(map(repr, stored(spark, root, "weekly_hospital_stats", "hospital_pk", "week", COVID))) == sorted(
         map(repr, [("010001", old, 2.0), ("010002", old, None), ("010002", new, 1.0)]))
 
-    untouched = sorted(Path(root, "weekly_hospital_stats", "week=2021-12-31").glob("*.parquet"))
+    untouched = sorted(Path(root, "weekly_hospital_stats").glob("version=*/week=2021-12-31/*.parquet"))
     second = write_hhs(tmp_path / "2.csv", hhs_row("010002", "2022/01/07", "7"), hhs_row("010003", "2022/01/07"))
     load_hhs_data(spark, second, root, staging=str(tmp_path / "s"))
     assert [h for h, in stored(spark, root, "hospital", "hospital_pk")] == ["010001", "010002", "010003"]
@@ -136,7 +137,7 @@ def test_first_and_second_load(spark, tmp_path):
     assert ("010002", new, 7.0) in [
         tuple(r) for r in read_table(spark, root, "weekly_hospital_stats")
         .select("hospital_pk", "week", COVID).filter(f"{COVID} IS NOT NULL").collect()]
-    assert sorted(Path(root, "weekly_hospital_stats", "week=2021-12-31").glob("*.parquet")) == untouched
+    assert sorted(Path(root, "weekly_hospital_stats").glob("version=*/week=2021-12-31/*.parquet")) == untouched
 
 
 def test_a_bad_row_stops_the_load(spark, tmp_path):
@@ -174,29 +175,72 @@ def test_a_feed_without_rows(spark, tmp_path):
     assert [f.count() for f in vars(read_tables(spark, root)).values()] == [0, 0, 0]
 
 
-def test_a_cut_publish_has_to_be_repeated(spark, tmp_path, monkeypatch):
+def test_a_cut_publish_changes_nothing(spark, tmp_path, monkeypatch):
     root, stage = str(tmp_path / "db"), str(tmp_path / "s")
     load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001")), root, staging=stage)
-    real = loads.write_table
+    real = loads.write_version
 
-    def cut(df, to, name):
+    def cut(df, to, name, version):
         if name == "weekly_hospital_stats":
             raise OSError("lost")
-        real(df, to, name)
+        return real(df, to, name, version)
 
-    monkeypatch.setattr(loads, "write_table", cut)
+    monkeypatch.setattr(loads, "write_version", cut)
     second = write_hhs(tmp_path / "2.csv", hhs_row("010002"))
     with pytest.raises(OSError):
         load_hhs_data(spark, second, root, staging=stage)
     monkeypatch.undo()
-    with pytest.raises(UnfinishedPublish) as refused:
-        load_hhs_data(spark, second, root, staging=stage)
-    publish(spark, str(refused.value).split()[1], root)
-    assert len(stored(spark, root, "weekly_hospital_stats", "hospital_pk")) == 2
+    for name in ("hospital", "weekly_hospital_stats"):
+        assert stored(spark, root, name, "hospital_pk") == [("010001",)]
+    (left,) = [p for p in Path(stage).iterdir() if (p / "new").exists()]
+    publish(spark, str(left), root)
+    for name in ("hospital", "weekly_hospital_stats"):
+        assert stored(spark, root, name, "hospital_pk") == [("010001",), ("010002",)]
     load_hhs_data(spark, second, root, staging=stage)
     assert len(stored(spark, root, "hospital", "hospital_pk")) == 2
 
 
+def test_readers_see_the_old_or_the_new_rows_only(spark, tmp_path):
+    root = str(tmp_path / "db")
+    sizes = {1000, 40000}
+    write_table(hospitals(spark, 1000), root, "hospital")
+    seen, failed = set(), []
+
+    def poll():
+        while not done.is_set():
+            try:
+                seen.add(read_table(spark, root, "hospital").count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    done = threading.Event()
+    reader = threading.Thread(target=poll)
+    reader.start()
+    for n in (40000, 1000, 40000):
+        write_table(hospitals(spark, n), root, "hospital")
+    done.set()
+    reader.join()
+    assert not failed and seen <= sizes
+
+
+def hospitals(spark, n):
+    text = [F.lit("x").alias(c) for c in HOSPITAL_COLUMNS[1:]]
+    return spark.range(n).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("hospital_pk"), *text)
+
+
+def test_stages_are_cleaned_and_old_versions_expire(spark, tmp_path):
+    root, stage = str(tmp_path / "db"), str(tmp_path / "s")
+    for n in (1, 2, 3):
+        path = write_hhs(tmp_path / f"{n}.csv", hhs_row("010001", covid=str(n)))
+        result = load_hhs_data(spark, path, root, staging=stage)
+        assert not Path(result.staging, "new").exists() and not Path(result.staging, "feed").exists()
+    assert expire(spark, root) == 4
+    assert stored(spark, root, "weekly_hospital_stats", COVID) == [(3.0,)]
+    assert len(list(Path(root, "publish_log").glob("*.parquet"))) == 1
+    load_hhs_data(spark, write_hhs(tmp_path / "4.csv", hhs_row("010002")), root, staging=stage)
+    assert len(stored(spark, root, "hospital", "hospital_pk")) == 2
+
+
 def test_quality_load(spark, tmp_path):
     root, stage = str(tmp_path / "db"), str(tmp_path / "s")
     load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001"), hhs_row("010002")), root, staging=stage)
@@ -225,9 +269,9 @@ def test_quality_load(spark, tmp_path):
         load_quality_data(spark, older, "2021-07-01", root)
 
 
-def test_missing_tables_are_empty(spark, tmp_path):
-    t = read_tables(spark, str(tmp_path / "nothing"))
-    assert [f.count() for f in vars(t).values()] == [0, 0, 0]
+def test_a_mistyped_root_is_an_error(spark, tmp_path):
+    with pytest.raises(MissingTables):
+        read_tables(spark, str(tmp_path / "nothing"))
 
 
 def test_folder_loads_each_file_once(spark, tmp_path):

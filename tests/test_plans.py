@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from bedledger.operators.loads import weeks_of_batch
+from bedledger.operators.loads import parts_of_batch
 from bedledger.plans import questions
 from bedledger.sources.tables import SCHEMAS, Tables, read_tables, write_table
 from bedledger.schema import WEEKLY_METRICS
@@ -75,7 +75,8 @@ def test_stored_weeks_and_columns_are_pruned(stored, question, columns):
     weekly = [b for b in scans if "7_day_avg" in b]
     assert weekly
     for scan in weekly:
-        assert "PartitionFilters: [isnotnull(week" in scan
+        (line,) = [x for x in scan.splitlines() if x.startswith("PartitionFilters")]
+        assert "isnotnull(week" in line and "version" in line
         schema = scan.split("ReadSchema: ")[1]
         assert schema.count("7_day_avg") == columns
 
@@ -116,7 +117,7 @@ def test_a_hot_week_is_written_by_several_tasks(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "weekly_hospital_stats").glob("week=*")}
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "weekly_hospital_stats").glob("version=*/week=*")}
     assert len(files) == 5
     # a small week may share the shuffle partition of the hot one, and so its splits
     assert files["week=2021-03-12"] == max(files.values()) > 3
@@ -154,15 +155,26 @@ def test_a_hot_hospital_is_split_in_a_shuffled_join(spark):
 
 def test_a_load_reads_only_the_weeks_of_its_batch(spark, stored):
     batch = derive.weekly(spark, SF, "2001-05-28", "2001-06-04").filter("week <> DATE '2001-05-28'")
-    touched = weeks_of_batch(stored.weekly_hospital_stats, batch)
+    touched = parts_of_batch(stored.weekly_hospital_stats, batch, "week")
     scan = next(b for b in plan(touched).split("\n\n") if "Scan parquet" in b and "7_day_avg" in b)
     assert "(week#" in scan and ">= 2001-06-04)" in scan and "<= 2001-06-04)" in scan
-    assert "BroadcastHashJoin LeftSemi" in plan(touched)
+    assert "LeftSemi" in plan(touched)
     assert [r.week.isoformat() for r in touched.select("week").distinct().collect()] == ["2001-06-04"]
-    nothing = weeks_of_batch(stored.weekly_hospital_stats, batch.filter("false"))
+    nothing = parts_of_batch(stored.weekly_hospital_stats, batch.filter("false"), "week")
     assert nothing.count() == 0
 
 
+def test_weekly_upserts_are_hash_aggregates(spark):
+    text = plan(QUERIES["upsert_weekly"](spark, SF), "simple")
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_silent_hospitals_read_old_weeks_only_for_the_others(spark, stored):
+    text = plan(questions.get_non_reporting_hospitals(stored, DAY))
+    filters = [b for b in text.split("\n\n") if "Scan parquet" in b and "PartitionFilters" in b and "week#" in b]
+    assert any(">= 2001-05-21" in b for b in filters) and any("< 2001-05-21" in b for b in filters)
+
+
 def test_ship_dates_reach_the_scan(spark):
     text = plan(QUERIES["state_metrics"](spark, SF))
     assert "GreaterThanOrEqual(l_shipdate,2001-06-04" in text

@@ -257,8 +257,8 @@ def test_choices(spark):
     )
     assert rows(questions.get_available_dates(t)) == [(date(2021, 3, 12),), (date(2021, 3, 5),)]
     assert rows(questions.get_available_states_and_regions(t)) == [
-        ("Region", "Midwest"), ("Region", "Northeast"), ("Region", "South"), ("Region", "West"),
-        ("State", "AL"), ("State", "NY")]
+        ("Region", "Northeast", 0), ("Region", "Midwest", 1), ("Region", "South", 2), ("Region", "West", 3),
+        ("State", "AL", 0), ("State", "NY", 0)]
 
 
 def test_kpi_totals(spark):
