@@ -1,0 +1,44 @@
+"""Small tables and plain Python counterparts for the operator tests."""
+
+import re
+import zlib
+from pathlib import Path
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).is_dir(), reason="test tables not there")
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+# columns whose names the operators use themselves
+CLASHING = ("kept", "fp", "score", "row", "hits", "n_words", "lang_pred", "toxic", "length", "c0", "host", "words")
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(spark, rows, extra=True):
+    """Rows of (doc_id, text[, lang[, source]]) as a documents table with columns of clashing names."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None, None if r[1] is None else len(r[1])) for r in rows]
+    made = spark.createDataFrame(full, DOCUMENTS)
+    return made.selectExpr("*", *(f"'x' AS {c}" for c in CLASHING)) if extra else made
+
+
+def odd_rows():
+    """Nulls, empty and blank texts, very long ones, ties and repeated rows."""
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    return [
+        (None, None), (None, ""), (1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (5, "ÄÖ ß 漢字 🙂"), (6, long),
+        (7, "x" * 200_000), (8, "1" * 100_000), (None, "b c d e f"), (None, "b c d e f"), (9, "@" * 5_000), (10, "\x00 \u2028 \x85"),
+    ]
+
+
+def bucket(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=repr)

@@ -1,0 +1,65 @@
+from hashlib import sha256
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from bedledger.llm import chat
+from bedledger.llm.queries import QUERIES
+from helpers import SF, needs_tables, table
+
+TEXT = st.text(alphabet="ab#<>/:\\\n turné漢🙂", max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a:\nb", "#<\\"]), TEXT), max_size=5))
+def test_round_trip(turns):
+    formatted, starts, ends = chat.render(turns)
+    assert chat.parse(formatted) == turns
+    for (_, text), a, b in zip(turns, starts, ends):
+        body = formatted[a:b]
+        assert chat.unescape(body) == text and "###" not in body and "</turn>" not in body
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), TEXT), min_size=1, max_size=5))
+def test_masked_text_is_the_trained_text(turns):
+    import public_tokenizers
+
+    formatted, starts, ends = chat.render(turns)
+    encoded = chat.tokenizer(public_tokenizers.path("byte_bpe_50k.json")).encode(formatted, add_special_tokens=False)
+    spans = np.array(encoded.offsets).reshape(-1, 2)
+    at = [i for i, t in enumerate(turns) if t[0] == "assistant"]
+    a, b = [starts[i] for i in at], [ends[i] for i in at]
+    mask = chat.token_mask(a, b, spans[:, 0], spans[:, 1])
+    assert mask.tolist() == [any(max(s, x) < min(e, y) for x, y in zip(a, b)) for s, e in spans.tolist()]
+    texts = chat.masked_text(formatted, a, b, spans[:, 0], spans[:, 1], mask)
+    assert [chat.unescape(t) for t in texts] == [turns[i][1] for i in at]
+
+
+def expected(turns):
+    text = "".join(t or "" for r, t in turns if r == "assistant")
+    told = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    size = len(chat.render([(r or "", t or "") for r, t in turns])[0])
+    return len(turns), sha256(told.encode()).hexdigest(), len(text), sha256(text.encode()).hexdigest(), size
+
+
+@needs_tables
+def test_query_like_plain_python(spark):
+    by_id = {-7: [("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### Assistant: </turn> ok")]}
+    for r in sorted(table(spark, "conversations").collect(), key=lambda r: (r.conv_id, r.turn)):
+        by_id.setdefault(r.conv_id, []).append((r.role, r.text))
+    found = QUERIES["op10_chat_format"](spark, SF).collect()
+    assert {tuple(r) for r in found} == {(i, *expected(t)) for i, t in by_id.items()}
+
+
+def test_odd_rows(spark):
+    rows = [(1, 0, None, None), (1, 1, "assistant", ""), (2, None, "user", "x"), (2, 3, "assistant", "y</turn>"), (2, 3, "assistant", "y</turn>"),
+            (None, 0, "user", "lost"), (3, 0, "assistant", "漢字🙂" * 20_000), (4, 1, "assistant", "b"), (4, 1, "assistant", "a")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS formatted", "1 AS turns")
+    found = {r.conv_id: tuple(r)[1:] for r in chat.formatted_digest(chat.format_conversations(frame)).collect()}
+    assert found == {
+        1: expected([("", ""), ("assistant", "")]), 2: expected([("user", "x"), ("assistant", "y</turn>"), ("assistant", "y</turn>")]),
+        None: expected([("user", "lost")]), 3: expected([("assistant", "漢字🙂" * 20_000)]), 4: expected([("assistant", "a"), ("assistant", "b")]),
+    }
+    assert chat.format_conversations(frame.limit(0)).count() == 0
