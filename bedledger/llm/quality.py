@@ -26,8 +26,9 @@ from bedledger.llm.common import checkpointed, map_batches
 LINE_DOCUMENTS = 20
 #: ... and more than this share of the host's documents.
 LINE_SHARE = 0.001
-#: A document is depleted when less than this share of its words, or fewer than MIN_WORDS, remain.
+#: A document is depleted when less than this share of its words, or fewer than LEFT_WORDS, remain.
 LEFT_SHARE = 0.5
+LEFT_WORDS = 20
 MIN_WORDS = 50
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -127,6 +128,7 @@ def quality_rules(
     line_limit: int = LINE_DOCUMENTS,
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
+    left_words: int = LEFT_WORDS,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Counts, base verdict, words left without common lines, and the final verdict of each row.
@@ -149,7 +151,7 @@ def quality_rules(
     same = (counted["text_key"] == removed["of_text"]) & counted["host"].eqNullSafe(removed["of_host"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce(F.col("removed"), F.lit(0))
-    depleted = (left < min_words) | (left < left_share * F.col("n_words"))
+    depleted = (left < left_words) | (left < left_share * F.col("n_words"))
     return counted.join(removed, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bedledger.llm import chat, decontaminate, language, lm, packing, pii, quality, simhash, toxicity, urls
 from bedledger.llm.common import read
+from bedledger.llm.oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +31,8 @@ def op4_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("items")
 
 
 def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +79,3 @@ QUERIES: dict[str, Query] = {
         op10_chat_format,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
