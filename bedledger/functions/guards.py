@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from bedledger.schema import SUPPRESSED
 
-# Decimal or exponent notation, or an infinity. A plain cast is laxer (it takes "1.5d").
-_NUMBER = r"[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)"
-_NUMBER_TEXT = rf"(?i)^\s*{_NUMBER}\s*$"
-_NUMBER_OR_MISSING_TEXT = rf"(?i)^\s*({_NUMBER}|nan)?\s*$"
+# What a cast takes beyond decimal or exponent notation, the infinities and nan: a type letter at the
+# end (1.5d) and hexadecimal notation. Spelled-out names are no longer than these.
+_NAMES = ("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 _ZERO = 0.0
 
@@ -34,15 +33,27 @@ def nonneg_keep_nan(c: str | Column) -> Column:
     return F.greatest(F.coalesce(_col(c).cast("double"), F.lit(_ZERO)), F.lit(_ZERO))
 
 
+def _plainly_spelled(c: Column) -> Column:
+    """Whether a text that can be cast holds no letter but an exponent's, or is one of the names."""
+    text = F.lower(F.trim(c))
+    # digits end plain numbers, a point may (1.)
+    last = F.substring(text, -1, 1)
+    plain = last.between("0", "9") | (last == ".")
+    return (plain & (F.instr(text, "x") == 0)) | text.isin(*_NAMES)
+
+
 def number_from_text(c: str | Column) -> Column:
     """Text to double; anything that is not a number becomes NULL."""
     c = _col(c)
-    return F.when(c.rlike(_NUMBER_TEXT), c.try_cast("double"))
+    value = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    return F.when(_plainly_spelled(c), value)
 
 
 def is_not_a_number(c: str | Column) -> Column:
     """Whether a text is there that stands neither for a number nor for a missing one."""
-    return ~F.coalesce(_col(c).rlike(_NUMBER_OR_MISSING_TEXT), F.lit(True))
+    c = _col(c)
+    number = c.try_cast("double").isNotNull() & _plainly_spelled(c)
+    return ~F.coalesce(number | (F.trim(c) == ""), F.lit(True))
 
 
 def suppressed_to_null(c: str | Column) -> Column:

@@ -100,6 +100,22 @@ def parse_week(df: DataFrame) -> DataFrame:
     return df.withColumn("collection_week", week_from_text("collection_week"))
 
 
+TYPED = "typed_"
+
+
+def with_typed_columns(df: DataFrame) -> DataFrame:
+    """The raw weekly feed, its metrics and week read from their texts beside them."""
+    read = {c: suppressed_to_null(metric_from_text(c)) for c in WEEKLY_METRICS}
+    read["collection_week"] = week_from_text("collection_week")
+    return df.withColumns({TYPED + c: value for c, value in read.items()})
+
+
+def typed_rows(df: DataFrame) -> DataFrame:
+    """What `transform_hhs_data` gives, from columns that were typed before."""
+    typed = {c: F.col(TYPED + c) for c in ("collection_week", *WEEKLY_METRICS)}
+    return df.transform(valid_key).withColumns(typed).transform(project_hhs)
+
+
 def transform_hhs_data(df: DataFrame) -> DataFrame:
     """The weekly feed as table rows. A NULL collection_week marks a row that cannot load."""
     metrics = {c: metric_from_text(c) for c in WEEKLY_METRICS}

@@ -15,12 +15,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bedledger.operators.checks import duplicate_keys, orphan_rows, width_overflow
 from bedledger.operators.cleaning import (
+    TYPED,
     conform_quality,
     explain_hhs_rows,
     explain_quality_rows,
     reject_report,
-    transform_hhs_data,
+    typed_rows,
+    with_typed_columns,
 )
 from bedledger.operators.upsert import (
     hospital_winners,
@@ -33,8 +36,10 @@ from bedledger.schema import (
     BROKEN_LINE,
     HOSPITAL_COLUMNS,
     HOSPITAL_KEY,
+    HOSPITAL_WIDTHS,
     QUALITY_COLUMNS,
     QUALITY_KEY,
+    QUALITY_WIDTHS,
     WEEKLY_KEY,
 )
 from bedledger.session import scratch_folder
@@ -53,6 +58,7 @@ from bedledger.sources.tables import (
     write_version,
 )
 
+WIDTHS = {"hospital": HOSPITAL_WIDTHS, "hospital_quality": QUALITY_WIDTHS}
 KEYS = {
     "hospital": HOSPITAL_KEY,
     "weekly_hospital_stats": WEEKLY_KEY,
@@ -120,7 +126,8 @@ def _accept(feed: DataFrame, failing: Column, on_reject: str, stage: str) -> Dat
     if on_reject not in ("abort", "set_aside"):
         raise ValueError(f"on_reject must be 'abort' or 'set_aside', not {on_reject!r}")
     if on_reject == "set_aside":
-        reject_report(feed).drop(ARRIVAL).write.parquet(f"{stage}/rejects")
+        typed = [c for c in feed.columns if c.startswith(TYPED)]
+        reject_report(feed).drop(ARRIVAL, *typed).write.parquet(f"{stage}/rejects")
     else:
         first = feed.filter(failing).select("hospital_pk", "reject_reason").head()
         if first is not None:
@@ -157,9 +164,9 @@ def load_hhs_data(
     """
     stage = _stage(spark, staging)
     raw = read_hhs_csv(spark, file_path, multi_line, broken_lines="mark")
-    feed = _staged_feed(spark, explain_hhs_rows(raw), stage)
+    feed = _staged_feed(spark, with_typed_columns(explain_hhs_rows(raw)), stage)
     failing = ~F.col("bad_key") & F.col("reject_reason").isNotNull()
-    batch = transform_hhs_data(_accept(feed, failing, on_reject, stage))
+    batch = typed_rows(_accept(feed, failing, on_reject, stage))
 
     _stage_winners(hospital_winners(batch), stage, "hospital")
     _stage_winners(with_week(weekly_winners(batch)), stage, "weekly_hospital_stats")
@@ -210,6 +217,22 @@ def _published(spark: SparkSession, stage: str, root: str, summary: DataFrame) -
     return LoadResult(counts, stage)
 
 
+def _check_contract(name: str, key: list[str], winners: DataFrame, stage: str) -> None:
+    """Keys, widths and, for reports, references of the staged rows, before anything is written to a table.
+
+    Ratings are joined with the stored hospitals when they are staged.
+    """
+    if not duplicate_keys(winners, key).isEmpty():
+        raise LoadRejected(f"{name}: keys occur twice; see {stage}/new")
+    widths = WIDTHS.get(name)
+    if widths and not width_overflow(winners, widths).filter("overflow_rows > 0").isEmpty():
+        raise LoadRejected(f"{name}: values are too wide; see {stage}/new")
+    if name == "weekly_hospital_stats":
+        hospitals = winners.sparkSession.read.schema(SCHEMAS["hospital"]).parquet(f"{stage}/new/hospital")
+        if not orphan_rows(winners, hospitals).isEmpty():
+            raise LoadRejected(f"{name}: rows without a hospital; see {stage}/new")
+
+
 def publish(spark: SparkSession, stage: str, root: str) -> None:
     """Merge the staged winners into the stored tables and make the result live in one step.
 
@@ -227,6 +250,7 @@ def publish(spark: SparkSession, stage: str, root: str) -> None:
             continue  # another kind of load
         if winners.isEmpty():
             continue
+        _check_contract(name, key, winners, stage)
         stored = table_of(spark, root, name, state)
         if name in PARTITION_COLUMN:
             stored = parts_of_batch(stored, winners, PARTITION_COLUMN[name])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -25,7 +26,8 @@ from bedledger.schema import (
     WEEKLY_METRICS,
 )
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
-from bedledger.sources.tables import read_sql_query
+from bedledger.session import scratch_folder
+from bedledger.sources.tables import read_sql_query, read_table, write_table
 from testbed import derive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +129,38 @@ def quality_load_summary(spark, sf):
     return loads.quality_load_summary(marked.withColumn(BROKEN_LINE, F.lit(False)))
 
 
+def _root(spark):
+    return f"{scratch_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def _loaded_hhs(spark, sf):
+    root = _root(spark)
+    path = derive.written_as_csv(derive.hhs_feed(spark, sf), "hhs")
+    loads.load_hhs_data(spark, path, root, on_reject="set_aside")
+    return root
+
+
+def stored_hospital(spark, sf):
+    """The weekly feed loaded, published and read back."""
+    return read_table(spark, _loaded_hhs(spark, sf), "hospital")
+
+
+def stored_weekly(spark, sf):
+    """Loaded twice: the second load replaces every row by itself."""
+    root = _loaded_hhs(spark, sf)
+    path = derive.written_as_csv(derive.hhs_feed(spark, sf), "hhs")
+    loads.load_hhs_data(spark, path, root, on_reject="set_aside")
+    return read_table(spark, root, "weekly_hospital_stats").drop("collection_week")
+
+
+def stored_quality(spark, sf):
+    root = _root(spark)
+    write_table(derive.hospital(spark, sf), root, "hospital")
+    path = derive.written_as_csv(derive.quality_feed(spark, sf), "quality")
+    loads.load_quality_data(spark, path, 2001, root, on_reject="set_aside")
+    return read_table(spark, root, "hospital_quality")
+
+
 # ---- Upserts and checks ---------------------------------------------------
 
 
@@ -286,6 +320,9 @@ QUERIES: dict[str, Query] = {
     "reject_report": reject_report,
     "load_summary": load_summary,
     "quality_load_summary": quality_load_summary,
+    "stored_hospital": stored_hospital,
+    "stored_weekly": stored_weekly,
+    "stored_quality": stored_quality,
     "distinct_rows": distinct_rows,
     "upsert_hospital": upsert_hospital,
     "upsert_weekly": upsert_weekly,

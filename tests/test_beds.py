@@ -1,7 +1,11 @@
+from decimal import Decimal
+
 import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bedledger.operators import beds
 
 BEDS = "total_adult_beds double, occupied_adult_beds double, total_pediatric_beds double, " \
@@ -107,6 +111,13 @@ def test_region_skips_missing_infinite_and_foreign(spark):
     assert by(result, "region")["West"]["n"] == 0
 
 
+def test_region_sums_keep_decimals(spark):
+    df = spark.createDataFrame([("NY", "0.1"), ("NY", "0.2"), ("CA", None)], "state string, beds string")
+    df = df.withColumn("beds", F.col("beds").cast("decimal(10,1)"))
+    got = {r.region: r.beds for r in beds.get_region_stats(df).collect()}
+    assert got == {"Northeast": Decimal("0.3"), "Midwest": 0, "South": 0, "West": 0}
+
+
 def test_region_rates_come_from_sums(spark):
     df = beds.calculate_occupancy_stats(
         spark.createDataFrame(

@@ -36,6 +36,23 @@ def test_weeks(values):
     assert got == [midnight] * 5 + [datetime(2021, 12, 31, 8, 30)] + [None] * 4
 
 
+def test_month_first_times_compact_and_named_dates(values):
+    midnight = datetime(2021, 12, 31)
+    raw = ["12/31/2021 00:00", "12/31/2021 0:00", "12/31/2021 00:00:00", "20211231", "Dec 31, 2021", "12/31/2021 08:30",
+           "31/12/2021 00:00", "20211331", "Foo 31, 2021", "Feb 30, 2021"]
+    got = values(cleaning.week_from_text, "string", raw)
+    assert got == [midnight] * 5 + [datetime(2021, 12, 31, 8, 30)] + [None] * 4
+
+
+def test_unreadable_numbers_stay_null(spark):
+    a, b, c, d = WEEKLY_METRICS[:4]
+    feed = hhs(spark, {a: "many", b: " ", c: "nan", d: "1.5d"})
+    (row,) = cleaning.transform_hhs_data(feed).collect()
+    assert [row[x] for x in (a, b, c, d)] == [None, 0.0, 0.0, None]
+    (typed,) = cleaning.typed_rows(cleaning.with_typed_columns(feed)).collect()
+    assert typed == row
+
+
 def test_yes_no(values):
     raw = ["Yes", " yes\t", "YES", "No", "yes!", "", None]
     assert values(cleaning.yes_to_true, "string", raw) == [True, True, True, False, False, False, False]
