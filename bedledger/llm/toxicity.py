@@ -1,11 +1,11 @@
 """Toxicity as cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k | x) = sigmoid(theta_k - w.x) with ordered thresholds theta and one weight vector for all of
-them. Features are the different words of a text that go with the label: for each word, documents
-with and without the label are counted over all labelled rows, and words whose association is clear
-are kept (a bounded number). The grade of a labelled document is 0 if it is not toxic, else 1 to
-`GRADES` by how many different such words it has. The weights are fitted on a bounded
-hash sample of the labelled documents; a text's result is its expected grade.
+them. Everything is fitted on a hash sample of the labels, whose size is bounded (`SAMPLE_DOCUMENTS`).
+Features are the different words of a text that go with the label: for each word, documents with and without
+the label are counted, and words whose association is clear are kept (a bounded number). The
+grade of a labelled document is 0 if it is not toxic, else 1 to `GRADES` by how many different such words it
+has. A text's result is its expected grade.
 
 Defined results: a null or empty text has no features and gets the result of a text without any; without
 labelled rows nothing is toxic; a document with several labels counts once for each; repeated rows get equal results; an
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedledger.llm.common import map_batches, ship_package, utf8
+from bedledger.llm.common import checkpointed, map_batches, ship_package, utf8
 
 GRADES = 3
 #: Words kept as features at most, least labelled documents with the word, least z-score of the association.
 FEATURES, LEAST_DOCUMENTS, LEAST_Z = 4096, 5, 5.0
-#: Expected bound of the labelled documents that the weights are fitted on.
+#: Expected bound of the labels that the model is fitted on.
 SAMPLE_DOCUMENTS = 20_000
 #: A document is rejected from this expected grade on.
 LIMIT = 0.5
@@ -38,13 +38,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the documents that have a label."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """(text, toxic) of the documents in a sample of the labels.
+
+    The sample is drawn before the join, so its size is known and it is broadcast: no text is shuffled.
+    """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("of"), (F.col("toxic") > 0).cast("int").alias("toxic")
     )
+    share = min(1.0, sample / max(1, told.count()))
+    mark = F.pmod(F.xxhash64(F.lit("label"), "of"), F.lit(1 << 20))
+    chosen = F.broadcast(told.where(mark < share * (1 << 20)))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(told, F.col("doc_id") == F.col("of")).select("text", "toxic")
+    return checkpointed(rows.join(chosen, F.col("doc_id") == F.col("of")).select("text", "toxic"))
 
 
 def word_labels(texts: DataFrame) -> DataFrame:
@@ -134,21 +140,19 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, steps
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> dict:
-    """Model from the labelled rows: feature words from all of them, weights from a bounded sample."""
-    texts = labelled_texts(documents, labels)
+    """Feature words, weights and thresholds from a bounded sample of the labelled rows."""
+    texts = labelled_texts(documents, labels, sample_documents)
     words = feature_words(texts)
     number = {w.encode(): i for i, w in enumerate(words)}
     if not words:
         return {"number": {}, "w": np.zeros(0), "thresholds": np.full(GRADES, 20.0)}
     shared = documents.sparkSession.sparkContext.broadcast(number)
-    share = min(1.0, sample_documents / max(1, texts.count()))
-    mark = F.pmod(F.xxhash64(F.lit("grade"), "text"), F.lit(1 << 20))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = sparse_features(utf8(batch, "text"), shared.value)
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "found"])
 
-    rows = map_batches(texts.where(mark < share * (1 << 20)), "toxic int, found array<long>", run).collect()
+    rows = map_batches(texts, "toxic int, found array<long>", run).collect()
     rows = sorted((r["toxic"], list(r["found"])) for r in rows)
     grades = np.array([min(GRADES, max(1, len(found))) if toxic else 0 for toxic, found in rows], np.int64)
     if not grades.any() or grades.all():
