@@ -206,12 +206,33 @@ def text_scores(model: dict, texts: list[np.ndarray]) -> np.ndarray:
 # ---- Training and scoring over Spark ----
 
 
-def fit(training: DataFrame, counts: DataFrame, total: int, documents: int) -> dict:
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """At most `most` words with their counts, the most frequent first.
+
+    The least count taken comes from a histogram over all words (a few hundred rows), so no task and no driver sorts or
+    holds more than the words that are taken.
+    """
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+    room, least = most, None
+    for row in sorted(sizes.collect(), key=lambda r: -r["step"]):
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["least"]
+    if least is None:
+        return []
+    taken = short.where(F.col("n") >= least).toArrow()
+    words, numbers = taken.column("word").cast(pa.binary()).to_pylist(), taken.column("n").to_pylist()
+    return sorted(zip(words, numbers, strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, documents: int) -> dict:
     """The network: vocabulary from all counts, weights from the sample, averaged over the workers."""
-    # as many rows as the vocabulary has
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = [r["word"].encode() for r in top]
-    model = new_model(words, [r["n"] for r in top], total - sum(r["n"] for r in top), documents)
+    top = frequent[:VOCABULARY]
+    words = [w for w, _ in top]
+    model = new_model(words, [n for _, n in top], total - sum(n for _, n in top), documents)
     spark = training.sparkSession
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     share = max(SHARE, min(1.0, LEAST_TOKENS / max(1, total)))
@@ -309,9 +330,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
     of = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total = of["n"] + documents_seen
     distinct = of["v"] + (documents_seen > 0)
-    model = fit(training, counts, of["n"], documents_seen)
-    short = counts.where(F.octet_length("word") <= LONGEST)
-    frequent = [(r["word"].encode(), r["n"]) for r in short.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    frequent = frequent_words(counts)
+    model = fit(training, frequent, of["n"], documents_seen)
     inside = sum(n for _, n in frequent[:VOCABULARY])
     others_total = math.log10(of["n"] - inside + 0.5 * (of["v"] - min(VOCABULARY, len(frequent)) + 1))
     base_total = math.log10(total + 0.5 * (distinct + 1))
