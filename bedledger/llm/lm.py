@@ -5,7 +5,7 @@ are predicted through a class-factored softmax: a class first, then a word of th
 are one more class, in which a word has its smoothed share of that class's training words, so the score
 is a log probability of the text over any words. The network is trained in numpy by truncated
 backpropagation through time, the state carried from window to window and reset where a document begins;
-workers train on shares of the sample and their parameters are averaged. A document is scored from its
+workers, whose number grows with the sample, train on parts of it and their parameters are averaged. A document is scored from its
 first word to its end with the state carried through.
 
 Counts cover all training documents. The sample for the network's weights is a share of them (`SHARE`, and
@@ -34,7 +34,9 @@ from bedledger.llm.common import checkpointed, id_bucket_column, map_batches, sh
 VOCABULARY, CLASSES, HIDDEN = 4096, 64, 16
 #: Words with counts that every scorer holds; rarer ones are joined. Words over LONGEST bytes are joined, too.
 FREQUENT, LONGEST = 200_000, 64
-SHARE, LEAST_TOKENS, WORKERS, ROUNDS = 0.03, 1_000_000, 4, 2
+SHARE, LEAST_TOKENS, ROUNDS = 0.03, 1_000_000, 2
+#: A worker trains on about so many tokens a round; there are at least LEAST_WORKERS. FAN parameter sets are averaged at once.
+WORKER_TOKENS, LEAST_WORKERS, FAN = 1_000_000, 4, 16
 STEPS, LANES, RATE = 32, 32, 0.02
 WINDOW, BULK = 64, 1 << 16
 #: A task hands on its word counts when it holds this many different words.
@@ -206,6 +208,35 @@ def text_scores(model: dict, texts: list[np.ndarray]) -> np.ndarray:
 # ---- Training and scoring over Spark ----
 
 
+def mean_parameters(rows: list[tuple[bytes, int]]) -> tuple[dict, int]:
+    """Parameters averaged by the tokens they were trained on; sums run in a fixed order."""
+    rows = sorted((n, p) for p, n in rows)
+    weight = sum(n for n, _ in rows)
+    total: dict = {}
+    for n, packed in rows:
+        for k, v in pickle.loads(packed).items():
+            total[k] = total.get(k, 0) + v.astype(np.float64) * (n / weight)
+    return {k: v.astype(np.float32) for k, v in total.items()}, weight
+
+
+def averaged(trained: DataFrame, workers: int) -> tuple[dict, int] | None:
+    """Mean over the rows (params, n) of all workers, FAN by FAN in tasks; the driver gets at most FAN sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(bytes(r["params"]), r["n"]) for batch in batches for r in batch.to_pylist()]
+        if rows:
+            mean, n = mean_parameters(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mean)], pa.binary()), pa.array([n])], names=["params", "n"])
+
+    while True:
+        workers = -(-workers // FAN)
+        trained = trained.repartition(workers).mapInArrow(run, "params binary, n long")
+        if workers <= FAN:
+            break
+    rows = [(bytes(r["params"]), r["n"]) for r in trained.collect()]
+    return mean_parameters(rows) if rows else None
+
+
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
     """At most `most` words with their counts, the most frequent first.
 
@@ -237,12 +268,10 @@ def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, docu
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     share = max(SHARE, min(1.0, LEAST_TOKENS / max(1, total)))
     mark = F.xxhash64(F.lit("sample"), "text")
-    sample = (
-        training.where(F.pmod(mark, F.lit(1 << 20)) < share * (1 << 20))
-        .select("text", mark.alias("mark"), F.pmod(mark, F.lit(WORKERS * ROUNDS * 7919)).alias("slot"))
-        .withColumn("slot", F.floor(F.col("slot") / 7919).cast("int"))
-    )
-    sample = checkpointed(sample)
+    chosen = training.where(F.pmod(mark, F.lit(1 << 20)) < share * (1 << 20))
+    turn_of = F.pmod(F.xxhash64(F.lit("turn"), "text"), F.lit(ROUNDS)).alias("turn")
+    sample = checkpointed(chosen.select("text", mark.alias("mark"), turn_of))
+    workers = max(LEAST_WORKERS, math.ceil(share * total / (ROUNDS * WORKER_TOKENS)))
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(pickle.dumps(model))
 
@@ -273,12 +302,11 @@ def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, docu
                 )
 
         ship_package(spark)
-        part = sample.where(F.col("slot") % ROUNDS == turn).repartition(WORKERS, "slot").sortWithinPartitions("mark")
-        made = part.select("text").mapInArrow(run, "params binary, n long").collect()  # one row per worker
-        weight = sum(r["n"] for r in made)
-        if weight:
-            each = [(pickle.loads(bytes(r["params"])), r["n"] / weight) for r in sorted(made, key=lambda r: (r["n"], bytes(r["params"])))]
-            model["params"] = {k: sum(w * p[k] for p, w in each).astype(np.float32) for k in model["params"]}
+        part = sample.where(F.col("turn") == turn).repartitionByRange(workers, "mark").sortWithinPartitions("mark")
+        trained = part.select("text").mapInArrow(run, "params binary, n long")
+        mean = averaged(trained, workers)
+        if mean:
+            model["params"] = mean[0]
         now.destroy()
     return model | {"words": words}
 
