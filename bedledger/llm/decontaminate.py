@@ -169,7 +169,8 @@ def with_candidates(documents: DataFrame, windows: DataFrame, names: tuple[str,
 
 def matched_windows(hits: DataFrame, windows: DataFrame) -> DataFrame:
     """(row, at, length, item) for the windows (row, at, length, window) that are an item's."""
-    return hits.join(windows.select("length", "window", "item").distinct(), ["length", "window"]).select("row", "at", "length", "item")
+    wanted = windows.select("length", "window", "item").distinct()
+    return hits.join(wanted, ["length", "window"]).select("row", "at", "length", "item")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

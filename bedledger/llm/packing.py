@@ -168,7 +168,9 @@ def pattern_bins(lengths: list[int], patterns: list[list[int]]) -> list[list[int
     return bins
 
 
-def evolve(lengths: list[int], patterns: list[list[int]], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> Packing:
+def evolve(
+    lengths: list[int], patterns: list[list[int]], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS
+) -> Packing:
     """The best packing of some generations."""
     rng, n = np.random.default_rng(seed), len(lengths)
     first = Packing(lengths, capacity)
@@ -240,7 +242,8 @@ def epoch(pieces: DataFrame, elites: DataFrame | None, turn: int, capacity: int)
 
 def elite_patterns(packed: DataFrame, islands: int, count: int = ELITE) -> DataFrame:
     """The lengths of each island's fullest bins, addressed to the next island."""
-    bins = packed.groupBy("island", "bin").agg(F.sort_array(F.collect_list("length")).alias("pattern"), F.first("free").alias("free"))
+    pattern = F.sort_array(F.collect_list("length")).alias("pattern")
+    bins = packed.groupBy("island", "bin").agg(pattern, F.first("free").alias("free"))
     best = bins.where(F.size("pattern") > 1).groupBy("island").agg(
         F.slice(F.sort_array(F.collect_set(F.struct("free", "pattern"))), 1, count).alias("best")
     )
@@ -250,7 +253,8 @@ def elite_patterns(packed: DataFrame, islands: int, count: int = ELITE) -> DataF
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> DataFrame:
     """`pieces` (with a column length) with sequence_id and offset."""
     stored = checkpointed(pieces.withColumn("row", F.monotonically_increasing_id()))
-    full = stored.where(F.col("length") == capacity).select(*pieces.columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    own = (F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = stored.where(F.col("length") == capacity).select(*pieces.columns, *own)
     rest = stored.where(F.col("length") < capacity).select("row", "length")
     done, elites, count = [], None, rest.count()
     islands = max(1, -(-count // island))

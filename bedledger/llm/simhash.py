@@ -257,7 +257,8 @@ def simhash_components(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), and component_id of each row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = checkpointed(add_fingerprints(rows).select("doc_id", "fp"))
-    named = near_duplicates(known).withColumnRenamed("fp", "of")
+    # read from the shared folder, so that both sides of the join are exchanges whose hot keys Spark can split
+    named = checkpointed(near_duplicates(known)).withColumnRenamed("fp", "of")
     return known.join(named, F.col("fp") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.by_doc_id.value").alias("component_id")
     )

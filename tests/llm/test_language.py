@@ -1,7 +1,7 @@
 import numpy as np
 
 from bedledger.llm import gru, language
-from helpers import bucket, documents, needs_tables, odd_rows, table
+from helpers import bucket, documents, needs_tables, odd_rows
 
 
 @needs_tables

@@ -1,7 +1,7 @@
 import numpy as np
 
 from bedledger.llm import toxicity
-from helpers import documents, needs_tables, odd_rows, table
+from helpers import documents, needs_tables, odd_rows
 
 
 @needs_tables
