@@ -123,7 +123,8 @@ def weekly(
     ).agg(*map(F.expr, ITEMS_OF_WEEK))
     return reports.selectExpr(
         f"{key36('l_suppkey + 1')} AS hospital_pk",
-        "CAST(week AS TIMESTAMP_NTZ) AS collection_week",
+        # some reports are stamped at noon
+        f"CAST(week AS TIMESTAMP_NTZ) + IF({_MIX} % 19 = 0, INTERVAL 12 HOURS, INTERVAL 0 HOURS) AS collection_week",
         *(f"CAST({c} AS DOUBLE) AS {name}" for c, name in zip(METRICS_OF_WEEK, WEEKLY_METRICS)),
         "week",
     )
@@ -135,7 +136,8 @@ def _monday(day: str) -> date:
 
 
 def _rating(number: str) -> str:
-    return f"IF(({number}) % 6 = 0, 'Not Available', CAST(({number}) % 6 AS STRING))"
+    text = f"IF(({number}) % 6 = 0, 'Not Available', CAST(({number}) % 6 AS STRING))"
+    return f"IF(({number}) % 13 = 0, NULL, {text})"
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ HOSPITAL_FIELDS = """
 
 def rating(number: str) -> str:
     return (
-        f"CASE WHEN ({number}) % 6 = 0 THEN 'Not Available' "
+        f"CASE WHEN ({number}) % 13 = 0 THEN NULL WHEN ({number}) % 6 = 0 THEN 'Not Available' "
         f"ELSE CAST(({number}) % 6 AS VARCHAR) END"
     )
 
@@ -71,7 +71,8 @@ VIEWS = {
         FROM lineitem GROUP BY 1, 2""",
     "weekly_hospital_stats": f"""
         SELECT to_base(l_suppkey + 1, 36, 6) AS hospital_pk,
-               CAST(week AS TIMESTAMP) AS collection_week,
+               CAST(week AS TIMESTAMP) + CASE WHEN mix % 19 = 0 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END
+                   AS collection_week,
                CASE WHEN mix % 31 = 0 THEN {NAN} ELSE CAST(adult AS DOUBLE) / 10 END AS {ADULT},
                CAST(pediatric AS DOUBLE) / 10 AS {PED},
                CAST(adult_occupied AS DOUBLE) / 10 AS {ADULT_OCC},
@@ -481,10 +482,11 @@ ORACLE = {
         FROM (SELECT hospital_pk FROM hospital UNION ALL SELECT hospital_pk FROM ({HOSPITAL_BATCH}))
         GROUP BY hospital_pk HAVING count(*) > 1
         UNION ALL
-        SELECT 'weekly_hospital_stats', hospital_pk || ' ' || strftime(week, '%Y-%m-%d 00:00:00'), count(*)
-        FROM (SELECT hospital_pk, week FROM weekly_hospital_stats WHERE week < {D} - INTERVAL 6 DAY
-              UNION ALL SELECT hospital_pk, week FROM ({WEEKLY_BATCH}))
-        GROUP BY hospital_pk, week HAVING count(*) > 1
+        SELECT 'weekly_hospital_stats', hospital_pk || ' ' || strftime(stamp, '%Y-%m-%d %H:%M:%S'), count(*)
+        FROM (SELECT hospital_pk, week, any_value(collection_week) AS stamp FROM weekly_hospital_stats GROUP BY 1, 2)
+        JOIN (SELECT hospital_pk, week FROM weekly_hospital_stats WHERE week < {D} - INTERVAL 6 DAY
+              UNION ALL SELECT hospital_pk, week FROM ({WEEKLY_BATCH})) USING (hospital_pk, week)
+        GROUP BY hospital_pk, stamp HAVING count(*) > 1
         UNION ALL
         SELECT 'hospital_quality', hospital_pk || ' ' || CAST(rating_year AS VARCHAR), count(*)
         FROM (SELECT hospital_pk, rating_year FROM hospital_quality
@@ -585,7 +587,7 @@ ORACLE = {
     "tile_reporting": f"""
         SELECT {count_text("count(DISTINCT hospital_pk)")} AS hospital_count,
                'N/A' AS percent_change
-        FROM weekly_hospital_stats WHERE week = {D}""",
+        FROM weekly_hospital_stats WHERE week = {D} AND collection_week <= {D}""",
     "display_beds": f"""
         SELECT week, {", ".join(f"{count_text(c)} AS {c}" for c in (
             "total_adult_beds", "occupied_adult_beds", "available_adult_beds",
