@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bedledger.llm.common import map_batches
+from bedledger.llm.packing import encoder
 
 HEAD, MIDDLE, TAIL = "### ", ":\n", "</turn>\n"
 _TEXT = re.compile(r"([\\#<])")
@@ -43,10 +44,25 @@ SCHEMA = (
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+def token_sizes(path: str) -> np.ndarray:
+    """Bytes of each token."""
+    encoding = encoder(path)
+    sizes = np.zeros(encoding.n_vocab, np.int64)
+    for token in encoding.token_byte_values():
+        sizes[encoding.encode_single_token(token)] = len(token)
+    return sizes
+
+
+def encode_with_offsets(path: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and of each token the first code point and the one behind the last that it holds bytes of."""
+    ids = np.array(encoder(path).encode_ordinary(text), np.int64)
+    if not len(ids):
+        return ids, ids, ids
+    ends = np.cumsum(token_sizes(path)[ids])
+    starts = np.concatenate(([0], ends[:-1]))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    point = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
+    return ids, point[starts], point[ends - 1] + 1
 
 
 def escape(text: str) -> str:
@@ -133,20 +149,21 @@ def format_conversations(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
         made = [render(list(zip(r, t, strict=True))) for r, t in zip(roles, texts, strict=True)]
-        encoder, out = tokenizer(path), [[] for _ in range(4)]
+        parts: tuple[list, ...] = ([], [], [], [])
         for (formatted, starts, ends), role in zip(made, roles, strict=True):
-            encoded = encoder.encode(formatted, add_special_tokens=False)
-            spans = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+            ids, first, last = encode_with_offsets(path, formatted)
             trained = [i for i, r in enumerate(role) if r == trained_role]
-            mask = token_mask([starts[i] for i in trained], [ends[i] for i in trained], spans[:, 0], spans[:, 1])
-            for column, value in zip(out, (encoded.ids, spans[:, 0], spans[:, 1], mask), strict=True):
+            mask = token_mask([starts[i] for i in trained], [ends[i] for i in trained], first, last)
+            for column, value in zip(parts, (ids.astype(np.int32), first, last, mask), strict=True):
                 column.append(value)
-        columns = [batch.column("conv_id"), [m[0] for m in made], roles, [m[1] for m in made], [m[2] for m in made]]
-        kinds = [pa.int64(), pa.string(), pa.list_(pa.string())] + [pa.list_(pa.int64())] * 2
-        kinds += [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        at = np.cumsum([0, *map(len, parts[0])]).astype(np.int32)
+        kinds = (np.int32, np.int64, np.int64, bool)
+        flat = [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+        tokens = [pa.ListArray.from_arrays(pa.array(at), pa.array(f)) for f in flat]
+        texts = pa.array([m[0] for m in made], pa.string())
+        spans = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (1, 2)]
         names = [f.split()[0] for f in SCHEMA.split(",")]
-        arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns + out, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        return pa.RecordBatch.from_arrays([batch.column("conv_id"), texts, batch.column("role"), *spans, *tokens], names=names)
 
     return map_batches(whole, SCHEMA, run)
 
@@ -160,23 +177,17 @@ def formatted_digest(formatted: DataFrame, trained_role: str = "assistant") -> D
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         from hashlib import sha256
 
-        rows = []
-        for r in batch.to_pylist():
-            turns = parse(r["formatted"])
-            trained = [i for i, role in enumerate(r["role"]) if role == trained_role]
-            texts = masked_text(
-                r["formatted"],
-                [r["span_start"][i] for i in trained],
-                [r["span_end"][i] for i in trained],
-                r["token_start"],
-                r["token_end"],
-                np.array(r["loss_mask"], bool),
+        rows, short = [], batch.select(["conv_id", "formatted", "role", "span_start", "span_end"]).to_pylist()
+        for i, r in enumerate(short):
+            formatted, turns = r["formatted"], parse(r["formatted"])
+            trained = [k for k, role in enumerate(r["role"]) if role == trained_role]
+            first, last, mask = (
+                batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("token_start", "token_end", "loss_mask")
             )
-            loss = "".join(map(unescape, texts))
+            starts, ends = ([r[c][k] for k in trained] for c in ("span_start", "span_end"))
+            loss = "".join(map(unescape, masked_text(formatted, starts, ends, first, last, mask.astype(bool))))
             told = sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode())
-            rows.append(
-                (r["conv_id"], len(turns), told.hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(r["formatted"]))
-            )
+            rows.append((r["conv_id"], len(turns), told.hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(formatted)))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         columns = zip(*rows, strict=True) if rows else [()] * 6
         names = [f.split()[0] for f in schema.split(", ")]

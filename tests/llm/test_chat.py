@@ -3,6 +3,7 @@ from hashlib import sha256
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from bedledger.llm import chat
 from bedledger.llm.queries import QUERIES
@@ -27,8 +28,13 @@ def test_masked_text_is_the_trained_text(turns):
     import public_tokenizers
 
     formatted, starts, ends = chat.render(turns)
-    encoded = chat.tokenizer(public_tokenizers.path("byte_bpe_50k.json")).encode(formatted, add_special_tokens=False)
-    spans = np.array(encoded.offsets).reshape(-1, 2)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = Tokenizer.from_file(path).encode(formatted, add_special_tokens=False)
+    ids, first, last = chat.encode_with_offsets(path, formatted)
+    spans = np.stack([first, last], axis=1)
+    assert ids.tolist() == encoded.ids
+    for (s, e), (x, y) in zip(spans.tolist(), encoded.offsets):
+        assert formatted[s:e] == formatted[x:y]
     at = [i for i, t in enumerate(turns) if t[0] == "assistant"]
     a, b = [starts[i] for i in at], [ends[i] for i in at]
     mask = chat.token_mask(a, b, spans[:, 0], spans[:, 1])
