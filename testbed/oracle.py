@@ -457,10 +457,10 @@ ORACLE = {
     "stored_hospital": f"""
         SELECT DISTINCT {", ".join(HOSPITAL_COLUMNS)} FROM ({REASONS}) WHERE NOT bad_key AND reason IS NULL""",
     "stored_weekly": f"""
-        SELECT hospital_pk, CAST({WEEK_VALUE} AS DATE) AS week,
+        SELECT DISTINCT hospital_pk, CAST({WEEK_VALUE} AS DATE) AS week,
                {", ".join(f"nullif(coalesce(TRY_CAST({c} AS DOUBLE), 0), -999999) AS {c}" for c in WEEKLY_METRICS)}
         FROM ({REASONS}) WHERE NOT bad_key AND reason IS NULL""",
-    "stored_quality": QUALITY_KNOWN,
+    "stored_quality": f"SELECT DISTINCT * FROM ({QUALITY_KNOWN})",
     "distinct_rows": FIRST_ROWS,
     "upsert_hospital": upserted(
         "SELECT * FROM hospital", FIRST_ROWS, ", ".join(HOSPITAL_COLUMNS), "hospital_pk"

@@ -124,7 +124,7 @@ def load_summary(spark, sf):
 
 def quality_load_summary(spark, sf):
     explained = cleaning.explain_quality_rows(derive.quality_feed(spark, sf))
-    known = derive.hospital(spark, sf).select("hospital_pk", F.lit(True).alias("known"))
+    known = derive.hospital(spark, sf).select("hospital_pk", F.lit(True).alias("known")).distinct()
     marked = explained.join(known, "hospital_pk", "left").fillna(False, ["known"])
     return loads.quality_load_summary(marked.withColumn(BROKEN_LINE, F.lit(False)))
 
