@@ -154,7 +154,7 @@ def plan_partitions(fingerprints: DataFrame, distance: int = DISTANCE) -> list[t
             # a threshold of t also meets keys that differ in up to t bits
             same = max(pairs.get(at, 0.0), 1.0)
             volume = (1, 1 + w, 1 + w + w * (w - 1) // 2)
-            costs.append([0.0] + [same * (1 + t * one + (t == 2) * two) + PROBE_COST * n * volume[t] for t in range(distance + 1)])
+            costs.append([0.0] + [same * (1 + (t > 0) * one + (t > 1) * two) + PROBE_COST * n * volume[t] for t in range(distance + 1)])
         options.append((*allocate(costs, distance - len(groups) + 1), k))
     _, thresholds, k = min(options)
     return [(bits, t) for bits, t in zip(layouts[k], thresholds, strict=True) if t >= 0]
@@ -264,6 +264,10 @@ def simhash_components(documents: DataFrame) -> DataFrame:
     )
 
 
+def row_key(doc_id, fp):
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), fp)
+
+
 def one_per_component(documents: DataFrame) -> DataFrame:
     """The rows of `documents` that come first in their component; one of equal rows. All columns stay."""
     names = [f"c{i}" for i in range(len(documents.columns))]
@@ -272,8 +276,8 @@ def one_per_component(documents: DataFrame) -> DataFrame:
     known = add_fingerprints(plain)
     few = checkpointed(known.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), "fp"))
     first = near_duplicates(few, ("doc_id", "fp")).select("first").distinct()
-    first = first.select(F.col("first.by_doc_id.value").alias("first_id"), F.col("first.by_fp.value").alias("first_fp"))
-    own = F.col(at["doc_id"]).cast("long")
-    kept = known.join(first, (F.col("fp") == F.col("first_fp")) & own.eqNullSafe(F.col("first_id")), "left_semi")
-    kept = kept.dropDuplicates([at["doc_id"], "fp"])
+    # one key without nulls, by which the joined rows also lie for the choice among equal rows: texts move once
+    first = first.select(row_key(F.col("first.by_doc_id.value"), F.col("first.by_fp.value")).alias("key"))
+    known = known.withColumn("key", row_key(F.col(at["doc_id"]).cast("long"), F.col("fp")))
+    kept = known.join(first, "key", "left_semi").dropDuplicates(["key"])
     return kept.select([F.col("text" if n == at["text"] else n).alias(c) for n, c in zip(names, documents.columns, strict=True)])
