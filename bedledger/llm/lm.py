@@ -229,9 +229,9 @@ def averaged(trained: DataFrame, workers: int) -> tuple[dict, int] | None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mean)], pa.binary()), pa.array([n])], names=["params", "n"])
 
     while True:
-        workers = -(-workers // FAN)
+        workers = max(FAN, -(-workers // FAN))
         trained = trained.repartition(workers).mapInArrow(run, "params binary, n long")
-        if workers <= FAN:
+        if workers == FAN:
             break
     rows = [(bytes(r["params"]), r["n"]) for r in trained.collect()]
     return mean_parameters(rows) if rows else None
