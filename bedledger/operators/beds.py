@@ -18,13 +18,24 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _with_numbers(df: DataFrame) -> DataFrame:
+    """The bed counts as doubles, each text read once.
+
+    The filters on the counts would be pushed below a plain projection, and read the texts again in each; they
+    stay above the output of a generator.
+    """
+    numbers = F.struct(*(_as_number(df, c).alias(c) for c in BED_COLUMNS))
+    read = df.select("*", F.explode(F.array(numbers)).alias("_numbers"))
+    return read.withColumns({c: F.col(f"_numbers.{c}") for c in BED_COLUMNS}).drop("_numbers")
+
+
 def validate_and_clean_bed_data(df: DataFrame) -> DataFrame:
     """Keep rows whose five bed counts are numbers of at least 0, and make them consistent.
 
     Occupied beds are limited to total beds, COVID beds to all occupied beds; the limit
     stays in the result as `total_occupied`.
     """
-    numbers = df.withColumns({c: _as_number(df, c) for c in BED_COLUMNS})
+    numbers = _with_numbers(df)
     valid = numbers.na.drop(subset=BED_COLUMNS)
     for c in BED_COLUMNS:
         valid = valid.filter(F.col(c) >= 0)
