@@ -20,6 +20,8 @@ connected through the fingerprint, copies are never expanded into pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -237,15 +239,17 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(fingerprinted: DataFrame, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def near_duplicates(
+    fingerprinted: DataFrame, order: tuple[str, ...] = ("doc_id",), link: Callable[[DataFrame], DataFrame] = links
+) -> DataFrame:
     """(fp, first): for each different fingerprint the first row of its component, as struct of `order`.
 
-    Nulls come last. `fingerprinted` has the columns of `order` and `fp`; it is read several times.
+    `link` gives the links (a, b) of a table of different fingerprints. Nulls come last. `fingerprinted` has the columns of `order` and `fp`; it is read several times.
     """
     key = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(f"by_{c}") for c in order])
     each = fingerprinted.groupBy("fp").agg(F.min(key).alias("own"))
     different = checkpointed(each)
-    roots = components(links(different.select("fp")))
+    roots = components(link(different.select("fp")))
     linked = different.join(roots.withColumnRenamed("node", "fp"), "fp")
     first = linked.groupBy("root").agg(F.min("own").alias("least"))
     named = linked.join(first, "root").select(F.col("fp").alias("linked"), "least")
