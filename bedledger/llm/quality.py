@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from bedledger.llm.common import checkpointed, map_batches
 
-#: A line is common on a host when more than this many different documents there have it ...
+#: A line is common on a host when more than this many different documents there have it, however large the host is.
 LINE_DOCUMENTS = 20
-#: ... and more than this share of the host's documents.
+#: Only the DuckDB SQL also asks for this share of the host's documents; it differs on hosts of more than 20,000 documents.
 LINE_SHARE = 0.001
 #: A document is depleted when less than this share of its words, or fewer than LEFT_WORDS, remain.
 LEFT_SHARE = 0.5
@@ -114,10 +114,12 @@ def line_documents(counted: DataFrame) -> DataFrame:
     return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def common_lines(counted: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """Lines above both limits, by host."""
-    hosts = counted.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+def common_lines(counted: DataFrame, documents: int = LINE_DOCUMENTS, share: float = 0.0) -> DataFrame:
+    """Lines in more documents than the limit, and in more than the share of the host's if one is given, by host."""
     counts = line_documents(counted).where(F.col("documents") > documents)
+    if not share:
+        return counts
+    hosts = counted.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     same = counts["host"].eqNullSafe(hosts["host"])
     return counts.join(hosts, same).where(F.col("documents") > share * F.col("of")).select(counts["host"], "line", "documents")
 
@@ -126,7 +128,7 @@ def quality_rules(
     documents: DataFrame,
     host: str = "source",
     line_limit: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
+    line_share: float = 0.0,
     left_share: float = LEFT_SHARE,
     left_words: int = LEFT_WORDS,
     min_words: int = MIN_WORDS,

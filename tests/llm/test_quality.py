@@ -72,3 +72,11 @@ def test_three_word_windows_beyond_one_number():
     words = [b"%d" % i for i in range(50)] * 2
     assert quality.repeated_words(words) == 100
     assert quality.repeated_words(words[:51]) == 0
+
+
+def test_lines_of_a_few_dozen_documents_are_common_on_a_large_host(spark):
+    menu = " ".join(f"menu{k}" for k in range(60))
+    rows = [(n, f"{menu}\nown{n} " + " ".join(f"o{n}x{k}" for k in range(9)), "en", "a") for n in range(30)]
+    rows += [(1000 + n, f"text {n}", "en", "a") for n in range(40_000)]
+    found = quality.quality_rules(documents(spark, rows, extra=False)).where("doc_id < 30").collect()
+    assert len(found) == 30 and all(r.n_words_left == 10 and not r.kept for r in found)
