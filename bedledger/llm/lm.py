@@ -5,11 +5,11 @@ are predicted through a class-factored softmax: a class first, then a word of th
 are one more class, in which a word has its smoothed share of that class's training words, so the score
 is a log probability of the text over any words. The network is trained in numpy by truncated
 backpropagation through time, the state carried from window to window and reset where a document begins;
-workers, whose number grows with the sample, train on parts of it and their parameters are averaged. A document is scored from its
+workers, whose number grows with the corpus, train on parts of it and their parameters are averaged. A document is scored from its
 first word to its end with the state carried through.
 
-Counts cover all training documents. The sample for the network's weights is a share of them (`SHARE`, and
-about `LEAST_TOKENS` tokens at least), so it grows with the corpus.
+Counts and the network's weights come from all training documents: each row is learned once, in one of
+`ROUNDS` rounds, by a worker that its row number chooses, so equal texts are spread over the workers.
 
 Defined results: a null text is an empty one and has one token, the end; without training documents N
 and V are 0 and the network keeps its initial weights; repeated rows get equal results; an empty table
@@ -34,7 +34,7 @@ from bedledger.llm.common import checkpointed, id_bucket_column, map_batches, sh
 VOCABULARY, CLASSES, HIDDEN = 4096, 64, 16
 #: Words with counts that every scorer holds; rarer ones are joined. Words over LONGEST bytes are joined, too.
 FREQUENT, LONGEST = 200_000, 64
-SHARE, LEAST_TOKENS, ROUNDS = 0.03, 1_000_000, 2
+ROUNDS = 2
 #: A worker trains on about so many tokens a round; there are at least LEAST_WORKERS. FAN parameter sets are averaged at once.
 WORKER_TOKENS, LEAST_WORKERS, FAN = 1_000_000, 4, 16
 STEPS, LANES, RATE = 32, 32, 0.02
@@ -260,23 +260,30 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes,
 
 
 def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, documents: int) -> dict:
-    """The network: vocabulary from all counts, weights from the sample, averaged over the workers."""
+    """The network: vocabulary from all counts, weights from all rows, averaged over the workers; `learned` is the number of their tokens."""
     top = frequent[:VOCABULARY]
     words = [w for w, _ in top]
     model = new_model(words, [n for _, n in top], total - sum(n for _, n in top), documents)
     spark = training.sparkSession
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    share = max(SHARE, min(1.0, LEAST_TOKENS / max(1, total)))
-    mark = F.xxhash64(F.lit("sample"), "text")
-    chosen = training.where(F.pmod(mark, F.lit(1 << 20)) < share * (1 << 20))
-    turn_of = F.pmod(F.xxhash64(F.lit("turn"), "text"), F.lit(ROUNDS)).alias("turn")
-    sample = checkpointed(chosen.select("text", mark.alias("mark"), turn_of))
-    workers = max(LEAST_WORKERS, math.ceil(share * total / (ROUNDS * WORKER_TOKENS)))
+    row, other, end = F.monotonically_increasing_id(), model["other"], model["end"]
+    kind = np.dtype(np.uint16 if other < 1 << 16 else np.uint32)
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        number = known.value
+        ids = [np.array([*[number.get(w, other) for w in tokens_of(t)], end], kind).tobytes() for t in utf8(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("turn"), pa.array(ids, pa.binary())], names=["mark", "turn", "ids"])
+
+    turn_of = F.pmod(F.xxhash64(F.lit("turn"), row), F.lit(ROUNDS)).alias("turn")
+    numbered = training.select("text", F.xxhash64(F.lit("worker"), row).alias("mark"), turn_of)
+    rows = checkpointed(map_batches(numbered, "mark long, turn long, ids binary", encode))
+    workers = max(LEAST_WORKERS, math.ceil(total / (ROUNDS * WORKER_TOKENS)))
+    learned_all = 0
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(pickle.dumps(model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, number, parts, size = None, known.value, [], 0
+            own, parts, size = None, [], 0
             learned = 0
 
             def learn() -> None:
@@ -288,9 +295,8 @@ def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, docu
 
             for batch in batches:
                 own = own or pickle.loads(now.value)
-                for text in utf8(batch, "text"):
-                    ids = [number.get(w, own["other"]) for w in tokens_of(text)]
-                    parts.append(np.array([*ids, own["end"]], np.int64))
+                for ids in batch.column("ids").to_pylist():
+                    parts.append(np.frombuffer(ids, kind).astype(np.int64))
                     size += len(parts[-1])
                     if size > 4_000_000:  # a long share is learned piece by piece
                         learn()
@@ -302,13 +308,14 @@ def fit(training: DataFrame, frequent: list[tuple[bytes, int]], total: int, docu
                 )
 
         ship_package(spark)
-        part = sample.where(F.col("turn") == turn).repartitionByRange(workers, "mark").sortWithinPartitions("mark")
-        trained = part.select("text").mapInArrow(run, "params binary, n long")
+        part = rows.where(F.col("turn") == turn).repartition(workers, "mark").sortWithinPartitions("mark")
+        trained = part.select("ids").mapInArrow(run, "params binary, n long")
         mean = averaged(trained, workers)
         if mean:
             model["params"] = mean[0]
+            learned_all += mean[1]
         now.destroy()
-    return model | {"words": words}
+    return model | {"words": words, "learned": learned_all}
 
 
 ROWS = "doc_id long, n_tokens long, known long, base double, network double, others long, rare array<struct<word: string, n: long>>"

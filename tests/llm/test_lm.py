@@ -106,3 +106,13 @@ def test_odd_rows(spark):
     none = lm.score_documents(documents(spark, [(i, "a b") for i in range(60) if bucket(i, 5) == 1])).collect()
     assert none and all(r.train_tokens == 0 and r.n_known == 0 for r in none)
     assert lm.score_documents(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_all_training_rows_are_learned(spark):
+    # a third of the rows have one text; more than a million tokens
+    row = "CASE WHEN id % 3 = 0 THEN repeat('a b c d ', 100) ELSE concat('w', id, ' ', repeat('e f g h ', 100)) END AS text"
+    training = spark.range(3000).selectExpr(row)
+    frequent = lm.frequent_words(lm.count_words(training))
+    total = sum(n for _, n in frequent)
+    model = lm.fit(training, frequent, total, 3000)
+    assert model["learned"] == total + 3000 > 1_200_000
