@@ -2,6 +2,11 @@
 
 Each stage takes the rows its predecessor kept and returns a DataFrame; all but the last keep the columns of
 `documents`. Texts and models decide, so there is no SQL for the whole; tests compare with plain Python.
+
+Defined results, beyond those of the operators: a null text stays null up to packing, where it counts as empty; texts of any
+length are worked on whole; of rows that tie (equal texts, repeated rows) one stays, that with the smallest doc_id;
+rows with null ids are kept or dropped by their texts alone; an empty table gives an empty result; further columns
+are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedledger.llm import decontaminate, packing, pii, similar, toxicity
+from bedledger.llm import decontaminate, packing, pii, simhash, toxicity
 from bedledger.llm.common import read
 from bedledger.session import scratch_folder
 
@@ -21,8 +26,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return similar.one_per_group(docs)
+    """One document of each group of linked SimHash fingerprints: 3-word shingles, at most two differing bits."""
+    return simhash.one_per_component(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
