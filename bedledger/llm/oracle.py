@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bedledger.llm.quality import LEFT_SHARE, LEFT_WORDS, LINE_DOCUMENTS, LINE_SHARE, MIN_WORDS
+from bedledger.llm.quality import LEFT_SHARE, LEFT_WORDS, LINE_DOCUMENTS, MIN_WORDS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 # after lower-casing A-Z
@@ -26,11 +26,8 @@ lines AS (
         FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d))
     WHERE n > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 common AS (
-    SELECT l.source, k FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE k <> ''
-    GROUP BY l.source, k, h.docs
-    HAVING count(DISTINCT t) > {LINE_DOCUMENTS} AND count(DISTINCT t) > {LINE_SHARE} * h.docs),
+    SELECT source, k FROM lines WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT t) > {LINE_DOCUMENTS}),
 removed AS (
     SELECT doc_id, sum(n) AS n FROM lines l JOIN common c ON l.k = c.k AND l.source IS NOT DISTINCT FROM c.source
     GROUP BY doc_id),

@@ -24,8 +24,6 @@ from bedledger.llm.common import checkpointed, map_batches
 
 #: A line is common on a host when more than this many different documents there have it, however large the host is.
 LINE_DOCUMENTS = 20
-#: Only the DuckDB SQL also asks for this share of the host's documents; it differs on hosts of more than 20,000 documents.
-LINE_SHARE = 0.001
 #: A document is depleted when less than this share of its words, or fewer than LEFT_WORDS, remain.
 LEFT_SHARE = 0.5
 LEFT_WORDS = 20
