@@ -43,8 +43,6 @@ def map_batches(
     df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]
 ) -> DataFrame:
     """`fn` on each Arrow batch of `df`: no shuffle, one batch in memory at a time."""
-    ship_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +52,19 @@ def map_batches(
             elif made is not None:
                 yield made
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, schema, run)
+
+
+def map_stream(
+    df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+) -> DataFrame:
+    """`fn` on the Arrow batches of each partition of `df`, in order: no shuffle.
+
+    The session's limit of bytes in an Arrow batch stays set, since Spark reads it when the result is computed.
+    """
+    ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -79,8 +79,14 @@ SELECT conv_id, count(*) AS n_turns,
                 + length(regexp_replace(text, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+GRACE_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+grouped AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN grouped USING (t)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_quality": LINE_QUALITY,
     "op5_winnowing": WINNOWING,
     "op10_chat_format": CHAT_FORMAT,
+    "op13_grace_dedup": GRACE_DEDUP,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedledger.llm import chat, decontaminate, language, lm, packing, pii, quality, simhash, toxicity, urls
+from bedledger.llm import chat, decontaminate, grace, language, lm, packing, pii, quality, simhash, toxicity, urls
 from bedledger.llm.common import read
 from bedledger.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -64,6 +64,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digest(chat.format_conversations(rows.union(control)))
 
 
+def op13_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace.exact_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,5 +81,6 @@ QUERIES: dict[str, Query] = {
         op8_recurrent_lm,
         op9_ordinal_toxicity,
         op10_chat_format,
+        op13_grace_dedup,
     )
 }

@@ -1,0 +1,71 @@
+import hashlib
+import re
+from collections import defaultdict
+
+from bedledger.llm import grace, queries
+from helpers import CLASHING, SF, documents, needs_tables, odd_rows, rows_of, table
+
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def plain(rows):
+    """(doc_id, keep_id, group_size, sha256) of each row, and the number of rows that stay."""
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[BLANKS.sub(" ", text or "")].append(doc_id)
+    found = []
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        found += [(i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    return sorted(found, key=repr), len(groups)
+
+
+def compare(frame, rows):
+    found = frame.collect()
+    expected, groups = plain(rows)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=repr) == expected
+    kept = [r for r in found if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in kept}) == groups
+    assert all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_odd_rows(spark):
+    rows = odd_rows()
+    compare(grace.exact_groups(documents(spark, rows)), rows)
+    kept = grace.keep_unique(documents(spark, rows)).collect()
+    assert len(kept) == plain(rows)[1]
+    assert all(r[c] == "x" for r in kept for c in CLASHING)
+    assert grace.exact_groups(documents(spark, [])).collect() == []
+    assert grace.keep_unique(documents(spark, [])).collect() == []
+
+
+@needs_tables
+def test_query_like_plain_python(spark):
+    compare(queries.op13_grace_dedup(spark, SF), [(r.doc_id, r.text) for r in table(spark, "documents").collect()])
+
+
+def test_buckets_are_divided_until_they_fit(spark):
+    # a third of the rows are copies of one text, which no hash divides
+    rows = [(n, f"text {n % 700} " + "x" * 300 if n % 3 else " the same\t\n text") for n in range(3000)]
+    compare(grace.exact_groups(documents(spark, rows).repartition(6), bucket_bytes=20_000, fan_out=4), rows)
+
+
+def test_full_tables_are_closed(spark):
+    rows = [(n, f"text {n % 11}") for n in range(500)]
+    stored = grace.entries(documents(spark, rows).coalesce(1), table_rows=10).collect()
+    assert sum(r.first for r in stored) == 500 and sum(r.copies or 0 for r in stored) == 500
+    small = grace.entries(documents(spark, rows).coalesce(1), table_rows=25).collect()
+    assert sum(r.first for r in small) == 220 and sum(r.copies or 0 for r in small) == 500
+    assert {r.text for r in small if r.first} == {t.encode() for _, t in rows}
+
+
+def test_contents_of_one_hash_are_told_apart():
+    made = grace.ContentTable()
+    numbers = [made.number(b"content %d" % (n % 500), n % 3) for n in range(900)]
+    assert len(made) == len({(n % 500, n % 3) for n in range(900)}) and numbers[:3] == [0, 1, 2]
+    assert [made.number(b"content %d" % (n % 500), n % 3) for n in range(900)] == numbers
+
+
+def test_same_rows_on_every_run(spark):
+    frame = documents(spark, [(n % 40, f"t {n % 9}") for n in range(200)])
+    assert rows_of(grace.exact_groups(frame)) == rows_of(grace.exact_groups(frame))
