@@ -219,7 +219,7 @@ def exact_groups(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan_out
         last = larger.isEmpty()
         fits = dealt if last else dealt.join(larger, "bucket", "left_anti")
         tasks = max(cores, 2 * total // bucket_bytes)
-        lying = fits.select(*_SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        lying = fits.select(*_SENT).repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket")
         resolved(lying).write.parquet(f"{folder}/groups/level={level}")
         if not last:
             dealt.join(larger, "bucket", "left_semi").write.parquet(f"{folder}/spilled-{level}")

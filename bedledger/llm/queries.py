@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from bedledger.llm import chat, decontaminate, grace, language, lm, packing, pii, quality, simhash, toxicity, urls
+from pyspark.sql import functions as F
+
+from bedledger.llm import (
+    chat,
+    decontaminate,
+    grace,
+    hardneg,
+    language,
+    lm,
+    packing,
+    pii,
+    quality,
+    simhash,
+    toxicity,
+    treap,
+    urls,
+)
 from bedledger.llm.common import read
 from bedledger.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -64,6 +79,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digest(chat.format_conversations(rows.union(control)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector has a wrong label; every fiftieth is an anchor."""
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.hard_negatives(rows, F.expr("vec_id % 50 = 0"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -81,6 +107,8 @@ QUERIES: dict[str, Query] = {
         op8_recurrent_lm,
         op9_ordinal_toxicity,
         op10_chat_format,
+        op11_hard_negatives,
+        op12_ranked_search,
         op13_grace_dedup,
     )
 }

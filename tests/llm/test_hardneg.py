@@ -1,0 +1,93 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from bedledger.llm import hardneg, queries
+from helpers import SF, needs_tables, rows_of, table
+from pyspark.sql import functions as F
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, is_anchor, positives=5, negatives=3):
+    """Every anchor with every row, in plain Python; rows of (vec_id, embedding, label)."""
+    sound = [
+        (i, [math.floor(256 * float(x)) for x in v], label)
+        for i, v, label in rows
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    found = []
+    for a, v, label in sound:
+        if not is_anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, other) for i, w, other in sound if i != a)
+        for s, p, other in [x for x in scored if x[2] == label][:positives]:
+            fit = [(-t, n) for t, n, o in scored if o != label and 50 * -s <= 100 * -t <= 95 * -s][:negatives]
+            found += [(a, p, rank, n, -s, t) for rank, (t, n) in enumerate(fit, 1)]
+    return sorted(found)
+
+
+def mined(spark, rows, parts=3):
+    made = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("score", "owner", "code", "anchor")})
+    return rows_of(hardneg.hard_negatives(made.repartition(parts), F.col("vec_id") % 50 == 0))
+
+
+def vectors(rng, n, dims=16, labels=3):
+    centres = rng.standard_normal((labels, dims))
+    for i in range(n):
+        label = int(rng.integers(labels))
+        v = centres[label] + 1.5 * rng.standard_normal(dims)
+        yield i, [float(np.float32(x)) for x in v / np.linalg.norm(v)], label
+
+
+@needs_tables
+def test_query_like_plain_python(spark):
+    rows = [(r.vec_id, r.embedding, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in table(spark, "embeddings").collect()]
+    assert rows_of(queries.op11_hard_negatives(spark, SF)) == sorted(plain(rows, lambda i: i % 50 == 0), key=repr)
+
+
+def test_ties_odd_rows_and_a_hot_vector(spark):
+    rng = np.random.default_rng(3)
+    rows = list(vectors(rng, 400))
+    rows += [(1000 + n, rows[3][1], rows[3][2]) for n in range(200)]  # a third of the rows are one vector
+    rows += [(2000, None, 1), (2050, rows[0][1], None), (None, rows[0][1], 1), (2100, [math.nan] * 16, 1), (2150, [1.0, None], 1)]
+    rows += [(2200, [math.inf, 1.0], 1), (2250, [], 1), (2300, [0.5, -0.25], 1), (2350, [0.0] * 16, 2), (7, rows[7][1], rows[7][2])]
+    assert mined(spark, rows) == sorted(plain(rows, lambda i: i % 50 == 0), key=repr)
+
+
+def test_blocks_and_empty_tables(spark, monkeypatch):
+    rows = list(vectors(np.random.default_rng(4), 400))
+    whole = mined(spark, rows)
+    monkeypatch.setattr(hardneg, "BLOCK_BYTES", 3 * 8 * 16)
+    assert mined(spark, rows) == whole != []
+    assert mined(spark, []) == [] and mined(spark, [(1, [0.5], 1)]) == []
+    assert mined(spark, [(50, [0.5], 1)]) == []
+
+
+def test_intervals_hold_the_scores_and_leave_rows_out():
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.standard_normal((500, 32)) * rng.choice([0.01, 1, 30], (500, 1))).astype(np.int64)
+    turn = hardneg.rotation(32)
+    signs = v @ turn.T >= 0
+    code = np.where(signs, 1.0, -1.0) @ turn
+    length, span = np.linalg.norm(v, axis=1), np.linalg.norm(code, axis=1)
+    columns = {
+        "vec_id": pa.array(range(500)), "label": pa.array([0] * 500), "vector": pa.array([x.tobytes() for x in v]),
+        "code": pa.array([x.tobytes() for x in np.packbits(signs, axis=1)]), "length": pa.array(length),
+        "alignment": pa.array((v * code).sum(axis=1) / np.maximum(length * span, 1e-300)), "span": pa.array(span),
+    }
+    rows = hardneg.Rows(pa.RecordBatch.from_pydict(columns))
+    low, high = hardneg.Anchors(np.arange(60), np.zeros(60), v[:60]).bounds(slice(0, 60), rows)
+    exact = v[:60] @ v.T
+    assert (low <= exact).all() and (exact <= high).all()
+    # narrower than lengths alone would give
+    assert np.median((high - low) / (2 * np.outer(length[:60], np.maximum(length, 1)) + 2)) < 0.5
+
+
+def test_best_rows_of_each_owner():
+    best = hardneg.Best(2, 2)
+    best.add(np.array([0, 0, 1]), np.array([5, 7, 1]), np.array([9, 8, 7]))
+    best.add(np.array([0, 0]), np.array([7, 5]), np.array([3, 1]))
+    assert Counter(zip(best.owner.tolist(), best.score.tolist(), best.ids.tolist())) == Counter([(0, 7, 3), (0, 7, 8), (1, 1, 7)])
+    assert best.least.tolist() == [7, -math.inf]
