@@ -35,25 +35,33 @@ def nonneg_keep_nan(c: str | Column) -> Column:
 
 def _plainly_spelled(c: Column) -> Column:
     """Whether a text that can be cast holds no letter but an exponent's, or is one of the names."""
+
+    def plain(text: Column) -> Column:
+        # digits end plain numbers, a point may (1.)
+        last = F.substring(text, -1, 1)
+        return (last.between("0", "9") | (last == ".")) & (F.instr(text, "x") == 0) & (F.instr(text, "X") == 0)
+
     text = F.lower(F.trim(c))
-    # digits end plain numbers, a point may (1.)
-    last = F.substring(text, -1, 1)
-    plain = last.between("0", "9") | (last == ".")
-    return (plain & (F.instr(text, "x") == 0)) | text.isin(*_NAMES)
+    # nearly all texts end at the first test, without a copy of them
+    return F.when(plain(c), F.lit(True)).otherwise(plain(text) | text.isin(*_NAMES))
 
 
 def number_from_text(c: str | Column) -> Column:
     """Text to double; anything that is not a number becomes NULL."""
     c = _col(c)
-    value = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
-    return F.when(_plainly_spelled(c), value)
+    return F.when(_plainly_spelled(c), F.nanvl(c.try_cast("double"), F.lit(None).cast("double")))
+
+
+def number_or_zero(c: str | Column) -> Column:
+    """Text to double, each text read once: a missing number, blank or NaN is 0, a text that is no number NULL."""
+    c = _col(c)
+    read = F.when(_plainly_spelled(c), F.nanvl(c.try_cast("double"), F.lit(_ZERO)))
+    return F.coalesce(read, F.when(c.isNull() | (F.trim(c) == ""), F.lit(_ZERO)))
 
 
 def is_not_a_number(c: str | Column) -> Column:
     """Whether a text is there that stands neither for a number nor for a missing one."""
-    c = _col(c)
-    number = c.try_cast("double").isNotNull() & _plainly_spelled(c)
-    return ~F.coalesce(number | (F.trim(c) == ""), F.lit(True))
+    return number_or_zero(c).isNull()
 
 
 def suppressed_to_null(c: str | Column) -> Column:

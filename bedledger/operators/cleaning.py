@@ -12,7 +12,7 @@ from bedledger.functions.guards import (
     _col,
     is_not_a_number,
     missing_to_zero,
-    number_from_text,
+    number_or_zero,
     suppressed_to_null,
 )
 from bedledger.schema import (
@@ -74,7 +74,7 @@ def yes_to_true(c: str | Column) -> Column:
 
 def metric_from_text(c: str | Column) -> Column:
     """Metric text to double: blank or NaN is 0, a text that is no number stays NULL."""
-    return F.when(~is_not_a_number(c), missing_to_zero(number_from_text(c)))
+    return number_or_zero(c)
 
 
 # ---- Feed transforms ------------------------------------------------------

@@ -1,9 +1,10 @@
 """File-to-table loads, all or nothing.
 
-A load validates before it writes. The rows that win are staged; `publish` merges them with the stored rows they
-leave in place into a new version of the touched parts, and one entry in the publish log makes all of them
+A load validates before it writes. The rows that win are staged; `publish` writes them as new files, together with the
+other rows of those stored files that hold one of their keys, and one entry in the publish log makes all of them
 live, so hospitals and reports change together. A load that was cut short has changed nothing: repeat it, or its
-`publish`. A finished publish is not done again. One load at a time may write to a root folder.
+`publish`. A finished publish is not done again. Several loads may publish to a root folder at once: the second to commit
+merges those tables again whose parts the first has changed, so the result is that of one load after the other.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedledger.operators.checks import duplicate_keys, orphan_rows, width_overflow
@@ -44,18 +45,12 @@ from bedledger.schema import (
 )
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
+from bedledger.sources.manifest import Change, State, commit, read_state, remove_folder
 from bedledger.sources.tables import (
-    PARTITION_COLUMN,
     SCHEMAS,
-    MissingTables,
-    State,
-    live_state,
-    remove_folder,
-    switch,
+    merged,
     table_of,
-    was_published,
     with_week,
-    write_version,
 )
 
 WIDTHS = {"hospital": HOSPITAL_WIDTHS, "hospital_quality": QUALITY_WIDTHS}
@@ -110,42 +105,62 @@ def _stage(spark: SparkSession, staging: str | None) -> str:
     return f"{staging or scratch_folder(spark)}/load-{uuid.uuid4().hex}"
 
 
-def _staged_feed(spark: SparkSession, explained: DataFrame, stage: str) -> DataFrame:
-    """Parse the text once; all later steps read this columnar copy."""
-    explained.write.parquet(f"{stage}/feed")
-    return spark.read.schema(explained.schema).parquet(f"{stage}/feed")
+def _staged_feed(explained: DataFrame, dropped: Column, failing: Column, stage: str) -> tuple[DataFrame, dict]:
+    """Parse the text once; all later steps read this columnar copy. The write itself counts its rows.
 
-
-def _stage_winners(winners: DataFrame, stage: str, name: str) -> None:
-    """Write the winners of a batch, so that they are worked out once."""
+    Returns the copy, its arrivals as numbers, and the counts with the first row that fails.
+    """
+    seen, spark = Observation(), explained.sparkSession
+    explained.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(dropped).alias("rows_dropped"),
+        F.count_if(failing).alias("rows_rejected"),
+        F.count_if(~dropped & ~failing).alias("rows_left"),
+        F.min(F.when(failing, F.struct(ARRIVAL, "hospital_pk", "reject_reason"))).alias("first"),
+    ).write.parquet(f"{stage}/feed")
+    stored = spark.read.schema(explained.schema).parquet(f"{stage}/feed")
+    return numbered(stored), seen.get
+
+
+def numbered(feed: DataFrame) -> DataFrame:
+    """Arrivals as numbers in the same order, by which hash aggregates can reduce.
+
+    A block of a file is read by one task, so its rows differ in the lower bits of their numbers there; the blocks are
+    ranked by file time, file and place. There are as many as the reading had tasks.
+    """
+    in_block = F.col(f"{ARRIVAL}.row").bitwiseAND(F.lit((1 << 33) - 1))
+    block = F.struct(*(F.col(f"{ARRIVAL}.{c}").alias(c) for c in ("file_time", "file", "block"))).alias("of_block")
+    ranks = feed.select(block).distinct().select("of_block", F.row_number().over(Window.orderBy("of_block")).alias("at"))
+    others = [c for c in feed.columns if c != ARRIVAL]
+    number = F.shiftleft(F.col("at").cast("long"), 33).bitwiseOR(in_block)
+    # blocks always have a rank; the table of ranks is small, and Spark sees its size
+    return feed.withColumn("of_block", block).join(ranks, "of_block").select(*others, number.alias(ARRIVAL))
+
+
+def _stage_winners(winners: DataFrame, stage: str, name: str, counted: str | None = None) -> int:
+    """Write the winners of a batch, so that they are worked out once; returns the sum of a column that counts rows."""
+    if counted:
+        seen = Observation()
+        winners = winners.observe(seen, F.sum(counted).alias("rows"))
     winners.select(*SCHEMAS[name].names).write.parquet(f"{stage}/new/{name}")
+    return (seen.get["rows"] or 0) if counted else 0
 
 
-def _accept(feed: DataFrame, failing: Column, on_reject: str, stage: str) -> DataFrame:
+def _accept(feed: DataFrame, seen: dict, on_reject: str, stage: str) -> DataFrame:
     """Feed rows that go on; raises when a row fails and rejects are not to be set aside."""
-    if on_reject not in ("abort", "set_aside"):
-        raise ValueError(f"on_reject must be 'abort' or 'set_aside', not {on_reject!r}")
     if on_reject == "set_aside":
         typed = [c for c in feed.columns if c.startswith(TYPED)]
         reject_report(feed).drop(ARRIVAL, *typed).write.parquet(f"{stage}/rejects")
-    else:
-        first = feed.filter(failing).select("hospital_pk", "reject_reason").head()
-        if first is not None:
-            raise LoadRejected(f"{first.hospital_pk}: {first.reject_reason}; see {stage}/feed")
+    elif seen["first"] is not None:
+        first = seen["first"]
+        raise LoadRejected(f"{first.hospital_pk}: {first.reject_reason}; see {stage}/feed")
     return feed.filter("reject_reason IS NULL")
 
 
-def _one_row(df: DataFrame) -> dict[str, int]:
-    return df.first().asDict()
-
-
-def parts_of_batch(stored: DataFrame, batch: DataFrame, column: str) -> DataFrame:
-    """The stored rows of those partitions that occur in the batch; other partitions stay unread."""
-    parts = batch.select(column).distinct()
-    first, last = batch.agg(F.min(column), F.max(column)).first()
-    if first is None:
-        return stored.limit(0)
-    return stored.filter(F.col(column).between(first, last)).join(parts, column, "left_semi")
+def _check_mode(on_reject: str) -> None:
+    if on_reject not in ("abort", "set_aside"):
+        raise ValueError(f"on_reject must be 'abort' or 'set_aside', not {on_reject!r}")
 
 
 def load_hhs_data(
@@ -161,16 +176,20 @@ def load_hhs_data(
     on_reject='abort' loads nothing if one row does not fit; 'set_aside' loads the other
     rows and keeps the misfits under `<staging>/rejects`. multi_line=True allows line
     breaks in quoted fields, at the price of one task per file.
+
+    The text is read once. The staged copy is read once for the hospitals' columns and once for the reports'; the writes
+    count the rows for the summary.
     """
+    _check_mode(on_reject)
     stage = _stage(spark, staging)
     raw = read_hhs_csv(spark, file_path, multi_line, broken_lines="mark")
-    feed = _staged_feed(spark, with_typed_columns(explain_hhs_rows(raw)), stage)
     failing = ~F.col("bad_key") & F.col("reject_reason").isNotNull()
-    batch = typed_rows(_accept(feed, failing, on_reject, stage))
+    feed, seen = _staged_feed(with_typed_columns(explain_hhs_rows(raw)), F.col("bad_key"), failing, stage)
+    batch = typed_rows(_accept(feed, seen, on_reject, stage))
 
-    _stage_winners(hospital_winners(batch), stage, "hospital")
+    hospitals = _stage_winners(hospital_winners(batch, count="_rows"), stage, "hospital", "_rows")
     _stage_winners(with_week(weekly_winners(batch)), stage, "weekly_hospital_stats")
-    return _published(spark, stage, root, hhs_load_summary(feed))
+    return _published(spark, stage, root, seen, hospital_records=hospitals, weekly_records=seen["rows_left"])
 
 
 def load_quality_data(
@@ -184,37 +203,42 @@ def load_quality_data(
 ) -> LoadResult:
     """Load the quality feed of one rating year; ratings of unknown hospitals are left out."""
     year = int(year)
+    _check_mode(on_reject)
     stage = _stage(spark, staging)
-    stored = table_of(spark, root, "hospital", _state(spark, root))
+    stored = table_of(spark, root, "hospital", read_state(spark, root, or_empty=True))
     hospitals = stored.select("hospital_pk", F.lit(True).alias("known"))
     raw = read_quality_csv(spark, file_path, multi_line, broken_lines="mark")
-    explained = explain_quality_rows(raw)
-    marked = explained.join(hospitals, "hospital_pk", "left").fillna(False, ["known"])
-    feed = _staged_feed(spark, marked, stage)
+    marked = explain_quality_rows(raw).join(hospitals, "hospital_pk", "left").fillna(False, ["known"])
     # a rating of an unknown hospital is left out whatever else it holds
-    counts = F.col("known") | F.col(BROKEN_LINE)
-    failing = ~F.col("bad_key") & counts & F.col("reject_reason").isNotNull()
-    accepted = _accept(feed, failing, on_reject, stage).filter("known")
-    batch = conform_quality(accepted, year)
-
-    _stage_winners(quality_winners(batch), stage, "hospital_quality")
-    return _published(spark, stage, root, quality_load_summary(feed))
-
+    counts = ~F.col("bad_key") & (F.col("known") | F.col(BROKEN_LINE))
+    feed, seen = _staged_feed(marked, ~counts, counts & F.col("reject_reason").isNotNull(), stage)
+    batch = conform_quality(_accept(feed, seen, on_reject, stage).filter("known"), year)
 
-def _state(spark: SparkSession, root: str) -> State:
-    """The live state; nothing before the first load."""
-    try:
-        return live_state(spark, root)[1]
-    except MissingTables:
-        return {}
+    ratings = _stage_winners(quality_winners(batch, count="_rows"), stage, "hospital_quality", "_rows")
+    return _published(spark, stage, root, seen, quality_records=ratings)
 
 
-def _published(spark: SparkSession, stage: str, root: str, summary: DataFrame) -> LoadResult:
-    counts = _one_row(summary)
-    publish(spark, stage, root)
+def _published(spark: SparkSession, stage: str, root: str, seen: dict, **records: int) -> LoadResult:
+    # keys, widths and references hold by the way these winners were made; `publish` checks them for other stages
+    _commit_merged(spark, stage, root, _staged(spark, stage), read_state(spark, root, or_empty=True))
     for part in ("feed", "new"):
         remove_folder(spark, f"{stage}/{part}")
-    return LoadResult(counts, stage)
+    return LoadResult({c: seen[c] for c in ("rows_read", "rows_dropped", "rows_rejected")} | records, stage)
+
+
+def _staged(spark: SparkSession, stage: str) -> dict[str, DataFrame]:
+    """The staged rows of those tables that have some."""
+    found = {}
+    for name in KEYS:
+        try:
+            rows = spark.read.schema(SCHEMAS[name]).parquet(f"{stage}/new/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # another kind of load
+        if not rows.isEmpty():
+            found[name] = rows
+    return found
 
 
 def _check_contract(name: str, key: list[str], winners: DataFrame, stage: str) -> None:
@@ -238,21 +262,25 @@ def publish(spark: SparkSession, stage: str, root: str) -> None:
 
     A finished publish is left alone, so an old stage cannot undo later loads.
     """
-    if was_published(spark, root, stage):
+    state = read_state(spark, root, or_empty=True)
+    if stage in state.publishes:
         return
-    state, version, parts = _state(spark, root), stage.rpartition("/")[2], {}
-    for name, key in KEYS.items():
-        try:
-            winners = spark.read.schema(SCHEMAS[name]).parquet(f"{stage}/new/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue  # another kind of load
-        if winners.isEmpty():
-            continue
-        _check_contract(name, key, winners, stage)
-        stored = table_of(spark, root, name, state)
-        if name in PARTITION_COLUMN:
-            stored = parts_of_batch(stored, winners, PARTITION_COLUMN[name])
-        parts[name] = write_version(replace_rows(stored, winners, key), root, name, version)
-    switch(spark, root, stage, parts, version)
+    winners = _staged(spark, stage)
+    for name, rows in winners.items():
+        _check_contract(name, KEYS[name], rows, stage)
+    _commit_merged(spark, stage, root, winners, state)
+
+
+def _commit_merged(spark: SparkSession, stage: str, root: str, winners: dict[str, DataFrame], state: State) -> None:
+    """Write and commit; whenever another publish comes first, merge what it has changed again."""
+    changes: dict[str, Change] = {}
+    while stage not in state.publishes:
+        for name, rows in winners.items():
+            if name not in changes:
+                version = f"{stage.rpartition('/')[2]}-{state.seq + 1}"
+                changes[name] = merged(root, name, rows, KEYS[name], state, version)
+        if commit(spark, root, stage, list(changes.values()), state):
+            return
+        now = read_state(spark, root)
+        changes = {name: c for name, c in changes.items() if not c.clashes(state, now)}
+        state = now

@@ -30,14 +30,15 @@ def first_of_each_row(df: DataFrame, seq: str = ARRIVAL) -> DataFrame:
     return df.groupBy(*values).agg(F.min(seq).alias(seq))
 
 
-def last_per_key(df: DataFrame, key: list[str], seq: str = ARRIVAL) -> DataFrame:
-    """The last arrived row of every key, without `seq`."""
+def last_per_key(df: DataFrame, key: list[str], seq: str = ARRIVAL, count: str | None = None) -> DataFrame:
+    """The last arrived row of every key, without `seq`; `count` names a column for the number of rows of the key."""
     values = [c for c in df.columns if c not in (*key, seq)]
+    counts = [F.count(F.lit(1)).alias(count)] if count else []
     if all(isinstance(df.schema[c].dataType, T.NumericType) for c in (*values, seq)):
-        return df.groupBy(*key).agg(*(F.max_by(c, seq).alias(c) for c in values))
-    # arrival leads the struct, so its maximum is the last row
-    last = F.max(F.struct(F.col(seq).alias("_seq"), *values)).alias("last")
-    return df.groupBy(*key).agg(last).select(*key, *(f"last.{c}" for c in values))
+        return df.groupBy(*key).agg(*(F.max_by(c, seq).alias(c) for c in values), *counts)
+    last = df.groupBy(*key).agg(F.max(seq).alias(seq), *counts)
+    # arrivals differ, so a key and its last arrival find one row
+    return df.join(last, [*key, seq]).select(*key, *values, *([count] if count else []))
 
 
 def rows_to_keep(existing: DataFrame, winners: DataFrame, key: list[str]) -> DataFrame:
@@ -53,16 +54,16 @@ def replace_rows(existing: DataFrame, winners: DataFrame, key: list[str]) -> Dat
     return rows_to_keep(existing, winners, key).unionByName(winners)
 
 
-def hospital_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
-    """Equal rows collapse to their first copy, then the last distinct row per key wins."""
+def hospital_winners(batch: DataFrame, seq: str = ARRIVAL, count: str | None = None) -> DataFrame:
+    """Equal rows collapse to their first copy, then the last distinct row per key wins; `count` as above."""
     rows = first_of_each_row(batch.select(*HOSPITAL_COLUMNS, seq), seq)
-    return last_per_key(rows, HOSPITAL_KEY, seq)
+    return last_per_key(rows, HOSPITAL_KEY, seq, count)
 
 
-def quality_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:
+def quality_winners(batch: DataFrame, seq: str = ARRIVAL, count: str | None = None) -> DataFrame:
     """As for hospitals, with one row per hospital and rating year."""
     rows = first_of_each_row(batch.select(*QUALITY_COLUMNS, seq), seq)
-    return last_per_key(rows, QUALITY_KEY, seq)
+    return last_per_key(rows, QUALITY_KEY, seq, count)
 
 
 def weekly_winners(batch: DataFrame, seq: str = ARRIVAL) -> DataFrame:

@@ -1,24 +1,37 @@
 """The three tables: how they are stored, read and queried.
 
 Under a root folder each write of a table has a folder of its own, `<table>/version=<id>`, with one
-folder per partition below it: the calendar day of collection_week (`week`), or rating_year. `publish_log`
-says which version of each partition is live. One small file is added to it by each publish, holds the
-whole state, and appears at once: a reader sees all of a publish or nothing of it, and a write that was cut short
+folder per partition below it: the calendar day of collection_week (`week`), or rating_year. The publish log (`manifest.py`)
+says which files are live; a scan opens these alone, however many older ones lie beside them. A publish takes out only
+the files that hold one of its keys. A reader sees all of a publish or nothing of it, and a write that was cut short
 stays invisible. Every date predicate of the questions becomes a partition filter.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bedledger.operators.upsert import replace_rows
 from bedledger.schema import HOSPITAL_SCHEMA, QUALITY_SCHEMA, WEEK, WEEKLY_SCHEMA
+from bedledger.sources.manifest import (
+    Change,
+    DataFile,
+    MissingTables,  # noqa: F401
+    State,
+    commit,
+    describe_files,
+    filesystem,
+    fold,
+    forget,
+    read_state,
+    stored_path,
+)
 
 # In the order in which they are published: rows refer to hospitals only.
 SCHEMAS = {
@@ -45,160 +58,175 @@ class Tables:
     hospital_quality: DataFrame
 
 
-class MissingTables(Exception):
-    """Nothing was ever published under this root folder."""
-
-
-LOG = "publish_log"
-_LOG_SCHEMA = "seq bigint, publish string, table_name string, part string, version string"
 VERSION = "version"
 # The part of a table without partitions.
 WHOLE = ""
-
-State = dict[str, dict[str, str]]
-
-
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(_LOG_SCHEMA).parquet(f"{root}/{LOG}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise MissingTables(f"no tables under {root}") from e
-
-
-def live_state(spark: SparkSession, root: str) -> tuple[int, State]:
-    """Number of the last publish, and the live version of each part of each table."""
-    log = _log(spark, root)
-    seq = log.agg(F.max("seq")).first()[0]
-    state: State = {}
-    # one row per stored day and year at most
-    for row in log.filter(F.col("seq") == F.lit(seq)).filter("version IS NOT NULL").collect():
-        state.setdefault(row.table_name, {})[row.part] = row.version
-    return seq, state
+KEY = "hospital_pk"
+#: `compact` rewrites parts that have more files than this, of fewer rows than that on average.
+MANY_FILES, FEW_ROWS = 8, 1_000_000
 
 
-def was_published(spark: SparkSession, root: str, publish: str) -> bool:
-    try:
-        return not _log(spark, root).filter(F.col("publish") == publish).isEmpty()
-    except MissingTables:
-        return False
+def scan(spark: SparkSession, root: str, name: str, files: Iterable[DataFile]) -> DataFrame:
+    """The rows of these stored files, with the version they lie in; no other folder is listed."""
+    fields = [*SCHEMAS[name].fields, T.StructField(VERSION, T.StringType())]
+    paths = sorted(f"{root}/{f.path}" for f in files)
+    if not paths:
+        return spark.createDataFrame([], T.StructType(fields))
+    return spark.read.schema(T.StructType(fields)).option("basePath", f"{root}/{name}").parquet(*paths)
 
 
 def table_of(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
     """The live rows of a table; empty if the state has none."""
-    schema, parts = SCHEMAS[name], state.get(name)
-    if not parts:
-        return spark.createDataFrame([], schema)
-    partition = PARTITION_COLUMN.get(name)
-    if partition is None:
-        return spark.read.schema(schema).parquet(f"{root}/{name}/{VERSION}={parts[WHOLE]}")
-    versioned = T.StructType([*schema.fields, T.StructField(VERSION, T.StringType())])
-    live = F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair))
-    stored = spark.read.schema(versioned).parquet(f"{root}/{name}")
-    # both sides are partition columns: only live folders are read
-    is_live = live[F.col(partition).cast("string")] == F.col(VERSION)
-    return stored.filter(is_live).select(*schema.names)
+    return scan(spark, root, name, state.of(name)).select(*SCHEMAS[name].names)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return table_of(spark, root, name, live_state(spark, root)[1])
+    return table_of(spark, root, name, read_state(spark, root))
 
 
 def read_tables(spark: SparkSession, root: str) -> Tables:
     """All three tables as one publish left them."""
-    state = live_state(spark, root)[1]
+    state = read_state(spark, root)
     return Tables(*(table_of(spark, root, name, state) for name in SCHEMAS))
 
 
-def write_version(df: DataFrame, root: str, name: str, version: str) -> list[str]:
-    """Write rows as a version that nobody sees yet; returns the parts it has rows for.
+def write_version(df: DataFrame, root: str, name: str, version: str) -> list[DataFile]:
+    """Write rows as files that nobody sees yet, and describe them.
 
     The rebalance hint lets AQE size the output files from the shuffle it measured: a
     partition that holds most of the rows is split over many tasks, small ones share one.
     A partitioned write sorts by the partition anyway; with the key behind it, equal keys
-    lie together and row-group statistics on the key become useful.
+    lie together and the key ranges of files and row groups become useful.
     """
-    partition, path = PARTITION_COLUMN.get(name), f"{root}/{name}/{VERSION}={version}"
+    spark, partition, path = df.sparkSession, PARTITION_COLUMN.get(name), f"{root}/{name}/{VERSION}={version}"
     df = df.select(*SCHEMAS[name].names)
     if partition is None:
         df.hint("rebalance").write.mode("overwrite").parquet(path)
-        return [WHOLE]
-    rows = df.hint("rebalance", partition).sortWithinPartitions(partition, "hospital_pk")
-    rows.write.mode("overwrite").partitionBy(partition).parquet(path)
-    written = df.sparkSession.read.schema(SCHEMAS[name]).parquet(path)
-    parts = written.select(F.col(partition).cast("string").alias("part")).distinct().collect()
-    return [row.part for row in parts]
+    else:
+        rows = df.hint("rebalance", partition).sortWithinPartitions(partition, KEY)
+        rows.write.mode("overwrite").partitionBy(partition).parquet(path)
+    return describe_files(spark, spark.read.schema(SCHEMAS[name]).parquet(path), root, name, KEY, partition)
 
 
-def switch(spark: SparkSession, root: str, publish: str, parts: dict[str, list[str]], version: str) -> None:
-    """Make the written parts live, all at once."""
-    try:
-        seq, state = live_state(spark, root)
-    except MissingTables:
-        seq, state = 0, {}
-    for name, changed in parts.items():
-        state.setdefault(name, {}).update(dict.fromkeys(changed, version))
-    rows = [(seq + 1, publish, name, part, v) for name, live in state.items() for part, v in live.items()]
-    rows = rows or [(seq + 1, publish, None, None, None)]
-    spark.createDataFrame(rows, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{LOG}")
+def replaced_parts(name: str, added: list[DataFile], state: State) -> Change:
+    """The change that puts written files in the place of everything in their parts."""
+    parts = frozenset(f.part for f in added) if name in PARTITION_COLUMN else frozenset([WHOLE])
+    return Change(name, parts, added, frozenset(f.path for f in state.of(name, parts)))
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
     """Replace `hospital`, or only those partitions of a partitioned table `df` has rows for."""
-    version = uuid.uuid4().hex
-    parts = write_version(df, root, name, f"v{version}")
-    switch(df.sparkSession, root, version, {name: parts}, f"v{version}")
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    added = write_version(df, root, name, f"v{version}")
+    while True:
+        state = read_state(spark, root, or_empty=True)
+        if commit(spark, root, version, [replaced_parts(name, added, state)], state):
+            return
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def files_with_keys(spark: SparkSession, root: str, name: str, rows: DataFrame, key: list[str], state: State) -> list[DataFile]:
+    """The live files that hold a key of `rows`.
+
+    The log's key ranges leave out most files of the rows' parts; of the others only the key columns are read.
+    """
+    partition = PARTITION_COLUMN.get(name)
+    part = F.col(partition).cast("string") if partition else F.lit(WHOLE)
+    # one row per day or year in the batch
+    ranges = rows.groupBy(part.alias("part")).agg(F.min(KEY).alias("first"), F.max(KEY).alias("last")).collect()
+    span = {r["part"]: (r["first"], r["last"]) for r in ranges}
+    near = [
+        f for f in state.of(name, span)
+        # a file or batch of null keys has no range
+        if None in (f.first_key, f.last_key, *span[f.part]) or (f.first_key <= span[f.part][1] and span[f.part][0] <= f.last_key)
+    ]
+    if not near:
+        return []
+    stored = scan(spark, root, name, near).withColumn("_file", F.col("_metadata.file_path"))
+    hit = stored.join(rows.select(*key), key, "left_semi").select("_file").distinct().collect()  # one row per file
+    paths = {stored_path(r["_file"], name) for r in hit}
+    return [f for f in near if f.path in paths]
+
+
+def merged(root: str, name: str, winners: DataFrame, key: list[str], state: State, version: str) -> Change:
+    """Write the winners, and what else is in the live files that hold one of their keys."""
+    spark, partition = winners.sparkSession, PARTITION_COLUMN.get(name)
+    touched = files_with_keys(spark, root, name, winners, key, state)
+    columns = SCHEMAS[name].names
+    rows = replace_rows(scan(spark, root, name, touched).select(*columns), winners.select(*columns), key) if touched else winners
+    added = write_version(rows, root, name, version)
+    parts = frozenset(f.part for f in added) if partition else frozenset([WHOLE])
+    return Change(name, parts, added, frozenset(f.path for f in touched))
+
+
+def compact(spark: SparkSession, root: str, name: str, many_files: int = MANY_FILES, few_rows: int = FEW_ROWS) -> int:
+    """Put small files of a part together, as many small loads leave them; returns how many were taken out.
+
+    Loads may run meanwhile: a part they change is left for the next call.
+    """
+    state, version = read_state(spark, root), uuid.uuid4().hex
+    small = [f for f in state.of(name) if f.rows < few_rows]
+    crowded = {p for p in {f.part for f in small} if sum(f.part == p for f in small) > many_files}
+    old = [f for f in small if f.part in crowded]
+    if not old:
+        return 0
+    added = write_version(scan(spark, root, name, old), root, name, f"v{version}")
+    base = state
+    while True:
+        still = frozenset(p for p in crowded if not Change(name, frozenset([p]), [], frozenset()).clashes(base, state))
+        gone = frozenset(f.path for f in old if f.part in still)
+        if not gone:
+            return 0
+        if commit(spark, root, version, [Change(name, still, [f for f in added if f.part in still], gone)], state):
+            return len(gone)
+        state = read_state(spark, root)
 
 
 def expire(spark: SparkSession, root: str) -> int:
-    """Remove parts that are no longer live, and all but the last file of the log; returns how many parts.
+    """Remove data files that are no longer live, and fold the log; returns how many files.
 
     Call it while no load runs and no reader still uses an older state.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    seq, state = live_state(spark, root)
+    state = read_state(spark, root)
     removed = 0
     for name in SCHEMAS:
         depth = f"{root}/{name}/{VERSION}=*" + ("/*=*" if name in PARTITION_COLUMN else "")
-        for found in files.globStatus(path(depth)) or []:
-            own = found.getPath()
-            parent = own.getParent() if name in PARTITION_COLUMN else own
-            part = own.getName().partition("=")[2] if name in PARTITION_COLUMN else WHOLE
-            if state.get(name, {}).get(part) != parent.getName().partition("=")[2]:
-                files.delete(own, True)
+        pattern, files = filesystem(spark, f"{depth}/*.parquet")
+        for found in files.globStatus(pattern) or []:
+            if stored_path(found.getPath().toString(), name) not in state.files:
+                files.delete(found.getPath(), False)
                 removed += 1
-    last = {r[0] for r in _log(spark, root).filter(F.col("seq") == seq).select("_metadata.file_name").distinct().collect()}
-    for found in files.globStatus(path(f"{root}/{LOG}/*.parquet")) or []:
-        if found.getPath().getName() not in last:
-            files.delete(found.getPath(), False)
+    fold(spark, root, state)
+    forget(spark, root, state)
     return removed
 
 
 def read_sql_query(sql: str, tables: Tables, params: dict | None = None) -> DataFrame:
     """Run SQL text against the tables, with named parameters (`:name`).
 
-    The tables are bound to this query alone: the session's own views of these names stay as they are.
+    The text is resolved in a session of its own in which the tables have their plain names, so it may be any query, with
+    comments, recursive or nested WITH lists, quoted names or names of the tables used again inside. The caller's
+    settings and current database hold there; its temporary views and functions are not seen.
     """
     spark = tables.hospital.sparkSession
-    mark = uuid.uuid4().hex[:8]
-    views = {name: f"{name}_{mark}" for name in SCHEMAS}
-    for name, view in views.items():
-        getattr(tables, name).createOrReplaceTempView(view)
+    scope, mark = _scope(spark), uuid.uuid4().hex
+    shared = {name: f"{name}_{mark}" for name in SCHEMAS}
+    for name, view in shared.items():
+        getattr(tables, name).createGlobalTempView(view)
     try:
-        # a table's name stands for its view, with the same alias
-        heads = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
-        text = sql.strip()
-        with_list = re.match(r"(?i)WITH\s+(?!RECURSIVE\b)", text)
-        whole = f"WITH {heads}, {text[with_list.end():]}" if with_list else f"WITH {heads} {text}"
-        return spark.sql(whole, args=params or {})
+        for name, view in shared.items():
+            scope.sql(f"CREATE TEMPORARY VIEW {name} AS TABLE global_temp.{view}")
+        return scope.sql(sql, args=params or {})
     finally:
         # the analysed query holds the relations themselves
-        for view in views.values():
-            spark.catalog.dropTempView(view)
+        for view in shared.values():
+            spark.catalog.dropGlobalTempView(view)
+
+
+def _scope(spark: SparkSession) -> SparkSession:
+    """A session with the settings of another and no views."""
+    scope = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if scope.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            scope.conf.set(key, value)
+    scope.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    return scope

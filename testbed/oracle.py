@@ -79,8 +79,8 @@ VIEWS = {
                CASE WHEN mix % 29 <> 0 THEN CAST(pediatric_occupied AS DOUBLE) / 10 END AS {PED_OCC},
                CAST(icu AS DOUBLE) / 10 AS {ICU},
                CAST(icu_used AS DOUBLE) / 10 AS {ICU_USED},
-               CASE WHEN mix % 23 = 0 THEN -999999.0 WHEN mix % 4001 = 0 THEN {NAN}
-                    ELSE CAST(covid AS DOUBLE) / 10 END AS {COVID},
+               CASE WHEN mix % 23 = 0 THEN -999999.0 WHEN mix % 97 = 0 THEN {NAN}
+                    WHEN mix % 3 = 0 THEN CAST(covid AS DOUBLE) ELSE CAST(covid AS DOUBLE) / 10 END AS {COVID},
                CAST(icu_covid AS DOUBLE) / 10 AS {ICU_COVID},
                week
         FROM reports""",

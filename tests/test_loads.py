@@ -15,6 +15,7 @@ from bedledger.operators.loads import (
 from bedledger.schema import HHS_COLUMNS, HOSPITAL_COLUMNS, QUALITY_RENAMES, WEEKLY_METRICS
 from bedledger.session import scratch_folder
 from bedledger.sources.feeds import read_hhs_csv, read_quality_csv
+from bedledger.sources import manifest, tables
 from bedledger.sources.tables import MissingTables, expire, read_table, read_tables, write_table
 from bedledger.streaming.feed_folder import load_new_hhs_files
 
@@ -178,14 +179,14 @@ def test_a_feed_without_rows(spark, tmp_path):
 def test_a_cut_publish_changes_nothing(spark, tmp_path, monkeypatch):
     root, stage = str(tmp_path / "db"), str(tmp_path / "s")
     load_hhs_data(spark, write_hhs(tmp_path / "1.csv", hhs_row("010001")), root, staging=stage)
-    real = loads.write_version
+    real = tables.write_version
 
     def cut(df, to, name, version):
         if name == "weekly_hospital_stats":
             raise OSError("lost")
         return real(df, to, name, version)
 
-    monkeypatch.setattr(loads, "write_version", cut)
+    monkeypatch.setattr(tables, "write_version", cut)
     second = write_hhs(tmp_path / "2.csv", hhs_row("010002"))
     with pytest.raises(OSError):
         load_hhs_data(spark, second, root, staging=stage)

@@ -5,11 +5,12 @@ from contextlib import redirect_stdout
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from bedledger.operators.loads import parts_of_batch
 from bedledger.plans import questions
-from bedledger.sources.tables import SCHEMAS, Tables, read_tables, write_table
-from bedledger.schema import WEEKLY_METRICS
+from bedledger.schema import WEEKLY_KEY, WEEKLY_METRICS
+from bedledger.sources.manifest import read_state
+from bedledger.sources.tables import SCHEMAS, Tables, files_with_keys, read_tables, scan, table_of, write_table, write_version
 from testbed import derive
 from testbed.registry import DAY, NORTHEAST, QUERIES
 
@@ -76,7 +77,7 @@ def test_stored_weeks_and_columns_are_pruned(stored, question, columns):
     assert weekly
     for scan in weekly:
         (line,) = [x for x in scan.splitlines() if x.startswith("PartitionFilters")]
-        assert "isnotnull(week" in line and "version" in line
+        assert "isnotnull(week" in line
         schema = scan.split("ReadSchema: ")[1]
         assert schema.count("7_day_avg") == columns
 
@@ -153,19 +154,45 @@ def test_a_hot_hospital_is_split_in_a_shuffled_join(spark):
     assert sum(r.total_beds for r in rows) == 2 * sum(i % 7 for i in range(200_000))
 
 
-def test_a_load_reads_only_the_weeks_of_its_batch(spark, stored):
-    batch = derive.weekly(spark, SF, "2001-05-28", "2001-06-04").filter("week <> DATE '2001-05-28'")
-    touched = parts_of_batch(stored.weekly_hospital_stats, batch, "week")
-    scan = next(b for b in plan(touched).split("\n\n") if "Scan parquet" in b and "7_day_avg" in b)
-    assert "(week#" in scan and ">= 2001-06-04)" in scan and "<= 2001-06-04)" in scan
-    assert "LeftSemi" in plan(touched)
-    assert [r.week.isoformat() for r in touched.select("week").distinct().collect()] == ["2001-06-04"]
-    nothing = parts_of_batch(stored.weekly_hospital_stats, batch.filter("false"), "week")
-    assert nothing.count() == 0
-
-
-def test_weekly_upserts_are_hash_aggregates(spark):
-    text = plan(QUERIES["upsert_weekly"](spark, SF), "simple")
+def test_a_load_reads_only_the_keys_of_files_in_reach(spark, tmp_path):
+    root = str(tmp_path)
+    reports = derive.weekly(spark, SF, "2001-05-28", "2001-06-04")
+    write_table(reports, root, "weekly_hospital_stats")
+    state = read_state(spark, root)
+    one = reports.filter("week = DATE '2001-06-04'").limit(1)
+    found = files_with_keys(spark, root, "weekly_hospital_stats", one, WEEKLY_KEY, state)
+    assert {f.part for f in found} == {"2001-06-04"} and len(found) == 1
+    text = plan(scan(spark, root, "weekly_hospital_stats", found).join(one.select(*WEEKLY_KEY), WEEKLY_KEY, "left_semi").select("week"))
+    near = next(b for b in text.split("\n\n") if "Scan parquet" in b and "2001-06-04" in b and root in b)
+    assert "7_day_avg" not in near
+    nobody = one.withColumn("hospital_pk", F.lit("zzzzzz"))
+    assert files_with_keys(spark, root, "weekly_hospital_stats", nobody, WEEKLY_KEY, state) == []
+    assert files_with_keys(spark, root, "weekly_hospital_stats", one.filter("false"), WEEKLY_KEY, state) == []
+
+
+def test_only_live_files_are_listed(spark, tmp_path):
+    root = str(tmp_path)
+    reports = derive.weekly(spark, SF, "2001-05-28", "2001-06-04").coalesce(1)
+    write_table(reports, root, "weekly_hospital_stats")
+    # versions that nobody sees, as cut loads leave them
+    for n in range(50):
+        write_version(reports.limit(5), root, "weekly_hospital_stats", f"dead{n}")
+    state = read_state(spark, root)
+    opened = set(table_of(spark, root, "weekly_hospital_stats", state).inputFiles())
+    assert len(opened) == len(state.of("weekly_hospital_stats")) and not any("dead" in f for f in opened)
+    text = plan(questions.get_metrics(read_tables_of(spark, root), DAY, NORTHEAST))
+    scan_of = next(b for b in text.split("\n\n") if "Scan parquet" in b and "7_day_avg" in b)
+    assert "dead" not in scan_of
+
+
+def read_tables_of(spark, root):
+    state = read_state(spark, root)
+    return Tables(*(table_of(spark, root, name, state) for name in SCHEMAS))
+
+
+@pytest.mark.parametrize("key", ["upsert_weekly", "upsert_hospital", "upsert_quality"])
+def test_upserts_are_hash_aggregates(spark, key):
+    text = plan(QUERIES[key](spark, SF), "simple")
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
