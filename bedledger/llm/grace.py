@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bedledger.llm.common import map_stream
 from bedledger.session import scratch_folder
-from bedledger.sources.tables import remove_folder
+from bedledger.sources.manifest import remove_folder
 
 #: A scan task's table is closed at this many bytes of different texts, or this many rows.
 TABLE_BYTES = 48 << 20
