@@ -168,13 +168,6 @@ def _first(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest number of each line; minus infinity if there are fewer columns."""
-    if values.shape[1] < k:
-        return np.full(len(values), -np.inf)
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
-
-
 class Best:
     """The k best (score, id) of each of n owners, over all batches of a task."""
 
@@ -192,6 +185,15 @@ class Best:
         self.least = np.where(full, last, -np.inf)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = ROWS // 8  # a few rows first, whose scores are the bar for the others
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            yield batch.slice(at, size)
+            at, size = at + size, ROWS
+
+
 def _compared(rows: DataFrame, block: tuple, schema: str, k: int, ratings: tuple | None) -> DataFrame:
     """Each task's k best rows of each anchor or, with `ratings`, of each (anchor, positive)."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -199,34 +201,37 @@ def _compared(rows: DataFrame, block: tuple, schema: str, k: int, ratings: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(*block)
         n = len(anchors.ids)
-        # pairs of an anchor and one of its positives lie together
+        # the owners of an anchor's results, itself or its pairs with positives, lie together
         of, scores = (np.arange(n), None) if ratings is None else ratings
-        best = Best(len(of), k)
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        owners, first = np.bincount(of, minlength=n), np.searchsorted(of, np.arange(n))
+        best, have = Best(len(of), k), owners > 0
+        for batch in _slices(batches):
             seen = Rows(batch)
+            # what a score must reach, and not pass, to be of use to one of the anchor's owners
+            bar = best.least if scores is None else np.maximum(best.least, LEAST * scores / 100)
+            floor, ceiling = np.full(n, np.inf), np.full(n, np.inf)
+            np.minimum.at(floor, of, bar)
+            if scores is not None:
+                ceiling[have] = -np.inf
+                np.maximum.at(ceiling, of, MOST * scores / 100)
             gathered: list[tuple] = []
             for a in range(0, n, ANCHORS):
                 part = slice(a, min(a + ANCHORS, n))
                 low, high = anchors.bounds(part, seen)
                 same = anchors.labels[part, None] == seen.labels
-                first, last = np.searchsorted(of, [part.start, part.stop])
-                own = of[first:last] - a
-                if scores is None:
-                    fits = same & (anchors.ids[part, None] != seen.ids)
-                    sure = fits
-                else:
-                    low, high, other, s = low[own], high[own], ~same[own], scores[first:last, None]
-                    fits = other & (100 * high >= LEAST * s) & (100 * low <= MOST * s)
-                    sure = other & (100 * low >= LEAST * s) & (100 * high <= MOST * s)
-                reached = np.maximum(_kth(np.where(sure, low, -np.inf), k), best.least[first:last])
-                at, row = np.nonzero(fits & (high >= reached[:, None]))
-                whole = np.einsum("ij,ij->i", anchors.vectors[own[at] + a], seen.vectors[row])
+                fits = same & (anchors.ids[part, None] != seen.ids) if scores is None else ~same
+                at, row = np.nonzero(fits & (high >= floor[part, None]) & (low <= ceiling[part, None]))
+                whole = np.einsum("ij,ij->i", anchors.vectors[at + a], seen.vectors[row])
+                each = owners[at + a]
+                owner = np.repeat(first[at + a] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                whole, row = np.repeat(whole, each), np.repeat(row, each)
+                use = whole >= best.least[owner]
                 if scores is not None:
-                    s = scores[first + at]
-                    within = (LEAST * s <= 100 * whole) & (100 * whole <= MOST * s)
-                    at, row, whole = at[within], row[within], whole[within]
-                gathered.append((first + at, whole, seen.ids[row]))
-            best.add(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
+                    s = scores[owner]
+                    use &= (LEAST * s <= 100 * whole) & (100 * whole <= MOST * s)
+                gathered.append((owner[use], whole[use], seen.ids[row[use]]))
+            if gathered:
+                best.add(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
         made = [best.owner, best.score, best.ids]
         yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int64)) for m in made], names=names)
 
