@@ -26,6 +26,7 @@ from bedledger.operators.cleaning import (
     typed_rows,
     with_typed_columns,
 )
+from bedledger.operators.stored_views import changes_of_views, has_views
 from bedledger.operators.upsert import (
     hospital_winners,
     quality_winners,
@@ -275,11 +276,14 @@ def _commit_merged(spark: SparkSession, stage: str, root: str, winners: dict[str
     """Write and commit; whenever another publish comes first, merge what it has changed again."""
     changes: dict[str, Change] = {}
     while stage not in state.publishes:
+        version = f"{stage.rpartition('/')[2]}-{state.seq + 1}"
         for name, rows in winners.items():
             if name not in changes:
-                version = f"{stage.rpartition('/')[2]}-{state.seq + 1}"
                 changes[name] = merged(root, name, rows, KEYS[name], state, version)
-        if commit(spark, root, stage, list(changes.values()), state):
+        done = list(changes.values())
+        # the stored results depend on all of these, so they are made again whenever another publish comes first
+        views = changes_of_views(spark, root, winners, done, state, version) if has_views(state) else []
+        if commit(spark, root, stage, [*done, *views], state):
             return
         now = read_state(spark, root)
         changes = {name: c for name, c in changes.items() if not c.clashes(state, now)}

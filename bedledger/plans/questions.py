@@ -273,6 +273,8 @@ def get_non_reporting_hospitals(tables: Tables, selected_date: Day) -> DataFrame
     since the limit are left out first, which reads only those partitions; the older reports are
     looked at for the others alone.
     """
+    if tables.last_report is not None:
+        return _silent_by_last_report(tables, selected_date)
     reports = with_week(tables.weekly_hospital_stats)
     limit = F.date_sub(day(selected_date), SILENT_DAYS)
     active = reports.filter(F.col(WEEK) >= limit).select("hospital_pk").distinct()
@@ -285,10 +287,22 @@ def get_non_reporting_hospitals(tables: Tables, selected_date: Day) -> DataFrame
         .groupBy("hospital_pk")
         .agg(F.max(WEEK).alias("last_report_date"))
     )
+    return _longest_silent(silent.join(last_reports, "hospital_pk", "left"), selected_date)
+
+
+def _silent_by_last_report(tables: Tables, selected_date: Day) -> DataFrame:
+    """The same from the stored last report of each hospital, without a look at the reports."""
+    last = tables.last_report.select("hospital_pk", "last_report_date")
+    hospitals = tables.hospital.select("hospital_pk", "hospital_name", "city", "state").join(last, "hospital_pk", "left")
+    reported = F.col("last_report_date")
+    silent = hospitals.filter(reported.isNull() | (reported < F.date_sub(day(selected_date), SILENT_DAYS)))
+    return _longest_silent(silent, selected_date)
+
+
+def _longest_silent(hospitals: DataFrame, selected_date: Day) -> DataFrame:
     last = F.col("last_report_date")
     return (
-        silent.join(last_reports, "hospital_pk", "left")
-        .orderBy(F.desc_nulls_last("last_report_date"), "hospital_pk")
+        hospitals.orderBy(F.desc_nulls_last("last_report_date"), "hospital_pk")
         .limit(10)
         .select(
             "hospital_name",
@@ -301,7 +315,14 @@ def get_non_reporting_hospitals(tables: Tables, selected_date: Day) -> DataFrame
 
 
 def get_trend_data(tables: Tables, states: list[str] | DataFrame) -> DataFrame:
-    """Beds, COVID beds and rates per week and state, over all weeks."""
+    """Beds, COVID beds and rates per week and state, over all weeks; from the stored sums where there are some."""
+    if tables.state_trend is not None:
+        return (
+            in_states(tables.state_trend, states)
+            .select(WEEK, "state", "total_beds", "occupied_beds", "covid_beds")
+            .transform(with_rates)
+            .withColumn(WEEK, F.col(WEEK).cast("timestamp_ntz"))
+        )
     hospitals = in_states(tables.hospital, states).select("hospital_pk", "state")
     return (
         with_week(tables.weekly_hospital_stats)

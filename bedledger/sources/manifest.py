@@ -195,7 +195,7 @@ def forget(spark: SparkSession, root: str, state: State) -> None:
             files.delete(path, False)
 
 
-def describe_files(spark: SparkSession, stored: DataFrame, root: str, table: str, key: str, partition: str | None) -> list[DataFile]:
+def describe_files(stored: DataFrame, table: str, key: str, partition: str | None) -> list[DataFile]:
     """The files a frame was read from, with their rows and key ranges; reads the key column."""
     part = F.col(partition).cast("string") if partition else F.lit("")
     found = (

@@ -39,7 +39,25 @@ SCHEMAS = {
     "weekly_hospital_stats": WEEKLY_SCHEMA,
     "hospital_quality": QUALITY_SCHEMA,
 }
-PARTITION_COLUMN = {"weekly_hospital_stats": WEEK, "hospital_quality": "rating_year"}
+# Results that loads keep up to date (operators/stored_views.py).
+STATE_TREND, LAST_REPORT = "state_trend", "last_report"
+VIEW_SCHEMAS = {
+    STATE_TREND: T.StructType(
+        [
+            T.StructField("state", T.StringType()),
+            *(T.StructField(c, T.DoubleType()) for c in ("total_beds", "occupied_beds", "covid_beds")),
+            T.StructField(WEEK, T.DateType()),
+        ]
+    ),
+    LAST_REPORT: T.StructType(
+        [T.StructField("hospital_pk", T.StringType()), T.StructField("last_report_date", T.DateType())]
+    ),
+}
+PARTITION_COLUMN = {"weekly_hospital_stats": WEEK, "hospital_quality": "rating_year", STATE_TREND: WEEK}
+
+
+def schema_of(name: str) -> T.StructType:
+    return SCHEMAS[name] if name in SCHEMAS else VIEW_SCHEMAS[name]
 
 
 def with_week(weekly: DataFrame) -> DataFrame:
@@ -51,24 +69,31 @@ def with_week(weekly: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tables:
-    """What every question takes: the three base relations, however they came about."""
+    """What every question takes: the three base relations, however they came about.
+
+    The other two are results that a root folder may keep (`build_views`); questions that need them work them out otherwise.
+    """
 
     hospital: DataFrame
     weekly_hospital_stats: DataFrame
     hospital_quality: DataFrame
+    state_trend: DataFrame | None = None
+    last_report: DataFrame | None = None
 
 
 VERSION = "version"
 # The part of a table without partitions.
 WHOLE = ""
 KEY = "hospital_pk"
+# Rows lie in the order of this column within a partition, and the log keeps its range in each file.
+ORDER = {STATE_TREND: "state"}
 #: `compact` rewrites parts that have more files than this, of fewer rows than that on average.
 MANY_FILES, FEW_ROWS = 8, 1_000_000
 
 
 def scan(spark: SparkSession, root: str, name: str, files: Iterable[DataFile]) -> DataFrame:
     """The rows of these stored files, with the version they lie in; no other folder is listed."""
-    fields = [*SCHEMAS[name].fields, T.StructField(VERSION, T.StringType())]
+    fields = [*schema_of(name).fields, T.StructField(VERSION, T.StringType())]
     paths = sorted(f"{root}/{f.path}" for f in files)
     if not paths:
         return spark.createDataFrame([], T.StructType(fields))
@@ -77,7 +102,7 @@ def scan(spark: SparkSession, root: str, name: str, files: Iterable[DataFile]) -
 
 def table_of(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
     """The live rows of a table; empty if the state has none."""
-    return scan(spark, root, name, state.of(name)).select(*SCHEMAS[name].names)
+    return scan(spark, root, name, state.of(name)).select(*schema_of(name).names)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -87,7 +112,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def read_tables(spark: SparkSession, root: str) -> Tables:
     """All three tables as one publish left them."""
     state = read_state(spark, root)
-    return Tables(*(table_of(spark, root, name, state) for name in SCHEMAS))
+    views = {name: table_of(spark, root, name, state) for name in VIEW_SCHEMAS if state.of(name)}
+    return Tables(*(table_of(spark, root, name, state) for name in SCHEMAS), **views)
 
 
 def write_version(df: DataFrame, root: str, name: str, version: str) -> list[DataFile]:
@@ -99,13 +125,13 @@ def write_version(df: DataFrame, root: str, name: str, version: str) -> list[Dat
     lie together and the key ranges of files and row groups become useful.
     """
     spark, partition, path = df.sparkSession, PARTITION_COLUMN.get(name), f"{root}/{name}/{VERSION}={version}"
-    df = df.select(*SCHEMAS[name].names)
+    df = df.select(*schema_of(name).names)
     if partition is None:
         df.hint("rebalance").write.mode("overwrite").parquet(path)
     else:
-        rows = df.hint("rebalance", partition).sortWithinPartitions(partition, KEY)
+        rows = df.hint("rebalance", partition).sortWithinPartitions(partition, ORDER.get(name, KEY))
         rows.write.mode("overwrite").partitionBy(partition).parquet(path)
-    return describe_files(spark, spark.read.schema(SCHEMAS[name]).parquet(path), root, name, KEY, partition)
+    return describe_files(spark.read.schema(schema_of(name)).parquet(path), name, ORDER.get(name, KEY), partition)
 
 
 def replaced_parts(name: str, added: list[DataFile], state: State) -> Change:
@@ -115,12 +141,17 @@ def replaced_parts(name: str, added: list[DataFile], state: State) -> Change:
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Replace `hospital`, or only those partitions of a partitioned table `df` has rows for."""
+    """Replace `hospital`, or only those partitions of a partitioned table `df` has rows for.
+
+    The results of `build_views` go; build them again if they are wanted.
+    """
     spark, version = df.sparkSession, uuid.uuid4().hex
     added = write_version(df, root, name, f"v{version}")
     while True:
         state = read_state(spark, root, or_empty=True)
-        if commit(spark, root, version, [replaced_parts(name, added, state)], state):
+        # the stored results no longer fit
+        views = [Change(v, frozenset(), [], frozenset(f.path for f in state.of(v))) for v in VIEW_SCHEMAS]
+        if commit(spark, root, version, [replaced_parts(name, added, state), *views], state):
             return
 
 
@@ -151,7 +182,7 @@ def merged(root: str, name: str, winners: DataFrame, key: list[str], state: Stat
     """Write the winners, and what else is in the live files that hold one of their keys."""
     spark, partition = winners.sparkSession, PARTITION_COLUMN.get(name)
     touched = files_with_keys(spark, root, name, winners, key, state)
-    columns = SCHEMAS[name].names
+    columns = schema_of(name).names
     rows = replace_rows(scan(spark, root, name, touched).select(*columns), winners.select(*columns), key) if touched else winners
     added = write_version(rows, root, name, version)
     parts = frozenset(f.part for f in added) if partition else frozenset([WHOLE])
@@ -188,7 +219,7 @@ def expire(spark: SparkSession, root: str) -> int:
     """
     state = read_state(spark, root)
     removed = 0
-    for name in SCHEMAS:
+    for name in (*SCHEMAS, *VIEW_SCHEMAS):
         depth = f"{root}/{name}/{VERSION}=*" + ("/*=*" if name in PARTITION_COLUMN else "")
         pattern, files = filesystem(spark, f"{depth}/*.parquet")
         for found in files.globStatus(pattern) or []:

@@ -1,0 +1,70 @@
+"""The results that loads keep up to date equal those worked out from the tables."""
+
+import pytest
+
+from bedledger.operators import loads
+from bedledger.operators.loads import load_hhs_data
+from bedledger.operators.stored_views import build_views
+from bedledger.plans import questions
+from bedledger.sources.manifest import MissingTables, read_state
+from bedledger.sources.tables import LAST_REPORT, STATE_TREND, VIEW_SCHEMAS, Tables, read_table, read_tables, write_table
+from test_loads import hhs_row, write_hhs
+from test_plans import plan
+from test_publish import interleave
+
+STATES = ["AL", "GA", "TX"]
+
+
+def rows(frame):
+    return sorted(map(repr, frame.collect()))
+
+
+def check(spark, root):
+    stored = read_tables(spark, root)
+    assert stored.state_trend is not None and stored.last_report is not None
+    plain = Tables(stored.hospital, stored.weekly_hospital_stats, stored.hospital_quality)
+    assert rows(questions.get_trend_data(stored, STATES)) == rows(questions.get_trend_data(plain, STATES))
+    for day in ("2022-01-10", "2022-01-25", "2022-03-01"):
+        found = questions.get_non_reporting_hospitals(stored, day).collect()
+        assert found == questions.get_non_reporting_hospitals(plain, day).collect()
+    return stored
+
+
+def test_loads_keep_the_results_up_to_date(spark, tmp_path, monkeypatch):
+    root, stage = str(tmp_path / "db"), str(tmp_path / "s")
+    load = lambda name, *r: load_hhs_data(spark, write_hhs(tmp_path / name, *r), root, staging=stage)
+    with pytest.raises(MissingTables):
+        build_views(spark, root)
+    load("1.csv", hhs_row("010001"), hhs_row("010002", state="GA"), hhs_row("010001", "2022/01/07", "2"))
+    assert read_tables(spark, root).state_trend is None
+    build_views(spark, root)
+    check(spark, root)
+
+    before = {f.part: f.path for f in read_state(spark, root).of(STATE_TREND)}
+    load("2.csv", hhs_row("010003", "2022/01/14", "4"), hhs_row("010002", "2022/01/14", "NaN", state="GA"))
+    check(spark, root)
+    now = {f.part: f.path for f in read_state(spark, root).of(STATE_TREND)}
+    assert before.items() < now.items() and set(now) - set(before) == {"2022-01-14"}
+
+    # a replaced report, and a hospital that moves: all weeks it reports in change
+    load("3.csv", hhs_row("010001", "2022/01/21", "9", state="TX"), hhs_row("010003", "2022/01/14", "5"))
+    stored = check(spark, root)
+    assert {r.state for r in stored.state_trend.filter("week = DATE '2021-12-31'").collect()} == {"TX", "GA"}
+
+    # an older report changes no last report; two loads at once
+    other = write_hhs(tmp_path / "5.csv", hhs_row("010004", "2022/01/07", "1"), hhs_row("010001", "2022/01/28", state="AL"))
+    interleave(monkeypatch, lambda: load_hhs_data(spark, other, root, staging=stage))
+    load("4.csv", hhs_row("010001", "2021/11/05", "9", state="TX"))
+    check(spark, root)
+
+    # a question about the trend or silent hospitals looks at no report
+    stored = read_tables(spark, root)
+    for frame in (questions.get_trend_data(stored, STATES), questions.get_non_reporting_hospitals(stored, "2022-01-25")):
+        assert "weekly_hospital_stats" not in plan(frame)
+
+    # tables replaced by hand have no such results until they are built again
+    write_table(read_table(spark, root, "hospital").filter("hospital_pk <> '010004'"), root, "hospital")
+    assert read_tables(spark, root).state_trend is None and read_tables(spark, root).last_report is None
+    build_views(spark, root)
+    check(spark, root)
+    assert set(VIEW_SCHEMAS) == {STATE_TREND, LAST_REPORT} and not set(VIEW_SCHEMAS) & set(loads.KEYS)
