@@ -66,7 +66,14 @@ def column_sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def backward(p: dict, x: np.ndarray, memory: list, dstates: list[np.ndarray], keep: np.ndarray | None = None) -> dict:
+def column_sums_of_many(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The same for long windows: row by row, without sorting the columns."""
+    return np.stack([np.bincount(index, v, size) for v in values]).astype(np.float32)
+
+
+def backward(
+    p: dict, x: np.ndarray, memory: list, dstates: list[np.ndarray], keep: np.ndarray | None = None, sums=column_sums
+) -> dict:
     """Gradients of table and state weights, from those of the states of one window."""
     dweights, dprojected, dh = np.zeros_like(p["state"]), [None] * len(x), 0.0
     for t in range(len(x) - 1, -1, -1):
@@ -81,7 +88,7 @@ def backward(p: dict, x: np.ndarray, memory: list, dstates: list[np.ndarray], ke
         dh = d * z + p["state"].T @ inner
         if keep is not None:
             dh = dh * keep[t]
-    dtable = column_sums(x.ravel(), np.concatenate(dprojected, axis=1), p["table"].shape[1])
+    dtable = sums(x.ravel(), np.concatenate(dprojected, axis=1), p["table"].shape[1])
     return {"table": dtable, "state": dweights}
 
 

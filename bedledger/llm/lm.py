@@ -22,6 +22,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ FREQUENT, LONGEST = 200_000, 64
 ROUNDS = 2
 #: A worker trains on about so many tokens a round; there are at least LEAST_WORKERS. FAN parameter sets are averaged at once.
 WORKER_TOKENS, LEAST_WORKERS, FAN = 1_000_000, 4, 16
-STEPS, LANES, RATE = 32, 32, 0.02
+#: Positions of a window, most sequences side by side, least windows of a pass, and the rate at 32 sequences, which grows with their root.
+STEPS, LANES, LEAST_WINDOWS, RATE = 32, 512, 32, 0.02
 WINDOW, BULK = 64, 1 << 16
 #: A task hands on its word counts when it holds this many different words.
 HELD_WORDS = 400_000
@@ -98,55 +100,71 @@ def new_model(words: list[bytes], counts: list[int], rest: int, ends: int, seed:
     return {"params": model, "of": np.append(of, classes), "place": np.append(place, 0), "end": size - 1, "other": size}
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=0)
-    return x - np.log(np.exp(x).sum(axis=0))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place, over the first axis."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def log_probabilities(model: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """ln P(y) at states h (features x positions); for the rest class that of the class."""
     p, of, place = model["params"], model["of"][y], model["place"][y]
     at = np.arange(len(y))
-    scores = p["class_w"] @ h + p["class_b"][:, None]
+    scores = p["class_w"] @ h
+    scores += p["class_b"][:, None]
     top = scores.max(axis=0)
     found = scores[of, at] - top
     scores -= top
     found -= np.log(np.exp(scores, out=scores).sum(axis=0))
     order = np.argsort(of, kind="stable")
     edges = np.searchsorted(of[order], np.arange(len(p["word_b"]) + 1))
+    # positions by class, so that each class works on adjacent columns
+    sorted_h, sorted_place, more = h[:, order], place[order], np.zeros(len(y), found.dtype)
     for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if b > a:
-            rows = order[a:b]
-            inner = p["word_w"][c] @ h[:, rows] + p["word_b"][c][:, None]
+            inner = p["word_w"][c] @ sorted_h[:, a:b]
+            inner += p["word_b"][c][:, None]
             inner -= inner.max(axis=0)
-            chosen = inner[place[rows], np.arange(b - a)]
-            found[rows] += chosen - np.log(np.exp(inner, out=inner).sum(axis=0))
+            chosen = inner[sorted_place[a:b], np.arange(b - a)]
+            more[a:b] = chosen - np.log(np.exp(inner, out=inner).sum(axis=0))
+    found[order] += more
     return found
 
 
 def loss_gradients(model: dict, h: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the summed negative log likelihood: of the output weights, and of h."""
     p, of, place = model["params"], model["of"][y], model["place"][y]
-    d = np.exp(log_softmax(p["class_w"] @ h + p["class_b"][:, None]))
+    d = p["class_w"] @ h
+    d += p["class_b"][:, None]
+    d = softmax(d)
     d[of, np.arange(len(y))] -= 1
     grads = {"class_w": d @ h.T, "class_b": d.sum(axis=1)}
     dh = p["class_w"].T @ d
     grads |= {"word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+    # positions by class, so that each class works on adjacent columns
     order = np.argsort(of, kind="stable")
+    sorted_h, sorted_place, inner = h[:, order], place[order], np.zeros_like(h)
     edges = np.searchsorted(of[order], np.arange(len(p["word_b"]) + 1))
     for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if b > a:
-            rows = order[a:b]
-            d = np.exp(log_softmax(p["word_w"][c] @ h[:, rows] + p["word_b"][c][:, None]))
-            d[place[rows], np.arange(b - a)] -= 1
-            grads["word_w"][c], grads["word_b"][c] = d @ h[:, rows].T, d.sum(axis=1)
-            dh[:, rows] += p["word_w"][c].T @ d
+            own = sorted_h[:, a:b]
+            d = p["word_w"][c] @ own
+            d += p["word_b"][c][:, None]
+            d = softmax(d)
+            d[sorted_place[a:b], np.arange(b - a)] -= 1
+            grads["word_w"][c], grads["word_b"][c] = d @ own.T, d.sum(axis=1)
+            inner[:, a:b] = p["word_w"][c].T @ d
+    dh[:, order] += inner
     return grads, dh
 
 
 def train_stream(model: dict, stream: np.ndarray, rate: float) -> None:
     """One pass of truncated backpropagation over a stream of word numbers, each document closed by the end."""
-    lanes = max(1, min(LANES, len(stream) // STEPS))
+    # wide windows cost less per token, but a short stream needs some steps as well
+    lanes = max(1, min(LANES, len(stream) // (STEPS * LEAST_WINDOWS)))
+    rate *= math.sqrt(max(lanes, 8) / 32)
     size = len(stream) // lanes
     if not size:
         return
@@ -161,7 +179,7 @@ def train_stream(model: dict, stream: np.ndarray, rate: float) -> None:
         h = states[-1]
         grads, dh = loss_gradients(model, np.concatenate(states, axis=1), ys.ravel())
         dh = dh.reshape(HIDDEN, len(xs), lanes).transpose(1, 0, 2)
-        grads |= gru.backward(layer, xs, memory, list(dh), keep)
+        grads |= gru.backward(layer, xs, memory, list(dh), keep, gru.column_sums_of_many)
         adam.update({k: g / ys.size for k, g in grads.items()}, 1 - 0.9 * at / size)
 
 
@@ -220,7 +238,7 @@ def mean_parameters(rows: list[tuple[bytes, int]]) -> tuple[dict, int]:
 
 
 def averaged(trained: DataFrame, workers: int) -> tuple[dict, int] | None:
-    """Mean over the rows (params, n) of all workers, FAN by FAN in tasks; the driver gets at most FAN sets."""
+    """Mean over the rows (params, n) of all workers, FAN by FAN in tasks; the driver gets one set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(bytes(r["params"]), r["n"]) for batch in batches for r in batch.to_pylist()]
@@ -228,12 +246,12 @@ def averaged(trained: DataFrame, workers: int) -> tuple[dict, int] | None:
             mean, n = mean_parameters(rows)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mean)], pa.binary()), pa.array([n])], names=["params", "n"])
 
-    while True:
-        workers = max(FAN, -(-workers // FAN))
-        trained = trained.repartition(workers).mapInArrow(run, "params binary, n long")
-        if workers == FAN:
-            break
-    rows = [(bytes(r["params"]), r["n"]) for r in trained.collect()]
+    while workers > FAN:
+        workers = -(-workers // FAN)
+        trained = trained.repartition(max(FAN, workers)).mapInArrow(run, "params binary, n long")
+    trained = trained.repartition(FAN).mapInArrow(run, "params binary, n long")
+    trained = trained.repartition(1).mapInArrow(run, "params binary, n long")
+    rows = [(bytes(r["params"]), r["n"]) for r in trained.collect()]  # one
     return mean_parameters(rows) if rows else None
 
 
@@ -325,21 +343,22 @@ def score_texts(rows: DataFrame, model: dict, frequent: list[tuple[bytes, int]])
     """Per row: what the network and the frequent words' counts give, and the rarer words with their number."""
     words = model.pop("words")
     number = {w: i for i, w in enumerate(words)}
-    # one table for each known word: its number in the network and its count
-    held = {w: (number.get(w, model["other"]), math.log10(n + 0.5)) for w, n in frequent}
-    shared = rows.sparkSession.sparkContext.broadcast((model, held))
+    # the place of each frequent word; at the places, numbers in the network and logarithms of the counts; last, those of others
+    held = {w: i for i, (w, _) in enumerate(frequent)}
+    numbers = np.array([*[number.get(w, model["other"]) for w, _ in frequent], model["other"]])
+    logs_of = np.array([*[math.log10(n + 0.5) for _, n in frequent], 0.0])
+    shared = rows.sparkSession.sparkContext.broadcast((model, held, numbers, logs_of))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (model, held), n = shared.value, batch.num_rows
+        (model, held, numbers, logs_of), n = shared.value, batch.num_rows
         sequences, base, known, others_base, others, rare, size = [], np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64), [], np.zeros(n, np.int64)
         other, end = model["other"], model["end"]
-        missing = (other, 0.0)
         for i, text in enumerate(utf8(batch, "text")):
             words = tokens_of(text)
-            found = [held.get(w, missing) for w in words]
-            ids, logs = map(np.array, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+            found = np.fromiter(map(held.get, words, repeat(len(held))), np.int64, len(words))
+            ids, logs = numbers[found], logs_of[found]
             outside = ids == other
-            unknown = Counter(w for w, f in zip(words, found, strict=True) if f is missing)
+            unknown = Counter(words[k] for k in np.flatnonzero(found == len(held)).tolist())
             size[i], known[i] = len(words) + 1, len(words) - unknown.total()
             base[i], others_base[i], others[i] = logs.sum(), logs[outside].sum(), outside.sum()
             rare.append([{"word": w.decode(), "n": k} for w, k in unknown.items()])
