@@ -3,10 +3,13 @@ r"""Personal data by candidate gradient boosting.
 Strict rules find e-mail addresses, IP addresses, card and phone numbers; these spans always stay.
 High-recall generators propose further, overlapping spans: each group of neighbouring pieces of a run of
 digits and separators, and addresses with a written-out `at`. Boosted trees rate each candidate by its
-format and context. They learn from candidates of a bounded hash sample of the documents, in which
-the strict spans are the positives; the threshold of each kind is calibrated on the other half of that
-sample to a wanted precision. Of overlapping candidates the best-rated one is added, and none that touches a
-strict span.
+format and context. They learn from candidates of a bounded sample of the documents. Positives are the strict spans, as
+they stand and in disguise: phone numbers without plus and country code, addresses with `at` and `dot` written out, each
+in the context of its strict span. Negatives are the candidates that touch no strict span, and the rest of a phone number after
+its country code; those of a form in which strict spans appear in disguise, and those that the rules would take if they
+stood alone, have no label, nor have other parts of strict spans. The threshold of each kind is
+calibrated on the other half of the sample to a wanted precision. Of overlapping candidates the best-rated one is
+added, and none that touches a strict span.
 
 All positions are code points, ends are exclusive, whole texts are read. Defined results: a null text is
 an empty one; repeated rows get equal results; without positives of a kind nothing of that kind is added; an
@@ -27,10 +30,12 @@ from bedledger.llm.boosting import fit_trees, predict
 from bedledger.llm.common import map_batches
 
 EMAIL, IP, CARD, PHONE = KINDS = ("email", "ip", "card", "phone")
-#: Expected bound of the documents whose candidates train the trees, and their wanted precision.
+#: So many documents are expected in the sample that trains the trees (independent draws); their wanted precision.
 SAMPLE_DOCUMENTS = 20_000
 PRECISION = 0.95
 LEAST_POSITIVES = 20
+#: Code points around a strict span that its disguised form keeps.
+CONTEXT = 64
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +46,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
+_CODE_BEFORE = re.compile(r"\+[0-9]{1,3}[\x20.-]?\Z")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]*")
 _PIECE = re.compile(r"[^\x20]+")
 _WRITTEN = re.compile(
     r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}){1,8}",
@@ -150,14 +158,63 @@ def features(text: str, span: Span) -> list[float]:
         float(after in "\"'/%" and after != ""), float(before.isdigit() or before in ".-+" and before != ""),
         float(any(w in near for w in ("mail", "call", "phone", "tel", "card", "contact", "address"))),
         float(any(w in near for w in ("version", "license", "token", "password", "page", "no."))),
+        float(after_country(text, start)),
     ]
 
 
-def labelled_candidates(text: str) -> tuple[list[list[float]], list[bool]]:
-    """Features and labels; one that the rules would take if it stood alone, but missed here, has no label."""
-    strict = set(strict_spans(text))
-    found = [s for s in candidates(text) if s in strict or (s[0], 0, s[2] - s[1]) not in strict_spans(text[s[1] : s[2]])]
-    return [features(text, s) for s in found], [s in strict for s in found]
+def after_country(text: str, start: int) -> bool:
+    """Whether a plus and a country code stand right before."""
+    return bool(_CODE_BEFORE.search(text, max(0, start - 6), start))
+
+
+def disguised(text: str, span: Span) -> tuple[str, Span] | None:
+    """A strict span without what gives it away, in its context; None if it has no other form."""
+    kind, start, end = span
+    part = text[start:end]
+    if kind == 0:
+        local, _, domain = part.partition("@")
+        other = f"{local} (at) {domain.replace('.', ' (dot) ') if start % 2 else domain}"
+    elif kind == 3:
+        other = _COUNTRY.sub("", part, count=1)
+    else:
+        return None
+    before = text[max(0, start - CONTEXT) : start]
+    made = before + other + text[end : end + CONTEXT]
+    found = (kind, len(before), len(before) + len(other))
+    return (made, found) if found in candidates(made) else None
+
+
+def shape(text: str, span: Span) -> str:
+    """The form of a span: its kind, and its characters with each digit as 9 and each letter as a."""
+    part = _LETTER.sub("a", _DIGIT.sub("9", text[span[1] : span[2]]))
+    return f"{KINDS[span[0]]} {'' if span[0] == 0 else part}"
+
+
+def merged_spans(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that spans of any kind cover, sorted and disjoint."""
+    covered: list[tuple[int, int]] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if covered and start < covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(end, covered[-1][1]))
+        else:
+            covered.append((start, end))
+    return covered
+
+
+def labelled_candidates(text: str) -> list[tuple[list[float], int, str]]:
+    """(features, label, form) of strict spans, 1, of those in disguise, 2, of what touches none, 0, and of what follows a code, -1."""
+    strict = strict_spans(text)
+    own, covered, found = set(strict), merged_spans(strict), []
+    for s in candidates(text):
+        if s in own:
+            found.append((features(text, s), 1, shape(text, s)))
+            if hidden := disguised(text, s):
+                found.append((features(*hidden), 2, shape(*hidden)))
+        elif not touches(covered, s) and (s[0], 0, s[2] - s[1]) not in strict_spans(text[s[1] : s[2]]):
+            found.append((features(text, s), 0, shape(text, s)))
+        elif s[0] == 3 and after_country(text, s[1]):
+            found.append((features(text, s), -1, shape(text, s)))
+    return found
 
 
 # ---- Model ----
@@ -181,34 +238,44 @@ def fit(x: np.ndarray, y: np.ndarray, half: np.ndarray, precision: float = PRECI
         last = np.append(rated[order][1:] != rated[order][:-1], True)
         good = np.flatnonzero((right >= precision) & last)
         if len(good):
-            model["limit"][kind] = max(0.5, float(rated[order][good[-1]]))
+            # half way to the next rating, at which the precision is lost; 0 if it never is
+            below = rated[order][good[-1] + 1] if good[-1] + 1 < len(order) else 0.0
+            model["limit"][kind] = max(0.5, float(rated[order][good[-1]] + below) / 2)
     return model
 
 
 def train(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> dict:
-    """Model from the candidates of a hash sample of the texts."""
-    texts = documents.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    """Model from the candidates of a sample of the rows.
+
+    Each row is drawn by itself, copies of one text too, so the sample's size is that of independent draws.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
+        F.col("text").isNotNull()
+    )
     share = min(1.0, sample_documents / max(1, documents.count()))
-    mark = F.pmod(F.xxhash64(F.lit("pii"), "text"), F.lit(1 << 20))
+    mark = F.pmod(F.xxhash64(F.lit("pii"), "text", "doc_id", F.monotonically_increasing_id()), F.lit(1 << 20))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, truth, halves = [], [], []
+        rows: list[tuple] = []
+        halves: list[bool] = []
         for text, mark in zip(batch.column("text").to_pylist(), batch.column("mark").to_pylist(), strict=True):
-            found, right = labelled_candidates(text)
+            found = labelled_candidates(text)
             rows += found
-            truth += right
             halves += [mark % 2 == 0] * len(found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.list_(pa.float64())), pa.array(truth, pa.bool_()), pa.array(halves, pa.bool_())],
-            names=["x", "y", "half"],
-        )
+        kinds = {"x": pa.list_(pa.float64()), "y": pa.int32(), "shape": pa.string()}
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(halves, pa.bool_())], names=[*kinds, "half"])
 
     chosen = texts.withColumn("mark", mark).where(F.col("mark") < share * (1 << 20))
-    table = map_batches(chosen, "x array<double>, y boolean, half boolean", run).toArrow()
+    table = map_batches(chosen, "x array<double>, y int, shape string, half boolean", run).toArrow()
     if not table.num_rows:
         return {"trees": None, "limit": [2.0] * len(KINDS)}
     x = np.array(table.column("x").combine_chunks().flatten()).reshape(table.num_rows, -1)
     y, half = (table.column(c).to_numpy() for c in ("y", "half"))
+    shapes = np.array(table.column("shape").to_pylist(), object)
+    unjudged = np.isin(shapes.astype(str), np.unique(shapes[y == 2].astype(str)))
+    labelled = (y != 0) | ~unjudged
+    x, y, half = x[labelled], y[labelled] > 0, half[labelled]
     order = np.lexsort((*x.T, y, half))  # the same rows in the same order, however they were dealt
     return fit(x[order], y[order], half[order])
 
@@ -217,12 +284,7 @@ def added_spans(text: str, strict: list[Span], model: dict) -> list[Span]:
     """Candidates above their kind's threshold, the best first, none touching another span; by kind and start."""
     if model["trees"] is None:
         return []
-    taken: list[tuple[int, int]] = []
-    for _, start, end in sorted(strict, key=lambda s: s[1:]):  # strict spans of different kinds may overlap
-        if taken and start < taken[-1][1]:
-            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
-        else:
-            taken.append((start, end))
+    taken = merged_spans(strict)  # strict spans of different kinds may overlap
     own = set(strict)
     free = [c for c in candidates(text) if c not in own and not touches(taken, c)]
     if not free:

@@ -111,3 +111,35 @@ def test_a_number_of_six_groups_beside_a_card_is_redacted(spark):
     docs = documents(spark, rows)
     (text,) = [r.text for r in pii.redacted(docs, pii.train(docs)).where("doc_id = 9999").collect()]
     assert text == "text [PHONE] [CARD] text"
+
+
+def test_national_numbers_and_written_out_addresses_are_found(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    national = lambda: f"({rng.randint(200, 999)}) 555-{digits(4)}"
+    words = ["alpha", "beta", "gamma", "4.0", "v1.2.3", "2001", "12-34", "page 1200345", "no. 2024-11-05", "id 77 12 34"]
+    # letters between the numbers: longer runs of digits are card numbers now and then
+    filler = lambda n: " and ".join(rng.choice(words) for _ in range(n))
+    rows = [(n, f"{filler(9)} call +1 {national()} or {filler(6)} mail joe.{digits(3)}@mail.example.com {filler(5)}") for n in range(700)]
+    planted = []
+    for n in range(1000, 1100):
+        number, address = national(), f"ann.{digits(2)} (at) mail (dot) example (dot) org"
+        text = f"{filler(7)} call {number} or {filler(4)} mail {address} {filler(3)}"
+        planted.append((text.index(number), text.index(number) + len(number), text.index(address), text.index(address) + len(address)))
+        rows.append((n, text))
+    clean = [(n, filler(40)) for n in range(2000, 2100)]
+    docs = documents(spark, rows + clean)
+    model = pii.train(docs)
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.added} for r in pii.find_spans(docs, model).collect()}
+    caught = [(("phone", a, b) in found[1000 + n]) + (("email", c, d) in found[1000 + n]) for n, (a, b, c, d) in enumerate(planted)]
+    assert sum(caught) >= 0.9 * 2 * len(planted)
+    assert not any(found[n] for n, _ in clean)
+
+
+def test_labels_leave_out_what_rules_cannot_judge():
+    text = "call +1 (743) 555-3824 now or (743) 555-3824 or joe (at) mail (dot) org, or ann@mail.org; page 2001 77 1234"
+    labels = [(y, form) for _, y, form in pii.labelled_candidates(text)]
+    assert {form for y, form in labels if y == 2} == {"phone (999) 999-9999", "email "}
+    # parts of a strict span are no negatives; forms of disguised spans are dropped when all forms are known
+    assert all("+" not in form for y, form in labels if y == 0)
+    assert sum(y == 1 for y, _ in labels) == 2
