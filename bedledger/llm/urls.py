@@ -3,7 +3,8 @@
 Only DataFrame functions and the library's tree learner. The trees are trained on a bounded hash sample of
 the URLs that a rule decides, with the rule's verdict as label. Features: lengths, depth, digit ratio,
 character entropy, parameter counts, and statistics of the host's suffix: how often it was blocked and
-how often it occurs among the labelled URLs.
+how often it occurs among the labelled URLs. A URL that the trees learn from takes these statistics from other hosts alone, so
+that they never hold its own label; a suffix without (other) labelled hosts has the share of blocked URLs overall.
 
 Defined results: a null URL, and one without `://`, has an empty host and path, fits no rule, and gets the
 verdict of the trees on empty strings; with labels of one kind only, or none, that kind (or allow) is the
@@ -114,13 +115,25 @@ def with_features(rows: DataFrame) -> DataFrame:
     return made.withColumn("suffix", F.regexp_extract(host, r"([^.]*)$", 1))
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Per suffix, over all labelled URLs: how often it was blocked (smoothed) and how often it occurs."""
+#: Weight of the overall share of blocked URLs in a suffix's own, in URLs.
+PRIOR = 2.0
+
+
+def counts_by(labelled: DataFrame, *names: str, of: str) -> DataFrame:
+    """Labelled URLs and blocked ones by these columns, as `<of>_n` and `<of>_b`."""
     blocked = F.sum(F.when(F.col("told") == BLOCK, 1).otherwise(0))
-    return labelled.groupBy("suffix").agg(
-        ((blocked + 1) / (F.count(F.lit(1)) + 2)).cast("double").alias("suffix_blocked"),
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_seen"),
-    )
+    return labelled.groupBy(*names).agg(F.count(F.lit(1)).alias(f"{of}_n"), blocked.alias(f"{of}_b"))
+
+
+def with_statistics(rows: DataFrame, totals: DataFrame, hosts: DataFrame | None, share: float) -> DataFrame:
+    """suffix_blocked and suffix_seen over all labelled URLs; with `hosts`, over those of other hosts."""
+    made = rows.join(totals, "suffix", "left")
+    n, b = (F.coalesce(f"all_{c}", F.lit(0)) for c in "nb")
+    if hosts is not None:
+        made = made.join(hosts, ["suffix", "host"], "left")
+        n, b = n - F.coalesce("host_n", F.lit(0)), b - F.coalesce("host_b", F.lit(0))
+    blocked = (b + F.lit(PRIOR * share)) / (n + F.lit(PRIOR))
+    return made.withColumns({"suffix_blocked": blocked.cast("double"), "suffix_seen": F.log1p(n.cast("double"))})
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -131,15 +144,17 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     if len(kinds) < 2:
         only = next(iter(kinds), ALLOW)
         return rows.select("page_id", "host", "path", "rule", F.coalesce("told", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
-    suffixes = checkpointed(suffix_statistics(labelled))
+    totals = checkpointed(counts_by(labelled, "suffix", of="all"))
+    overall = kinds.get(BLOCK, 0) / sum(kinds.values())
 
-    def featured(part: DataFrame) -> DataFrame:
-        joined = with_features(part.drop("suffix")).join(suffixes, "suffix", "left").na.fill({"suffix_blocked": 0.5, "suffix_seen": 0.0})
+    def featured(part: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+        joined = with_statistics(with_features(part.drop("suffix")), totals, hosts, overall)
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
     share = min(1.0, sample / sum(kinds.values()))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "page_id", "url"), F.lit(1 << 20)) < share * (1 << 20))
-    train = featured(chosen).select("features", F.when(F.col("told") == BLOCK, 1.0).otherwise(0.0).alias("label"))
+    hosts = counts_by(labelled, "suffix", "host", of="host")
+    train = featured(chosen, hosts).select("features", F.when(F.col("told") == BLOCK, 1.0).otherwise(0.0).alias("label"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, stepSize=0.3).fit(checkpointed(train))
     open_rows = featured(rows.where(F.col("told").isNull()))
     judged = trees.transform(open_rows).withColumn("blocked", vector_to_array("probability")[1])

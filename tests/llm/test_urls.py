@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -78,3 +79,28 @@ def test_without_two_kinds_of_labels(spark):
 def test_the_main_path_has_no_python(spark):
     text = urls.judge(table(spark, "pages"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+def test_suffix_statistics_leave_out_the_own_host(spark):
+    values = ["http://a.com/1", "http://a.com/2", "http://b.com/3", "http://c.net/es/4", "http://d.xyz/"]
+    rows = urls.with_rule(urls.with_parts(frame(spark, values))).withColumn("suffix", urls.F.regexp_extract("host", r"([^.]*)$", 1))
+    labelled = rows.where("told IS NOT NULL")
+    totals, hosts = urls.counts_by(labelled, "suffix", of="all"), urls.counts_by(labelled, "suffix", "host", of="host")
+    found = {r.url: (r.suffix_blocked, round(math.expm1(r.suffix_seen))) for r in urls.with_statistics(rows, totals, hosts, 0.25).collect()}
+    # a.com has one URL of another host, c.net none: the overall share of a quarter weighs two URLs
+    assert found["http://a.com/1"] == (pytest.approx(0.5 / 3), 1) and found["http://b.com/3"] == (pytest.approx(0.5 / 4), 2)
+    assert found["http://c.net/es/4"] == found["http://d.xyz/"] == (0.25, 0)
+    every = {r.url: (r.suffix_blocked, round(math.expm1(r.suffix_seen))) for r in urls.with_statistics(rows, totals, None, 0.25).collect()}
+    assert every["http://c.net/es/4"] == (pytest.approx(1.5 / 3), 1) and every["http://d.xyz/"] == (0.25, 0)
+
+
+def test_verdicts_on_whole_hosts_that_were_not_learned(spark):
+    """Rules of the test decide hosts h0 to h199; what the trees say about others is compared with the same pattern."""
+    rng = random.Random(6)
+    page = lambda h, bad: f"http://{h}.org/" + (f"win{rng.randint(100, 999)}?a={rng.randint(1, 99)}&b=1&c=2" if bad else f"article/{'abcdef'[: rng.randint(2, 6)]}")
+    rules = tuple(("block" if i % 3 == 0 else "allow", f"h{i}.org", "/") for i in range(60))
+    known = [page(f"h{i}", i % 3 == 0) for i in range(60) for _ in range(6)]
+    other = [(page(f"x{i}", i % 2 == 0), i % 2 == 0) for i in range(200)]
+    found = {r.page_id: r for r in urls.judge(frame(spark, known + [u for u, _ in other]), rules).collect()}
+    right = [found[len(known) + k].verdict == ("block" if bad else "allow") for k, (_, bad) in enumerate(other)]
+    assert all(found[len(known) + k].rule is None for k in range(200)) and sum(right) >= 0.95 * len(right)
