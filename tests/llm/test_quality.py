@@ -80,3 +80,25 @@ def test_lines_of_a_few_dozen_documents_are_common_on_a_large_host(spark):
     rows += [(1000 + n, f"text {n}", "en", "a") for n in range(40_000)]
     found = quality.quality_rules(documents(spark, rows, extra=False)).where("doc_id < 30").collect()
     assert len(found) == 30 and all(r.n_words_left == 10 and not r.kept for r in found)
+
+
+def test_verdicts_like_sql_where_the_lines_decide(spark, tmp_path):
+    """Hosts whose passages repeat in a few dozen documents: `kept` is not what the base rule says."""
+    import duckdb
+    from bedledger.llm.oracle import ORACLE_SQL
+
+    menu = "\n".join(f"Menu entry {i}: " + " ".join(f"m{i}w{k}" for k in range(12)) for i in range(6))
+    own = lambda n, k: " ".join(f"own{n}x{j}" for j in range(k))
+    rows = [(n, f"{menu}\n{own(n, 10 + n)}", "en", "a") for n in range(120)]
+    rows += [(200 + n, f"{menu}\n{own(n, 10)}", "en", "b") for n in range(20)] + [(300, None, "en", "a"), (301, menu, "en", None)]
+    rows += [(400 + n, f"{menu}\n{own(5, 10)}", "en", "c") for n in range(40)]  # copies are one document
+    docs = documents(spark, rows)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(ORACLE_SQL["op1_line_quality"]).fetchdf()
+    found = quality.quality_rules(docs).toPandas()[list(expected.columns)]
+    by_id = lambda f: f.sort_values("doc_id").reset_index(drop=True)
+    assert (by_id(found) == by_id(expected)).all(axis=None)
+    differ = found[~found.base_failed & ~found.kept]
+    assert len(differ) > 20 and set(differ.doc_id) < set(range(120)) and found[found.doc_id >= 400].kept.all()

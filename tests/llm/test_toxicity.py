@@ -1,7 +1,11 @@
+import math
+import re
+
 import numpy as np
+import pytest
 
 from bedledger.llm import toxicity
-from helpers import documents, needs_tables, odd_rows
+from helpers import LOWER, documents, needs_tables, odd_rows, table
 
 
 @needs_tables
@@ -48,3 +52,22 @@ def test_odd_rows(spark):
     assert toxicity.severity(docs.limit(0), model).count() == 0
     nothing = toxicity.train(docs, labelled(spark)[1].limit(0))
     assert not any(r.toxic for r in toxicity.severity(docs, nothing).collect())
+
+
+@needs_tables
+def test_severity_like_plain_python(spark):
+    """Every row of the test table by a loop over its words and the cumulative probabilities."""
+    docs = table(spark, "documents")
+    model = toxicity.train(docs, table(spark, "labels"))
+    assert model["number"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = toxicity.severity(docs, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (texts[r.doc_id] or "").translate(LOWER)))
+        score = sum(model["w"][model["number"][w.encode()]] for w in words if w.encode() in model["number"])
+        upto = [1 / (1 + math.exp(min(score - t, 700))) for t in model["thresholds"]] + [1.0]
+        p = [b - a for a, b in zip([0.0, *upto], upto)]
+        expected = sum(k * q for k, q in enumerate(p))
+        assert r.expected_severity == pytest.approx(expected, abs=1e-9)
+        assert r.toxic == (r.expected_severity >= toxicity.LIMIT) and p[r.grade] == pytest.approx(max(p))
