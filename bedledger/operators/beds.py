@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,21 +12,19 @@ from bedledger.functions.regions import named_region, regions_frame
 from bedledger.schema import BED_COLUMNS
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return number_from_text(name)
-    return F.col(name).cast("double")
-
-
 def _with_numbers(df: DataFrame) -> DataFrame:
     """The bed counts as doubles, each text read once.
 
-    The filters on the counts would be pushed below a plain projection, and read the texts again in each; they
-    stay above the output of a generator.
+    The filters on counts read from texts would be pushed below a plain projection, and read the texts again in each; they
+    stay above the output of a generator. Filters on counts that are numbers already go down to the scan.
     """
-    numbers = F.struct(*(_as_number(df, c).alias(c) for c in BED_COLUMNS))
-    read = df.select("*", F.explode(F.array(numbers)).alias("_numbers"))
-    return read.withColumns({c: F.col(f"_numbers.{c}") for c in BED_COLUMNS}).drop("_numbers")
+    texts = [c for c in BED_COLUMNS if isinstance(df.schema[c].dataType, T.StringType)]
+    numbers = df.withColumns({c: F.col(c).cast("double") for c in BED_COLUMNS if c not in texts})
+    if not texts:
+        return numbers
+    read = F.struct(*(number_from_text(c).alias(c) for c in texts))
+    numbers = numbers.select("*", F.explode(F.array(read)).alias("_numbers"))
+    return numbers.withColumns({c: F.col(f"_numbers.{c}") for c in texts}).drop("_numbers")
 
 
 def validate_and_clean_bed_data(df: DataFrame) -> DataFrame:

@@ -1,0 +1,23 @@
+"""The driver contract holds without the training-data operators."""
+
+import sys
+
+import pytest
+
+import __spark_entry__
+from testbed.registry import QUERIES
+
+
+@pytest.mark.parametrize("missing", ["bedledger.llm.queries", "xxhash", "corpus_pipeline"])
+def test_core_queries_stay_when_something_is_missing(monkeypatch, missing):
+    for name in [m for m in sys.modules if m.startswith("bedledger.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    # None in sys.modules makes the import fail, as for a module that is not installed
+    monkeypatch.setitem(sys.modules, missing, None)
+    own, sql = __spark_entry__._training_data()
+    assert "pipeline" not in own and not set(own) & set(QUERIES)
+    assert set(sql) <= set(own)
+
+
+def test_every_core_query_has_its_sql():
+    assert set(QUERIES) <= set(__spark_entry__.oracle_sql()) and set(QUERIES) <= set(__spark_entry__.queries())
