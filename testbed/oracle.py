@@ -314,7 +314,9 @@ BED_CLEAN = f"""
           FROM (SELECT * REPLACE (nullif(TRY_CAST(total_adult_beds AS DOUBLE), {NAN})
                                       AS total_adult_beds) FROM ({BED_ROWS}))
           WHERE total_adult_beds >= 0 AND occupied_adult_beds >= 0 AND total_pediatric_beds >= 0
-            AND occupied_pediatric_beds >= 0 AND covid_beds >= 0)"""
+            AND occupied_pediatric_beds >= 0 AND covid_beds >= 0
+            -- a NaN is missing, like NULL
+            AND NOT isnan(covid_beds))"""
 OCCUPANCY = f"""
     SELECT *, CASE WHEN total_beds > 0 THEN occupied_beds / total_beds * 100 ELSE 0 END
                   AS occupancy_rate,
