@@ -60,6 +60,15 @@ def exact_sum(c: str | Column) -> Column:
     return F.coalesce(odd, F.coalesce(stepped + rest, stepped, rest).cast("double"))
 
 
+def exact_or_plain_sum(c: str | Column) -> Column:
+    """The same for columns of any size: a sum of doubles where a finite value is too large to be added exactly."""
+    c = _col(c).cast("double")
+    largest = F.max(F.when(_finite(c), F.abs(c)))
+    # the exact sum must not meet the values that it refuses
+    exact = exact_sum(F.when((F.abs(c) < F.lit(_BOUND)) | ~_finite(c), c))
+    return F.when(largest >= F.lit(_BOUND), F.sum(c)).otherwise(exact)
+
+
 def _exactly(a: Column, b: Column, combine) -> Column:
     a, b = a.cast("double"), b.cast("double")
     # a quotient of whole numbers is the double next to it; adding 0 turns -0 into 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bedledger.functions.exact import exact_or_plain_sum
 from bedledger.functions.guards import clip, finite_or_null, number_from_text
 from bedledger.functions.rates import percent_or_zero
 from bedledger.functions.regions import named_region, regions_frame
@@ -68,12 +69,12 @@ def _numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _per_region(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """One row for each of the four regions, 0 where a region has nothing to add up."""
+    """One row for each of the four regions with these aggregates, 0 where a region has nothing to add up."""
     totals = (
         df.withColumn("region", named_region("state"))
         .filter(F.col("region").isNotNull())
         .groupBy("region")
-        .agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+        .agg(*(c.alias(name) for name, c in sums.items()))
     )
     return (
         # four rows each side
@@ -92,14 +93,15 @@ def get_region_stats(df: DataFrame) -> DataFrame:
     """
     decimals = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
     return _per_region(
-        df, {c: F.col(c) if c in decimals else finite_or_null(c) for c in _numeric_columns(df)}
+        df,
+        {c: F.sum(c) if c in decimals else exact_or_plain_sum(finite_or_null(c)) for c in _numeric_columns(df)},
     )
 
 
 def region_rates(df: DataFrame) -> DataFrame:
     """Regional beds with rates taken from the regional sums."""
     names = ["total_beds", "occupied_beds", "covid_beds"]
-    totals = _per_region(df, {c: finite_or_null(c) for c in names})
+    totals = _per_region(df, {c: exact_or_plain_sum(finite_or_null(c)) for c in names})
     return totals.withColumn(
         "occupancy_rate", percent_or_zero("occupied_beds", "total_beds")
     ).withColumn("covid_percentage", percent_or_zero("covid_beds", "occupied_beds"))

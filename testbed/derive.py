@@ -99,7 +99,7 @@ METRICS_OF_WEEK = [
     f"IF({_MIX} % 29 = 0, NULL, pediatric_occupied / 10)",
     "icu / 10",
     "icu_used / 10",
-    f"CASE WHEN {_MIX} % 23 = 0 THEN {SUPPRESSED} WHEN {_MIX} % 97 = 0 THEN double('NaN') "
+    f"CASE WHEN {_MIX} % 23 = 0 THEN {SUPPRESSED} WHEN {_MIX} % 397 = 0 THEN double('NaN') "
     # outbreaks, so that weeks differ
     f"WHEN {_MIX} % 3 = 0 THEN covid ELSE covid / 10 END",
     "icu_covid / 10",

@@ -79,7 +79,7 @@ VIEWS = {
                CASE WHEN mix % 29 <> 0 THEN CAST(pediatric_occupied AS DOUBLE) / 10 END AS {PED_OCC},
                CAST(icu AS DOUBLE) / 10 AS {ICU},
                CAST(icu_used AS DOUBLE) / 10 AS {ICU_USED},
-               CASE WHEN mix % 23 = 0 THEN -999999.0 WHEN mix % 97 = 0 THEN {NAN}
+               CASE WHEN mix % 23 = 0 THEN -999999.0 WHEN mix % 397 = 0 THEN {NAN}
                     WHEN mix % 3 = 0 THEN CAST(covid AS DOUBLE) ELSE CAST(covid AS DOUBLE) / 10 END AS {COVID},
                CAST(icu_covid AS DOUBLE) / 10 AS {ICU_COVID},
                week
@@ -328,7 +328,7 @@ OCCUPANCY = f"""
 
 def per_region(source: str, columns: list[str], extra: str = "") -> str:
     sums = ", ".join(
-        f"coalesce(sum({c}) FILTER (WHERE isfinite({c})), 0) AS {c}" for c in columns
+        f"coalesce(CAST(sum({decimal(c)}) FILTER (WHERE isfinite({c})) AS DOUBLE), 0) AS {c}" for c in columns
     )
     return f"""
         SELECT *{extra} FROM (
@@ -604,7 +604,8 @@ ORACLE = {
         SELECT hospital_name, city, state, {count_text("current_cases")} AS current_cases,
                {count_text("previous_cases")} AS previous_cases,
                {signed(count_text("absolute_change"), "absolute_change")} AS absolute_change,
-               coalesce({signed(percent_text("percent_change"), "percent_change")}, 'N/A')
+               -- a NaN percentage is shown as a missing one
+               coalesce({signed(percent_text(f"nullif(percent_change, {NAN})"), f"nullif(percent_change, {NAN})")}, 'N/A')
                    AS percent_change
         FROM ({CHANGES})""",
     "display_non_reporting": f"""

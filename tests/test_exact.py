@@ -1,10 +1,11 @@
 """Decimal results from metrics that are stored as doubles."""
 
 import math
+from decimal import Decimal
 
 import pytest
 
-from bedledger.functions.exact import exact_minus, exact_plus, exact_sum
+from bedledger.functions.exact import exact_minus, exact_or_plain_sum, exact_plus, exact_sum
 from bedledger.plans import questions
 from frames import NAN, hospital, report, tables
 
@@ -70,3 +71,20 @@ def test_metrics_stay_hash_aggregates(spark):
     t = tables(spark, [hospital("A00001", "NY")], [report("A00001", DAY, 1.5, 0.5, 0.1)])
     plan = questions.get_metrics(t, DAY, ["NY"])._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_sums_of_columns_of_any_size(spark):
+    def added(values):
+        return spark.createDataFrame([(v,) for v in values], "x double").agg(exact_or_plain_sum("x")).first()[0]
+
+    assert added([0.1, 0.2, None]) == 0.3 and added([0.1] * 10) == 1.0
+    assert added([1e300, 1e299, 0.5]) == 1.1e300
+    assert added([None]) is None and math.isnan(added([1.0, math.nan]))
+    assert added([1 / 3, 0.25, -1e8, 1e8]) == pytest.approx(1 / 3 + 0.25, abs=1e-12)
+
+
+def test_steps_and_other_values_are_added_together(spark):
+    values = [1234.5678, 0.00001, -99999999.9999, 123456789.12345, 1e15, -0.0, 0.1 + 0.2]
+    total = sum(Decimal(repr(v)) for v in values)
+    found = spark.createDataFrame([(v,) for v in values], "x double").agg(exact_sum("x")).first()[0]
+    assert found == float(total.quantize(Decimal("1e-12")))
