@@ -304,3 +304,25 @@ def test_dashboard_slice_gives_the_same_answers(spark):
     for frame in page.values():
         frame.collect()
     page["recent_reports"].unpersist()
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "-- the hospitals\nWITH a AS (SELECT hospital_pk FROM hospital) SELECT * FROM a WHERE hospital_pk > :least",
+        "/* one */ SELECT hospital_pk FROM `hospital` WHERE hospital_pk > :least -- end",
+        "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 3) "
+        "SELECT DISTINCT hospital_pk FROM hospital CROSS JOIN n WHERE hospital_pk > :least",
+        "WITH hospital AS (SELECT * FROM hospital WHERE hospital_pk > :least), b AS (WITH c AS (SELECT * FROM hospital) SELECT * FROM c) "
+        "SELECT hospital_pk FROM b",
+    ],
+)
+def test_any_query_text_runs(spark, sql):
+    t = tables(spark, [hospital(f"00000{n}", "NY") for n in (1, 2, 3)], [])
+    spark.range(1).createOrReplaceTempView("hospital")  # the caller's own view of that name
+    try:
+        got = read_sql_query(sql, t, {"least": "000001"})
+        assert sorted(r.hospital_pk for r in got.collect()) == ["000002", "000003"]
+        assert spark.table("hospital").columns == ["id"]
+    finally:
+        spark.catalog.dropTempView("hospital")
