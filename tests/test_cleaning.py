@@ -90,3 +90,21 @@ def test_rejects_say_why(spark):
         ("010001", f"{metric} is not a number"),
         ("010001", "fips_code is longer than 5"),
     ]
+
+
+def longest_method(frame):
+    """Bytecode length of the longest method that Spark generates for a frame."""
+    spark = frame.sparkSession
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(frame._jdf.queryExecution().executedPlan())
+    return max((stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())), default=0)
+
+
+def test_the_jvm_compiles_the_reading_of_a_feed_row(spark):
+    # a method of more than 8,000 bytes is interpreted, for every row
+    feed = hhs(spark, {"collection_week": "12/31/2021"})
+    assert 0 < longest_method(cleaning.transform_hhs_data(feed)) < 8000
+    assert 0 < longest_method(cleaning.explain_hhs_rows(feed)) < 8000
+    staged = cleaning.with_typed_columns(cleaning.explain_hhs_rows(cleaning.texts_read(feed)))
+    assert 0 < longest_method(staged) < 8000
+    assert [c for c in staged.columns if c.startswith("_")] == []
