@@ -179,3 +179,55 @@ def test_a_name_is_given_once(spark, tmp_path, name):
     assert give(spark, f"file:{tmp_path}/new1", target)
     assert not give(spark, f"file:{tmp_path}/new2", target)
     assert Path(target).read_text() == "1"
+
+
+def read_back(monkeypatch):
+    """The files that merges read whole rows of."""
+    real, files = tables.replace_rows, []
+
+    def noted(existing, winners, key):
+        files.extend(existing.inputFiles())
+        return real(existing, winners, key)
+
+    monkeypatch.setattr(tables, "replace_rows", noted)
+    return files
+
+
+def test_files_without_other_rows_are_not_read_back(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "db")
+    write_table(reports(spark, 5).unionByName(reports(spark, 4, week="2022-01-07")), root, WEEKLY)
+    state, files = read_state(spark, root), read_back(monkeypatch)
+    # all of one week, a part of the other, and a week that is new
+    rows = [reports(spark, 6, value=2.0), reports(spark, 2, "2022-01-07", 2.0), reports(spark, 1, "2022-01-14", 2.0)]
+    change = tables.merged(root, WEEKLY, rows[0].unionByName(rows[1]).unionByName(rows[2]), loads.KEYS[WEEKLY], state, "v1")
+    assert files and all("week=2022-01-07" in f for f in files)
+    assert change.removed == frozenset(f.path for f in state.of(WEEKLY))
+    manifest.commit(spark, root, "p1", [change], state)
+    assert stored(spark, root, WEEKLY, COVID) == [(1.0,)] * 2 + [(2.0,)] * 9
+
+
+def test_stored_rows_of_one_key_and_rows_without_key_are_counted(spark, tmp_path):
+    root = str(tmp_path / "db")
+    # two rows of one key, and one without: the file holds more than its keys
+    pks = spark.createDataFrame([("000000",), ("000000",), (None,)], "pk string")
+    write_table(reports(spark, 1).crossJoin(pks).withColumn("hospital_pk", F.col("pk")).drop("pk").coalesce(1), root, WEEKLY)
+    state = read_state(spark, root)
+    change = tables.merged(root, WEEKLY, reports(spark, 1, value=2.0), loads.KEYS[WEEKLY], state, "v1")
+    manifest.commit(spark, root, "p1", [change], state)
+    got = read_table(spark, root, WEEKLY).select("hospital_pk", COVID).collect()
+    assert sorted(map(tuple, got), key=str) == [("000000", 2.0), (None, 1.0)]
+
+
+def test_reports_that_come_twice_and_reports_that_come_once(spark, tmp_path, monkeypatch):
+    shuffled = []
+    real = loads.weekly_winners
+    monkeypatch.setattr(loads, "weekly_winners", lambda *a: shuffled.append("all") or real(*a))
+    rows = [hhs_row(f"01000{n}", covid=str(n)) for n in range(5)]
+    for case, few in (("once", 9), ("few", 9), ("many", 0)):
+        again = [] if case == "once" else [hhs_row("010001", covid="7"), hhs_row("010001", covid="8"), hhs_row("010003", covid="")]
+        monkeypatch.setattr(loads, "FEW_KEYS", few)
+        root = str(tmp_path / case)
+        load_hhs_data(spark, write_hhs(tmp_path / f"{case}.csv", *rows, *again), root, staging=str(tmp_path / "s"))
+        want = dict(zip(range(5), map(float, range(5)))) | ({1: 8.0, 3: 0.0} if again else {})
+        assert stored(spark, root, WEEKLY, "hospital_pk", COVID) == [(f"01000{n}", v) for n, v in want.items()]
+    assert shuffled == ["all"]
