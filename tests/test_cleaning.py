@@ -108,3 +108,25 @@ def test_the_jvm_compiles_the_reading_of_a_feed_row(spark):
     staged = cleaning.with_typed_columns(cleaning.explain_hhs_rows(cleaning.texts_read(feed)))
     assert 0 < longest_method(staged) < 8000
     assert [c for c in staged.columns if c.startswith("_")] == []
+
+
+def test_texts_are_kept_of_rows_that_do_not_go_on(spark):
+    a, b = WEEKLY_METRICS[:2]
+    feed = hhs(spark, {a: "1.5"}, {a: "many", b: "2"}, {"hospital_pk": "1", a: "3"})
+    typed = cleaning.with_typed_columns(cleaning.explain_hhs_rows(cleaning.texts_read(feed)))
+    left = cleaning.without_read_texts(typed)
+    assert sorted((r.hospital_pk, str(r[a]), str(r["typed_" + a])) for r in left.collect()) == [
+        ("010001", "None", "1.5"), ("010001", "many", "None"), ("1", "3", "3.0")]
+    assert left.filter("reject_reason IS NULL AND NOT bad_key AND collection_week IS NOT NULL").isEmpty()
+    assert cleaning.reject_report(left).exceptAll(cleaning.reject_report(typed)).isEmpty()
+
+
+def test_numbers_are_spelled_plainly(values):
+    from bedledger.functions.guards import number_from_text, number_or_zero
+
+    raw = ["1.", ".5", " 12.5 ", "1e3", "-7", "1.5\n", "1.5\t", "\t1.5", "0x1p3", "1F", "Infinity", " -INF ", "\tnan", "nan ", "+nan", "", "x", "1 2", None]
+    inf = float("inf")
+    read = [1.0, 0.5, 12.5, 1000.0, -7.0, None, None, 1.5, None, None, inf, -inf, None, None, None, None, None, None, None]
+    assert values(number_from_text, "string", raw) == read
+    zero = {"nan ", "", None}
+    assert values(number_or_zero, "string", raw) == [0.0 if t in zero else v for t, v in zip(raw, read)]
